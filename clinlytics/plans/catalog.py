@@ -5,6 +5,7 @@ import importlib
 
 _GROUPS = (
     "clinlytics.plans.catalog_jobs",
+    "clinlytics.plans.catalog_dash",
 )
 
 
