@@ -6,6 +6,7 @@ import importlib
 _GROUPS = (
     "clinlytics.plans.catalog_jobs",
     "clinlytics.plans.catalog_dash",
+    "clinlytics.plans.catalog_rag",
 )
 
 

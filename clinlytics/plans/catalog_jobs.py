@@ -155,6 +155,10 @@ visit_rows AS (
 _SUMMARY_CTES = _VISIT_ROWS_CTES + """,
 blocks AS (
   SELECT patient_id, full_name, age, gender, blood_group, visit_date, visit_id,
+    'PATIENT: ' || full_name || ' | Age: ' || CAST(age AS VARCHAR)
+      || ' | Gender: ' || upper(substr(gender, 1, 1)) || lower(substr(gender, 2))
+      || ' | Blood Group: ' || COALESCE(NULLIF(blood_group, ''), 'Unknown') AS header,
+    ROW_NUMBER() OVER (PARTITION BY patient_id ORDER BY visit_date, visit_id) AS rn,
     concat_ws(chr(10),
       'VISIT ' || CAST(ROW_NUMBER() OVER (PARTITION BY patient_id ORDER BY visit_date, visit_id) AS VARCHAR)
         || ' [' || strftime(visit_date, '%Y-%m-%d') || ']',
@@ -172,10 +176,7 @@ blocks AS (
   FROM visit_rows),
 summaries AS (
   SELECT patient_id,
-    rtrim('PATIENT: ' || ANY_VALUE(full_name) || ' | Age: ' || CAST(ANY_VALUE(age) AS VARCHAR)
-      || ' | Gender: ' || upper(substr(ANY_VALUE(gender), 1, 1)) || lower(substr(ANY_VALUE(gender), 2))
-      || ' | Blood Group: ' || COALESCE(NULLIF(ANY_VALUE(blood_group), ''), 'Unknown')
-      || chr(10) || chr(10) || STRING_AGG(block, chr(10) || chr(10) ORDER BY visit_date, visit_id),
+    rtrim(ANY_VALUE(header) || chr(10) || chr(10) || STRING_AGG(block, chr(10) || chr(10) ORDER BY visit_date, visit_id),
       ' ' || chr(9) || chr(10) || chr(13)) AS summary_text,
     CAST(COUNT(*) AS INTEGER) AS visit_count
   FROM blocks GROUP BY patient_id)
