@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from clinlytics.functions.core import strip_ws
 from clinlytics.functions.text import (HEADER_PREFIX, VISIT_SPLIT, chunk_columns, detect_name,
                                        nonblank_lines)
-from clinlytics.functions.vectors import DEFAULT_DIM, cosine, hash_embed, norm_sq
+from clinlytics.functions.vectors import DEFAULT_DIM, cosine, hash_embed, hash_embed_table, norm_sq
 
 # Retrieval defaults and the no-result answer.
 TOP_K = 10
@@ -71,8 +71,9 @@ def embed_chunks(chunks: DataFrame, embedder=None, dim: int = DEFAULT_DIM) -> Da
     ``embedder`` is a Column function (text -> array<float>), e.g. the UDF
     from ``functions.vectors.model_embedder``; default: feature hashing.
     """
-    fn = embedder or (lambda c: hash_embed(c, dim))
-    return chunks.withColumn("embedding", fn(F.col("document")))
+    if embedder is None:
+        return hash_embed_table(chunks, "chunk_id", "document", dim)
+    return chunks.withColumn("embedding", embedder(F.col("document")))
 
 
 def build_store(summaries: DataFrame, ingested_at=None, embedder=None, dim: int = DEFAULT_DIM) -> DataFrame:

@@ -7,7 +7,7 @@ from clinlytics.operators import jobs
 from clinlytics.operators import retrieval as rg
 from clinlytics.plans.catalog_jobs import _SUMMARY_CTES
 from clinlytics.plans.oracle_base import with_clinic
-from clinlytics.sources.driver import clinic_tables
+from clinlytics.sources.driver import clinic_tables, materialized
 
 
 def retrieval_queries(t):
@@ -24,7 +24,8 @@ def retrieval_queries(t):
 
 
 def _store(t):
-    return rg.build_store(jobs.clinical_summaries(t))
+    """The chunk store is an ingested table: built once per session."""
+    return materialized(t.spark, f"store:{t.sf_dir}", lambda: rg.build_store(jobs.clinical_summaries(t)))
 
 
 def _named_results(t):
