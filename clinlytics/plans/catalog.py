@@ -7,6 +7,7 @@ _GROUPS = (
     "clinlytics.plans.catalog_jobs",
     "clinlytics.plans.catalog_dash",
     "clinlytics.plans.catalog_rag",
+    "clinlytics.plans.catalog_writes",
 )
 
 

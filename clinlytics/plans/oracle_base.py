@@ -66,7 +66,7 @@ billing_records AS (
 """
 
 
-def with_clinic(body: str, extra_ctes: str = "") -> str:
+def with_clinic(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """Prefix ``body`` (a SELECT) with the clinic mapping CTEs.
 
     ``extra_ctes`` is a comma-separated list of further ``name AS (...)``
@@ -75,4 +75,4 @@ def with_clinic(body: str, extra_ctes: str = "") -> str:
     ctes = MAPPING_CTES.strip()
     if extra_ctes.strip():
         ctes = ctes + ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
