@@ -8,6 +8,7 @@ _GROUPS = (
     "clinlytics.plans.catalog_dash",
     "clinlytics.plans.catalog_rag",
     "clinlytics.plans.catalog_writes",
+    "clinlytics.plans.catalog_sinks",
 )
 
 
