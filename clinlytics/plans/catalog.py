@@ -9,6 +9,7 @@ _GROUPS = (
     "clinlytics.plans.catalog_rag",
     "clinlytics.plans.catalog_writes",
     "clinlytics.plans.catalog_sinks",
+    "clinlytics.plans.catalog_stream",
 )
 
 

@@ -37,8 +37,9 @@ def booking_requests(t):
                                     "appointment_date", "appointment_time")
 
 
-def status_events(t):
-    e = t.driver("events")
+def status_events(t, events=None):
+    """Status-change events from the ``events`` table (or a stream of it)."""
+    e = t.driver("events") if events is None else events
     et = F.col("event_type")
     target = F.lit("scheduled")
     for k, v in reversed(list(EVENT_TARGET.items())):

@@ -68,3 +68,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local_dir)
     sc.setCheckpointDir(local_dir)
     return local_dir
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers (Pandas UDFs, state
+    functions): zip it once per application and add it with addPyFile."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="clinlytics-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "clinlytics"), "zip", os.path.dirname(pkg_dir), "clinlytics")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)

@@ -70,6 +70,8 @@ def clinic_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     operational tables) instead of re-deriving them; the write also cuts
     lineage, so a lost executor costs a re-read, not a re-derivation.
     """
+    from clinlytics.session import ship_package
+    ship_package(spark)
     t = ClinicTables(spark, sf_dir)
     if not materialize:
         return t
@@ -90,6 +92,12 @@ def clinic_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     return t
 
 
+def clinic_table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of a materialized clinic table (materializing on first use)."""
+    clinic_tables(spark, sf_dir)
+    return f"{_MATERIALIZED[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))]}/{name}"
+
+
 def materialized(spark: SparkSession, key: str, build) -> DataFrame:
     """Write ``build()`` once per session under the shared checkpoint folder
     and return a scan of it (a derived table, e.g. the chunk store)."""
