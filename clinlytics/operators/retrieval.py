@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from clinlytics.functions.core import strip_ws
 from clinlytics.functions.text import (HEADER_PREFIX, VISIT_SPLIT, chunk_columns, detect_name,
                                        nonblank_lines)
-from clinlytics.functions.vectors import DEFAULT_DIM, cosine, hash_embed, hash_embed_table, norm_sq
+from clinlytics.functions.vectors import DEFAULT_DIM, hash_embed, hash_embed_table
 
 # Retrieval defaults and the no-result answer.
 TOP_K = 10
@@ -124,6 +124,8 @@ def _name_keys_for_chunks(store: DataFrame) -> DataFrame:
 def _bounded_batches(df: DataFrame, max_rows: int, key: str) -> list[DataFrame]:
     """Split ``df`` into hash buckets of at most about ``max_rows`` rows each."""
     n = df.count()
+    if n == 0:
+        return []
     if n <= max_rows:
         return [df]
     parts = int(math.ceil(n * 1.5 / max_rows))
@@ -162,31 +164,103 @@ def retrieve_by_name(queries: DataFrame, store: DataFrame, top_k: int = TOP_K) -
 
 
 # ------------------------------------------------------------- vectors ----
+def _partition_topk(q_ids, q_mat, q_filters, filter_cols, id_col, vec_col, k, q_block=256):
+    """mapInPandas body: each task scores its candidates against the query
+    matrix with one matrix product per query block and emits only its local
+    top k per query in the total order (score desc, NULL last, id asc)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        qm = q_mat.value
+        qn = np.sqrt((qm * qm).sum(axis=1))
+        qids = q_ids.value
+        qf = q_filters.value if q_filters is not None else None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            dim = qm.shape[1]
+            vecs = np.array([v if v is not None else np.zeros(dim) for v in pdf[vec_col]], dtype=np.float64)
+            cn = np.sqrt((vecs * vecs).sum(axis=1))
+            ids = pdf[id_col].to_numpy()
+            out_q, out_id, out_s = [], [], []
+            for b0 in range(0, len(qids), q_block):
+                qs = slice(b0, b0 + q_block)
+                den = cn[:, None] * qn[None, qs]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sc = np.where(den > 0, (vecs @ qm[qs].T) / den, np.nan)
+                for jj in range(sc.shape[1]):
+                    j = b0 + jj
+                    m = np.ones(len(ids), dtype=bool)
+                    if qf is not None:
+                        for c, col in enumerate(filter_cols):
+                            m &= pdf[col].to_numpy() == qf[j][c]
+                    idx = np.nonzero(m)[0]
+                    if len(idx) == 0:
+                        continue
+                    key = -sc[idx, jj]
+                    key = np.where(np.isnan(key), np.inf, key)
+                    if len(idx) > k:
+                        kth = np.partition(key, k - 1)[k - 1]
+                        keep = key <= kth
+                        idx, key = idx[keep], key[keep]
+                    best = sorted(zip(key.tolist(), ids[idx].tolist(), idx.tolist()))[:k]
+                    for _, cid, i in best:
+                        out_q.append(qids[j])
+                        out_id.append(cid)
+                        s_ = sc[i, jj]
+                        out_s.append(None if np.isnan(s_) else float(s_))
+            yield pd.DataFrame({"query_id": out_q, id_col: out_id, "score": out_s})
+
+    return run
+
+
 def vector_topk(queries: DataFrame, candidates: DataFrame, top_k: int = TOP_K,
                 id_col: str = "chunk_id", vec_col: str = "embedding", filter_cols: list[str] | None = None,
                 score_digits: int | None = None) -> DataFrame:
     """Exact cosine top-k of each query vector over all candidates.
 
     ``queries``: query_id, qvec (+ filter columns); ``candidates``: id_col,
-    vec_col (+ same filter columns, which must then match exactly). Query
-    batches are size-checked and broadcast; candidates never shuffle before
-    scoring, and the per-query row_number <= k becomes a partial group
-    limit on the map side, so each task ships at most k rows per query.
+    vec_col (+ the same filter columns, which must then match exactly).
+
+    The query batch is counted and split into hash batches of at most
+    MAX_QUERY_BATCH rows; each batch is broadcast as a matrix. Candidates are
+    scored where they lie (no shuffle, no row per query-candidate pair): each
+    task keeps its local top k per query, then a per-query row_number <= k
+    (a partial group limit before the shuffle) picks the global top k.
+    Other candidate columns are joined back to the k winners.
     """
+    import numpy as np
     filter_cols = filter_cols or []
-    cand = candidates.withColumn("_cn", norm_sq(F.col(vec_col)))
-    q = queries.withColumn("_qn", norm_sq(F.col("qvec")))
-    out = None
-    for batch in _bounded_batches(q, MAX_QUERY_BATCH, "query_id"):
-        if filter_cols:
-            j = cand.join(F.broadcast(batch), filter_cols)
-        else:
-            j = cand.withColumn("_k", F.lit(1)).join(F.broadcast(batch.withColumn("_k", F.lit(1))), "_k")
-        part = j.withColumn("score", cosine(F.col(vec_col), F.col("qvec"), F.col("_cn"), F.col("_qn")))
-        out = part if out is None else out.unionByName(part)
+    sc = queries.sparkSession.sparkContext
+    spark = queries.sparkSession
+    from clinlytics.session import ship_package
+    ship_package(spark)
+    cand_cols = [id_col, vec_col, *filter_cols]
+    id_type = dict(candidates.dtypes)[id_col]
+    qid_type = dict(queries.dtypes)["query_id"]
+    parts = []
+    for batch in _bounded_batches(queries.select("query_id", "qvec", *filter_cols), MAX_QUERY_BATCH, "query_id"):
+        rows = batch.collect()  # at most MAX_QUERY_BATCH rows (counted above)
+        if not rows:
+            continue
+        q_ids = sc.broadcast([r["query_id"] for r in rows])
+        q_mat = sc.broadcast(np.array([r["qvec"] for r in rows], dtype=np.float64))
+        q_f = sc.broadcast([tuple(r[c] for c in filter_cols) for r in rows]) if filter_cols else None
+        fn = _partition_topk(q_ids, q_mat, q_f, filter_cols, id_col, vec_col, top_k)
+        parts.append(candidates.select(*cand_cols).mapInPandas(
+            fn, f"query_id {qid_type}, {id_col} {id_type}, score double"))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {qid_type}, {id_col} {id_type}, score double, rank int") \
+            .join(candidates.drop(vec_col, *filter_cols), id_col)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
-    res = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k) \
-        .drop("_k", "_cn", "_qn", "qvec")
+    res = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    rest = [c for c in candidates.columns if c not in (vec_col, *filter_cols)]
+    if len(rest) > 1:
+        res = res.join(candidates.select(*rest), id_col)
     if score_digits is not None:
         res = res.withColumn("score", F.round("score", score_digits))
     return res
