@@ -92,19 +92,5 @@ def model_embedder(embed_fn: Callable[[list[str]], list[list[float]]], dim: int)
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` to match) and returns
     one vector of length ``dim`` per text.
     """
-    import pandas as pd
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _embed(batches):
-        for texts in batches:
-            out = []
-            vals = texts.tolist()
-            for i in range(0, len(vals), EMBED_BATCH):
-                vecs = embed_fn(vals[i:i + EMBED_BATCH])
-                for v in vecs:
-                    if len(v) != dim:
-                        raise ValueError(f"embedding has {len(v)} dims, expected {dim}")
-                out.extend(vecs)
-            yield pd.Series(out)
-
-    return _embed
+    from clinlytics.functions.pyudfs import batch_embedder
+    return batch_embedder(embed_fn, dim, EMBED_BATCH)

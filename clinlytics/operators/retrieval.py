@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinlytics.functions.core import strip_ws
-from clinlytics.functions.text import (HEADER_PREFIX, VISIT_SPLIT, chunk_columns, detect_name,
-                                       nonblank_lines)
+from clinlytics.functions.text import (HEADER_PREFIX, VISIT_SPLIT, chunk_columns, detect_name_columns,
+                                       doctor_line, nonblank_lines)
 from clinlytics.functions.vectors import DEFAULT_DIM, hash_embed, hash_embed_table
 
 # Retrieval defaults and the no-result answer.
@@ -46,17 +46,20 @@ def chunk_summaries(summaries: DataFrame) -> DataFrame:
     header + blank line + block lines, stripped.
     """
     s = summaries.where(F.col("summary_text").isNotNull() & (strip_ws(F.col("summary_text")) != ""))
-    lines = F.split(F.col("summary_text"), "\n")
-    hidx = F.array_min(F.filter(
-        F.transform(lines, lambda line, i: F.when(line.startswith(HEADER_PREFIX), i)), lambda x: x.isNotNull()))
+    # staged columns: each array is computed once per row
+    s = s.select("patient_id", F.split(F.col("summary_text"), "\n").alias("_all"))
+    s = s.withColumn("_h", F.array_position(
+        F.transform("_all", lambda line: line.startswith(HEADER_PREFIX)), F.lit(True)))  # 1-based, 0 = none
+    lines, hpos = F.col("_all"), F.col("_h")
     s = s.select(
         "patient_id",
-        F.coalesce(F.get(lines, hidx), F.lit("")).alias("_header"),
-        F.when(hidx.isNull(), lines).otherwise(F.slice(lines, hidx + 2, F.size(lines))).alias("_body"))
+        F.when(hpos > 0, F.element_at(lines, hpos.cast("int"))).otherwise(F.lit("")).alias("_header"),
+        F.when(hpos == 0, lines).otherwise(F.slice(lines, (hpos + 1).cast("int"), F.size(lines))).alias("_body"))
     body = F.concat(F.lit("\n"), F.array_join("_body", "\n"))
     blocks = s.select("patient_id", "_header", F.posexplode(F.split(body, VISIT_SPLIT)).alias("block_no", "_block"))
     blocks = blocks.withColumn("_lines", nonblank_lines(F.col("_block"))).where(F.size("_lines") > 0)
-    meta = chunk_columns(F.col("_lines"), F.col("_header"))
+    blocks = blocks.withColumn("_dr", doctor_line(F.col("_lines")))
+    meta = chunk_columns(F.col("_lines"), F.col("_header"), F.col("_dr"))
     return blocks.select(
         F.format_string("%d_visit_%d", F.col("patient_id"), F.col("block_no")).alias("chunk_id"),
         "patient_id",
@@ -79,7 +82,12 @@ def embed_chunks(chunks: DataFrame, embedder=None, dim: int = DEFAULT_DIM) -> Da
 def build_store(summaries: DataFrame, ingested_at=None, embedder=None, dim: int = DEFAULT_DIM) -> DataFrame:
     """Chunk + embed all summaries into store rows (one per chunk id)."""
     ts = F.lit(ingested_at or dt.datetime(2001, 7, 15)).cast("timestamp")
-    c = embed_chunks(chunk_summaries(summaries), embedder, dim)
+    chunks = chunk_summaries(summaries)
+    if embedder is None:
+        # the table embedder reads the chunks twice (tokens, then join-back):
+        # cut the lineage once in the shared checkpoint folder
+        chunks = chunks.checkpoint(eager=True)
+    c = embed_chunks(chunks, embedder, dim)
     return c.withColumns({"created_at": ts, "updated_at": ts})
 
 
@@ -103,7 +111,7 @@ def store_status(store: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- names ----
 def detect_names(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", "query", detect_name(F.col("query")).alias("detected_name"))
+    return detect_name_columns(queries.select("query_id", "query"), "query")
 
 
 def _name_keys_for_chunks(store: DataFrame) -> DataFrame:
