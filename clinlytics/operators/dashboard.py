@@ -200,3 +200,19 @@ def doctor_schedule(t, day=None) -> DataFrame:
     # A doctor-day holds at most a few dozen bookings, so this window is bounded.
     w = Window.partitionBy("doctor_id", "appointment_date").orderBy("appointment_time", "id")
     return a.withColumn("slot_no", F.row_number().over(w))
+
+
+def revenue_chart(series: DataFrame) -> DataFrame:
+    """Chart points of the revenue series: 'MM-dd' label, consultation, and
+    tests & procedures together."""
+    return series.select(F.date_format("date", "MM-dd").alias("label"), "date",
+                         F.col("consultation").alias("consultation"),
+                         (F.col("test") + F.col("procedure")).alias("tests_and_procedures"))
+
+
+def today_schedule_for(schedule: DataFrame, doctor_name: str, day=None) -> DataFrame:
+    """A doctor's list for one day, picked by the doctor's display name."""
+    d = schedule.where(F.col("doctor_name") == doctor_name)
+    if day is not None:
+        d = d.where(F.col("appointment_date") == as_of_lit(day))
+    return d.orderBy("appointment_time", "id")

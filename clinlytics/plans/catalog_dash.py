@@ -7,6 +7,7 @@ from clinlytics.operators import dashboard as db
 from clinlytics.operators import lists as ls
 from clinlytics.plans.oracle_base import with_clinic
 from clinlytics.sources.driver import clinic_tables
+from clinlytics.sources.files import catalogue_files, list_documents
 
 AS_OF = "DATE '2001-07-15'"
 MONTH_START = "DATE '2001-07-01'"
@@ -36,6 +37,10 @@ QUERIES = {
     "doctor_utilization": _q(db.doctor_utilization),
     "available_slots": _q(db.available_slots),
     "doctor_schedule": _q(db.doctor_schedule),
+    "revenue_chart": _q(lambda t: db.revenue_chart(db.revenue_series(t, period=PERIOD))),
+    "catalogue_files": lambda spark, sf_dir: catalogue_files(spark, f"{sf_dir.rstrip('/')}/*.parquet")
+    .drop("file_path", "uploaded_at"),
+    "list_documents": lambda spark, sf_dir: list_documents(catalogue_files(spark, f"{sf_dir.rstrip('/')}/*.parquet")),
     "list_departments": _q(ls.list_departments),
     "list_doctors": _q(ls.list_doctors),
     "list_appointments": _q(lambda t: ls.list_appointments(t, status=APPT_STATUS)),
@@ -129,6 +134,17 @@ ORACLES = {
           AS tests_and_procedures
       FROM billing_records br JOIN billing_items i ON i.billing_record_id = br.id
       WHERE br.status = 'paid' AND br.payment_date >= {AS_OF} - INTERVAL 90 DAY AND br.payment_date < {AS_OF}"""),
+    "revenue_chart": with_clinic(f"""
+      SELECT strftime(cal.d, '%m-%d') AS label, cal.d AS date,
+        CAST(COALESCE(SUM(i.amount) FILTER (WHERE i.category = 'consultation'), 0) AS DECIMAL(12,2)) AS consultation,
+        CAST(COALESCE(SUM(i.amount) FILTER (WHERE i.category = 'test'), 0) AS DECIMAL(12,2))
+          + CAST(COALESCE(SUM(i.amount) FILTER (WHERE i.category = 'procedure'), 0) AS DECIMAL(12,2))
+          AS tests_and_procedures
+      FROM (SELECT CAST(g AS DATE) AS d FROM generate_series({AS_OF} - INTERVAL 90 DAY, {AS_OF} - INTERVAL 1 DAY,
+            INTERVAL 1 DAY) t(g)) cal
+      LEFT JOIN billing_records br ON br.payment_date = cal.d AND br.status = 'paid'
+      LEFT JOIN billing_items i ON i.billing_record_id = br.id
+      GROUP BY cal.d"""),
     "department_stats": with_clinic(f"""
       SELECT d.id AS department_id, d.name AS department_name, d.consultation_fee,
         COALESCE(a.n, 0) AS monthly_appointments, COALESCE(a.c, 0) AS monthly_completed,
