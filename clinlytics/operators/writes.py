@@ -95,11 +95,11 @@ def register_patients(requests: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def duplicate_phones(patients: DataFrame) -> DataFrame:
-    """Phones held by more than one patient, with the sorted ids."""
-    return patients.groupBy("phone").agg(
-        F.count(F.lit(1)).alias("patients"),
-        F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), ",").alias("patient_ids"),
-    ).where(F.col("patients") > 1)
+    """Each patient whose phone is held by more than one patient, with the
+    number of holders. One row per member (a partial count joined back), so
+    a phone shared by millions never becomes one list in one task."""
+    n = patients.groupBy("phone").agg(F.count(F.lit(1)).alias("patients")).where(F.col("patients") > 1)
+    return patients.select("phone", F.col("id").alias("patient_id")).join(n, "phone")
 
 
 # -------------------------------------------------------- appointments ----
@@ -158,11 +158,11 @@ def reschedule_appointments(appointments: DataFrame, requests: DataFrame) -> Dat
 
 
 def double_bookings(appointments: DataFrame) -> DataFrame:
+    """Each appointment in a (doctor, date, time) slot booked more than
+    once, with the slot's number of bookings (one row per member)."""
     slot = ["doctor_id", "appointment_date", "appointment_time"]
-    return appointments.groupBy(*slot).agg(
-        F.count(F.lit(1)).alias("bookings"),
-        F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), ",").alias("appointment_ids"),
-    ).where(F.col("bookings") > 1)
+    n = appointments.groupBy(*slot).agg(F.count(F.lit(1)).alias("bookings")).where(F.col("bookings") > 1)
+    return appointments.select(*slot, F.col("id").alias("appointment_id")).join(n, slot)
 
 
 def transition_rules(spark) -> DataFrame:
@@ -398,7 +398,7 @@ def audit_constraints(t) -> DataFrame:
         ("blood_group_enum", c("blood_group").isNull() | c("blood_group").isin(*BLOOD_GROUPS), c("blood_group")),
         ("phone_format", c("phone").isNotNull() & phone_ok(c("phone")), c("phone")),
     ])
-    dup_phone = duplicate_phones(p).select("phone")
+    dup_phone = duplicate_phones(p).select("phone").distinct()
     out = out.unionByName(p.join(dup_phone, "phone", "left_semi").select(
         F.lit("patients").alias("table_name"), c("id").alias("row_id"), F.lit("phone_unique").alias("rule"),
         c("phone").alias("value")))
@@ -407,7 +407,7 @@ def audit_constraints(t) -> DataFrame:
         ("status_enum", c("status").isin(*APPOINTMENT_STATUSES), c("status")),
     ]))
     slot = ["doctor_id", "appointment_date", "appointment_time"]
-    dup_slot = double_bookings(a).select(*slot)
+    dup_slot = double_bookings(a).select(*slot).distinct()
     out = out.unionByName(a.join(dup_slot, slot, "left_semi").select(
         F.lit("appointments").alias("table_name"), c("id").alias("row_id"), F.lit("slot_unique").alias("rule"),
         F.concat_ws(" ", c("doctor_id").cast("string"), c("appointment_date").cast("string"),

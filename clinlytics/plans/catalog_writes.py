@@ -213,9 +213,9 @@ ORACLES = {
                    THEN 'phone already registered' END AS reason0
           FROM patients p WHERE p.created_at >= DATE '{REGISTRATION_CUTOFF}') q) r"""),
     "duplicate_phones": with_clinic("""
-      SELECT phone, COUNT(*) AS patients, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR))
-        AS patient_ids
-      FROM patients GROUP BY phone HAVING COUNT(*) > 1"""),
+      SELECT p.phone, p.id AS patient_id, d.patients FROM patients p
+      JOIN (SELECT phone, COUNT(*) AS patients FROM patients GROUP BY phone HAVING COUNT(*) > 1) d
+        ON d.phone = p.phone"""),
     "book_appointments": with_clinic(f"""
       SELECT request_id, doctor_id, appointment_date, appointment_time, reason IS NULL AS accepted, reason FROM (
         SELECT q.*, COALESCE(q.reason0, CASE WHEN ROW_NUMBER() OVER (
@@ -233,9 +233,10 @@ ORACLES = {
           LEFT JOIN (SELECT id, department_id FROM doctors WHERE is_active) d ON d.id = a.doctor_id
           LEFT JOIN (SELECT id FROM departments WHERE is_active) dep ON dep.id = a.department_id) q) r"""),
     "double_bookings": with_clinic("""
-      SELECT doctor_id, appointment_date, appointment_time, COUNT(*) AS bookings,
-        string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS appointment_ids
-      FROM appointments GROUP BY ALL HAVING COUNT(*) > 1"""),
+      SELECT a.doctor_id, a.appointment_date, a.appointment_time, a.id AS appointment_id, d.bookings
+      FROM appointments a
+      JOIN (SELECT doctor_id, appointment_date, appointment_time, COUNT(*) AS bookings FROM appointments
+            GROUP BY ALL HAVING COUNT(*) > 1) d USING (doctor_id, appointment_date, appointment_time)"""),
     "validate_transitions": with_clinic(
         f"SELECT event_id, appointment_id, ts, role, from_status, to_status, accepted, {_REASON} AS reason "
         "FROM outcomes", _EVENT_CTES, recursive=True),
