@@ -29,12 +29,12 @@ def _as_date(as_of) -> dt.date:
     return dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
 
 
-def _one_row_join(frames: list[DataFrame]) -> DataFrame:
-    """Join single-row aggregates side by side on a constant key."""
-    out = frames[0].withColumn("_k", F.lit(1))
-    for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_k", F.lit(1))), "_k")  # one row each
-    return out.drop("_k")
+def one_row(frames: list[DataFrame]) -> DataFrame:
+    """Place single-row aggregates side by side as scalar subqueries (no
+    join; Spark merges subqueries over the same table into one scan)."""
+    spark = frames[0].sparkSession
+    subs = [f.select(F.struct(*f.columns)).scalar().alias(f"_s{i}") for i, f in enumerate(frames)]
+    return spark.range(1).select(*subs).select(*[f"_s{i}.*" for i in range(len(frames))])
 
 
 def dashboard_summary(t, as_of=None) -> DataFrame:
@@ -57,7 +57,7 @@ def dashboard_summary(t, as_of=None) -> DataFrame:
     pats = t["patients"].where(F.col("is_active")).agg(
         F.count(F.lit(1)).alias("patients_active"),
         F.count_if(F.col("created_at") >= first).alias("patients_new_this_month"))
-    return _one_row_join([appts, money_agg, pats]).select(asof.alias("date"), "*")
+    return one_row([appts, money_agg, pats]).select(asof.alias("date"), "*")
 
 
 def _period_days(period: str) -> int:

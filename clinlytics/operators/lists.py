@@ -35,8 +35,7 @@ def paginate(df: DataFrame, order: list[Column], page=1, per_page=20) -> DataFra
     """
     p, n = page_params(page, per_page)
     rows = df.orderBy(*order).offset((p - 1) * n).limit(n)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    out = rows.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    out = rows.withColumn("total", df.agg(F.count(F.lit(1))).scalar())  # scalar subquery, no join
     return out.withColumns({
         "page": F.lit(p), "per_page": F.lit(n),
         "pages": F.ceil(F.col("total") / F.lit(n)).cast("bigint"),

@@ -98,10 +98,9 @@ def ingest_stats(summaries: DataFrame, store_after: DataFrame) -> DataFrame:
                       F.count_if(~blank).alias("patients_processed"))
     chunks = chunk_summaries(summaries).agg(F.count(F.lit(1)).alias("chunks_ingested"))
     total = store_after.agg(F.count(F.lit(1)).alias("total_in_store"))
-    out = s.withColumn("_k", F.lit(1))
-    for f in (chunks, total):
-        out = out.join(F.broadcast(f.withColumn("_k", F.lit(1))), "_k")  # one-row frames
-    return out.drop("_k").select("chunks_ingested", "patients_processed", "patients_skipped", "total_in_store")
+    from clinlytics.operators.dashboard import one_row
+    return one_row([s, chunks, total]).select(
+        "chunks_ingested", "patients_processed", "patients_skipped", "total_in_store")
 
 
 def store_status(store: DataFrame) -> DataFrame:
