@@ -72,3 +72,13 @@ def ratio_1dp_half_even(num: Column, den: Column) -> Column:
 
 def money(c: Column, precision: int = 12) -> Column:
     return F.coalesce(c, F.lit(0)).cast(f"decimal({precision},2)")
+
+
+def blank_to_null(c: Column) -> Column:
+    """Trimmed text, with '' as NULL (form inputs)."""
+    return F.nullif(strip_ws(c), F.lit(""))
+
+
+def parse_date(c: Column) -> Column:
+    """'YYYY-MM-DD' to DATE, NULL when malformed (reject instead of raising)."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))

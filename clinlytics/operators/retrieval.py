@@ -357,3 +357,27 @@ def generate_answers(prompts: DataFrame, generate_fn=None) -> DataFrame:
 
     schema = f"query_id {dict(prompts.dtypes)['query_id']}, answer string, chunks_retrieved bigint"
     return prompts.mapInPandas(_run, schema)
+
+
+# Accepted question length.
+QUERY_MAX_CHARS = 500
+
+
+def validate_queries(queries: DataFrame) -> DataFrame:
+    """Trim questions; reject empty and over-long ones with a reason."""
+    q = F.col("query")
+    trimmed = strip_ws(q)
+    return queries.withColumn("query", trimmed).withColumn(
+        "reason", F.when(q.isNull() | (trimmed == ""), F.lit("Query is required"))
+        .when(F.length(trimmed) > QUERY_MAX_CHARS, F.lit("Query too long (max 500 characters)")))
+
+
+def ensure_store(spark, store_root: str, summaries: DataFrame, embedder=None) -> DataFrame:
+    """The store at ``store_root``, ingesting all summaries first when it is
+    missing or empty (auto-ingest)."""
+    from clinlytics.operators import upsert as up
+    cur = up.read_current(spark, store_root)
+    if cur is None or cur.isEmpty():
+        up.write_version(spark, store_root, build_store(summaries, embedder=embedder))
+        cur = up.read_current(spark, store_root)
+    return cur

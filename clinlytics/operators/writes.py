@@ -433,3 +433,52 @@ def audit_constraints(t) -> DataFrame:
         ("fee_positive", c("consultation_fee") > 0, c("consultation_fee")),
     ]))
     return out
+
+
+def update_patients(patients: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Apply sparse patient changes (only allowed columns); a change that
+    would give a phone to two patients is rejected. Returns (patients after,
+    rejected change ids with reason)."""
+    allowed = ["first_name", "last_name", "date_of_birth", "gender", "phone", "blood_group", "is_active"]
+    after = apply_updates(patients, changes, "id", allowed)
+    moved = after.join(patients.select("id", F.col("phone").alias("_old")), "id") \
+        .where(~F.col("phone").eqNullSafe(F.col("_old")))
+    holders = after.groupBy("phone").agg(F.count(F.lit(1)).alias("_n"))
+    clash = moved.join(holders, "phone").where(F.col("_n") > 1).select("id")
+    rejected = changes.join(clash, "id", "left_semi").select(
+        "id", F.lit("phone already registered").alias("reason"))
+    ok_changes = changes.join(clash, "id", "left_anti")
+    return apply_updates(patients, ok_changes, "id", allowed), rejected
+
+
+def create_departments(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """requests: request_id, name, consultation_fee. Names are unique
+    (first request wins), fees positive with at most two decimals."""
+    c = F.col
+    taken = existing.select(c("name").alias("_n")).distinct().withColumn("_t", F.lit(True))
+    r = requests.join(taken, requests.name == taken._n, "left").drop("_n")
+    fee = c("consultation_fee")
+    reason = first_failure(
+        (c("name").isNotNull() & (F.length(c("name")) > 0), "name is required"),
+        (fee > 0, "consultation fee must be positive"),
+        (fee == F.round(fee, 2), "consultation fee has more than two decimals"),
+        (c("_t").isNull(), "department already exists"))
+    r = r.withColumn("_reason", reason).withColumn("_ok", c("_reason").isNull())
+    r = _first_wins(r, ["name"], ["request_id"])
+    final = F.coalesce(c("_reason"), F.when(~c("_winner"), F.lit("department already exists")))
+    return _outcome(r, final, "request_id", "name")
+
+
+def register_staff(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """requests: request_id, email, full_name, role. Role must be valid and
+    the email new (first request wins)."""
+    c = F.col
+    taken = users.select(c("email").alias("_e")).distinct().withColumn("_t", F.lit(True))
+    r = requests.join(taken, requests.email == taken._e, "left").drop("_e")
+    reason = first_failure(
+        (c("role").isin(*ROLES), "invalid role"),
+        (c("_t").isNull(), "user with this email already exists"))
+    r = r.withColumn("_reason", reason).withColumn("_ok", c("_reason").isNull())
+    r = _first_wins(r, ["email"], ["request_id"])
+    final = F.coalesce(c("_reason"), F.when(~c("_winner"), F.lit("user with this email already exists")))
+    return _outcome(r, final, "request_id", "email")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from clinlytics.operators import jobs
 from clinlytics.plans.oracle_base import with_clinic
+from clinlytics.plans.sqlfiles import daily_revenue_sql
 from clinlytics.sources.driver import clinic_tables
 
 AS_OF_SQL = "DATE '2001-07-15'"
@@ -27,6 +28,7 @@ def _risk_flags_exploded(t):
 
 QUERIES = {
     "daily_revenue": _q(jobs.daily_revenue),
+    "daily_revenue_sql": _q(daily_revenue_sql),
     "operational_metrics": _q(jobs.operational_metrics),
     "patient_profiles": _q(jobs.patient_profiles, flatten_flags=True),
     "risk_flags": _q(_risk_flags_exploded),
@@ -184,6 +186,7 @@ summaries AS (
 
 ORACLES = {
     "daily_revenue": with_clinic(_DAILY_REVENUE),
+    "daily_revenue_sql": with_clinic(_DAILY_REVENUE),
     "operational_metrics": with_clinic(_OPERATIONAL),
     "patient_profiles": with_clinic("SELECT * FROM profiles", _PROFILE_CTES),
     "risk_flags": with_clinic(
