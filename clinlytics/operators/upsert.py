@@ -101,6 +101,30 @@ def upsert_table(spark: SparkSession, root: str, new: DataFrame, keys: list[str]
     return write_version(spark, root, out)
 
 
+# ------------------------------------------------------------ keyed log ----
+def write_epoch(spark: SparkSession, root: str, df: DataFrame, epoch: int) -> None:
+    """Append one micro-batch of upserts as its own ``epoch=N`` folder.
+
+    Overwriting that folder makes a retried batch idempotent, and the cost
+    is the batch size, not the table size.
+    """
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/epoch={epoch:09d}")
+
+
+def read_latest(spark: SparkSession, root: str, keys: list[str], created_col: str | None = None) -> DataFrame:
+    """Merge-on-read view of a keyed log: per key the row of the newest
+    epoch (a partial max_by aggregate); ``created_col`` keeps its earliest value."""
+    log = spark.read.parquet(root)
+    cols = [c for c in log.columns if c != "epoch" and c not in keys]
+    aggs = [F.max_by(F.struct(*cols), "epoch").alias("_r")]
+    if created_col:
+        aggs.append(F.min(created_col).alias("_created"))
+    out = log.groupBy(*keys).agg(*aggs).select(*keys, "_r.*")
+    if created_col:
+        out = out.drop(created_col).withColumnRenamed("_created", created_col)
+    return out
+
+
 # ------------------------------------------------------- jobs and runs ----
 # The job registry order and the error-text limit of the run log.
 JOB_ORDER = ("revenue_analytics", "clinical_summaries", "patient_analytics", "operational_metrics")

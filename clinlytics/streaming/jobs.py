@@ -51,13 +51,13 @@ def refresh_daily_revenue(spark: SparkSession, t, source_dir: str, out_root: str
         tt = dict(t)
         tt["billing_records"] = t["billing_records"].join(days, "payment_date", "left_semi")
         fresh = jobs.daily_revenue(_Tables(t, tt))
-        up.upsert_table(spark, out_root, fresh, ["date", "department_id"])
+        up.write_epoch(spark, out_root, fresh, epoch)
 
     q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
          .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     _run(q)
-    return up.read_current(spark, out_root)
+    return up.read_latest(spark, out_root, ["date", "department_id"])
 
 
 class _Tables(dict):
@@ -137,21 +137,25 @@ def ingest_summaries(spark: SparkSession, source_dir: str, store_root: str, chec
     schema = "patient_id long, summary_text string, visit_count int, summary_hash string"
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        cur = up.read_current(spark, store_root)
         todo = batch
-        if cur is not None:
-            have = cur.select("patient_id", "summary_hash").distinct()
+        if _has_epochs(spark, store_root):
+            have = up.read_latest(spark, store_root, ["chunk_id"]).select("patient_id", "summary_hash").distinct()
             todo = batch.join(have, ["patient_id", "summary_hash"], "left_anti")
         if todo.isEmpty():
             return
-        chunks = rg.build_store(todo, embedder=embedder).withColumn(
-            "summary_hash", F.lit(None).cast("string"))
-        hashes = todo.select("patient_id", F.col("summary_hash").alias("_h"))
-        chunks = chunks.join(hashes, "patient_id").withColumn("summary_hash", F.col("_h")).drop("_h")
-        up.upsert_table(spark, store_root, chunks, ["chunk_id"], created_col="created_at")
+        hashes = todo.select("patient_id", "summary_hash")
+        chunks = rg.build_store(todo.drop("summary_hash"), embedder=embedder).join(hashes, "patient_id")
+        up.write_epoch(spark, store_root, chunks, epoch)
 
     q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
          .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     _run(q)
-    return up.read_current(spark, store_root)
+    return up.read_latest(spark, store_root, ["chunk_id"], created_col="created_at")
+
+
+def _has_epochs(spark: SparkSession, root: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(st.getPath().getName().startswith("epoch=") for st in fs.listStatus(p))
