@@ -75,3 +75,15 @@ def test_store_auto_ingest(spark):
     assert [r.chunk_id for r in s.collect()] == ["1_visit_1"]
     st = rg.store_status(s).collect()[0]
     assert st.chunks == 1 and st.ready
+
+
+def test_keyed_log_is_idempotent_and_merges(spark):
+    root = tempfile.mkdtemp(prefix="klog-", dir="/tmp")
+    e0 = spark.createDataFrame([(1, "a", dt.datetime(2020, 1, 1)), (2, "b", dt.datetime(2020, 1, 1))],
+                               "id long, v string, created_at timestamp")
+    e1 = spark.createDataFrame([(2, "B", dt.datetime(2021, 1, 1))], "id long, v string, created_at timestamp")
+    up.write_epoch(spark, root, e0, 0)
+    up.write_epoch(spark, root, e1, 1)
+    up.write_epoch(spark, root, e1, 1)  # a retried micro-batch
+    got = sorted(tuple(r) for r in up.read_latest(spark, root, ["id"], created_col="created_at").collect())
+    assert got == [(1, "a", dt.datetime(2020, 1, 1)), (2, "B", dt.datetime(2020, 1, 1))]
