@@ -119,10 +119,11 @@ def read_latest(spark: SparkSession, root: str, keys: list[str], created_col: st
     aggs = [F.max_by(F.struct(*cols), "epoch").alias("_r")]
     if created_col:
         aggs.append(F.min(created_col).alias("_created"))
-    out = log.groupBy(*keys).agg(*aggs).select(*keys, "_r.*")
+    out = log.groupBy(*keys).agg(*aggs)
     if created_col:
-        out = out.drop(created_col).withColumnRenamed("_created", created_col)
-    return out
+        return out.select(*keys, "_r.*", "_created").drop(created_col) \
+            .withColumnRenamed("_created", created_col).select(*keys, *cols)
+    return out.select(*keys, "_r.*")
 
 
 # ------------------------------------------------------- jobs and runs ----
