@@ -253,8 +253,11 @@ def visit_rows(t, as_of=None) -> DataFrame:
         F.col("id").alias("billing_record_id"), "visit_id", F.col("total_amount").alias("billing_amount"),
         F.col("status").alias("billing_status"), "payment_method")
     li = line_items_text(t)
-    j = (v.join(p, "patient_id").join(doc, "doctor_id").join(u, "user_id").join(_dim(d), "department_id")
-         .join(br.join(li, "billing_record_id", "left"), "visit_id", "left"))
+    # invoices join on visit_id first, patients last: the patient_id
+    # partitioning of that join is reused by the per-patient aggregation
+    j = (v.join(br.join(li, "billing_record_id", "left"), "visit_id", "left")
+         .join(doc, "doctor_id").join(u, "user_id").join(_dim(d), "department_id")
+         .join(p, "patient_id"))
     return j.select(
         "patient_id", "full_name", "age", "gender", "blood_group", "phone", "visit_id", "visit_date",
         "doctor_name", "department_name", "symptoms", "diagnosis", "diagnosis_code", "prescription",
