@@ -6,8 +6,6 @@ columns such as password hashes or file paths ever reach the output).
 """
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +40,6 @@ def paginate(df: DataFrame, order: list[Column], page=1, per_page=20) -> DataFra
     })
 
 
-def pages_count(total: int, per_page: int) -> int:
-    return int(math.ceil(total / per_page)) if per_page else 0
-
-
 def ordinal_within(df: DataFrame, key: str, ts: str, tie: str, descending: bool = False,
                    slice_unit: str = "month") -> DataFrame:
     """Add ``ordinal`` = 1-based position of each row within its ``key``.

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from clinlytics.operators import jobs
-from clinlytics.operators import retrieval as rg
 from clinlytics.operators import upsert as up
 from clinlytics.plans.catalog_jobs import _DAILY_REVENUE, _OPERATIONAL
 from clinlytics.plans.catalog_rag import _RAG_CTES, _store
@@ -78,5 +77,3 @@ ORACLES = {
         "SELECT CAST(COALESCE(SUM(rows_processed), 0) AS BIGINT) AS rows_processed, COUNT(*) AS jobs, "
         "COALESCE(bool_and(status = 'success'), true) AS all_success FROM latest", _RUN_CTES),
 }
-
-del rg  # the store builder is reached through _store
