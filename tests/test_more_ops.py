@@ -87,3 +87,42 @@ def test_keyed_log_is_idempotent_and_merges(spark):
     up.write_epoch(spark, root, e1, 1)  # a retried micro-batch
     got = sorted(tuple(r) for r in up.read_latest(spark, root, ["id"], created_col="created_at").collect())
     assert got == [(1, "a", dt.datetime(2020, 1, 1)), (2, "B", dt.datetime(2020, 1, 1))]
+
+
+def test_reschedule_only_scheduled_and_free_slot(spark):
+    t = seed.tables(spark)
+    req = spark.createDataFrame([
+        (1, 2, seed.AS_OF, "16:00"),   # scheduled, free slot -> ok
+        (2, 1, seed.AS_OF, "16:30"),   # completed -> rejected
+        (3, 3, seed.AS_OF, "09:00"),   # doctor 1 already holds 09:00
+    ], "request_id long, appointment_id long, appointment_date date, appointment_time string")
+    got = {r.request_id: r.reason for r in wr.reschedule_appointments(t["appointments"], req).collect()}
+    assert got == {1: None, 2: "only scheduled appointments can be rescheduled", 3: "slot already booked"}
+
+
+def test_sparse_updates_soft_delete_remove(spark):
+    t = seed.tables(spark)
+    ch = spark.createDataFrame([(2, 1, "Cardio", True, Decimal("900.00"), False),
+                                (2, 2, None, False, Decimal("650.00"), True)],
+                               "id int, change_id int, name string, set_name boolean, consultation_fee decimal(10,2), "
+                               "set_consultation_fee boolean")
+    d = {r.id: r for r in wr.apply_updates(t["departments"], ch, "id", ["name", "consultation_fee"]).collect()}
+    assert d[2].name == "Gastroenterology" and d[2].consultation_fee == Decimal("650.00")  # latest change wins
+    gone = spark.createDataFrame([(3,)], "id int")
+    assert {r.id: r.is_active for r in wr.soft_delete(t["departments"], gone).collect()}[3] is False
+    assert sorted(r.id for r in wr.remove_rows(t["departments"], gone).collect()) == [1, 2, 4]
+
+
+def test_plugged_in_model_embedder(spark):
+    from clinlytics.functions.vectors import model_embedder
+
+    def fake_model(texts):
+        return [[float(len(s)), float(s.count("a")), 1.0] for s in texts]
+
+    t = seed.tables(spark)
+    store = rg.build_store(jobs.clinical_summaries(t, as_of=seed.AS_OF), embedder=model_embedder(fake_model, 3))
+    vec = store.collect()[0].embedding
+    assert len(vec) == 3 and vec[2] == 1.0
+    q = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, qvec array<double>")
+    top = rg.vector_topk(q, store, top_k=1).collect()
+    assert top[0].chunk_id == "1_visit_1" and top[0].rank == 1
