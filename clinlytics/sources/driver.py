@@ -59,6 +59,7 @@ _SORT_KEYS = {
     "billing_items": "billing_record_id",
 }
 _MATERIALIZED: dict[tuple[str, str], str] = {}
+_SCANS: dict[tuple[str, str], dict] = {}
 
 
 def clinic_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> ClinicTables:
@@ -87,8 +88,12 @@ def clinic_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
                 df = df.sortWithinPartitions(_SORT_KEYS[name])
             df.write.mode("overwrite").parquet(f"{root}/{name}")
         _MATERIALIZED[key] = root
-    for name in CLINIC_TABLES:
-        t[name] = spark.read.parquet(f"{root}/{name}")
+    scans = _SCANS.get(key)
+    if scans is None:
+        # one listing and footer read per table and session; the plans are reused
+        scans = {name: spark.read.parquet(f"{root}/{name}") for name in CLINIC_TABLES}
+        _SCANS[key] = scans
+    t.update(scans)
     return t
 
 
