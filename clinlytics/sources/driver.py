@@ -24,8 +24,17 @@ CLINIC_TABLES = (
 )
 
 
+_DRIVER_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of a driver table, reused within the session (one file listing)."""
+    path = f"{os.path.abspath(sf_dir)}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _DRIVER_SCANS.get(key)
+    if df is None:
+        df = _DRIVER_SCANS[key] = spark.read.parquet(path)
+    return df
 
 
 class ClinicTables(dict):
@@ -113,7 +122,10 @@ def materialized(spark: SparkSession, key: str, build) -> DataFrame:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/derived-{uuid.uuid4().hex}"
         build().write.mode("overwrite").parquet(path)
         _MATERIALIZED[k] = path
-    return spark.read.parquet(path)
+    scan = _SCANS.get(k)
+    if scan is None:
+        scan = _SCANS[k] = spark.read.parquet(path)
+    return scan
 
 
 def _departments(t: ClinicTables) -> DataFrame:
