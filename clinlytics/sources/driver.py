@@ -91,11 +91,13 @@ def clinic_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
         from clinlytics.session import ensure_checkpoint_dir
         base = ensure_checkpoint_dir(spark).rstrip("/")
         root = f"{base}/clinic-{uuid.uuid4().hex}"
-        for name in CLINIC_TABLES:
+        for name in CLINIC_TABLES:  # dependency order
             df = t[name]
             if name in _SORT_KEYS:
                 df = df.sortWithinPartitions(_SORT_KEYS[name])
             df.write.mode("overwrite").parquet(f"{root}/{name}")
+            # later tables derive from the written one, not from the raw chain
+            t[name] = spark.read.parquet(f"{root}/{name}")
         _MATERIALIZED[key] = root
     scans = _SCANS.get(key)
     if scans is None:
