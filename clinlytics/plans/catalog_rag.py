@@ -77,7 +77,7 @@ QUERIES = {
     "store_status": _q(lambda t: rg.store_status(_store(t))),
     "ingest_stats": _q(lambda t: rg.ingest_stats(jobs.clinical_summaries(t), _store(t))),
     "retrieve_batch": _q(lambda t: rg.retrieve_batch(retrieval_queries(t), _store(t))
-                         .select(*_RESULT_COLS, "path")),
+                         .select(*_RESULT_COLS[:-1], F.round("score", 9).alias("score"), "path")),
 }
 
 _STOP = ", ".join(f"'{w}'" for w in (
@@ -167,6 +167,28 @@ cand AS (
   FROM vscore QUALIFY crank <= 30),
 dedup AS (
   SELECT * FROM cand QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id, patient_id ORDER BY crank) = 1)
+,
+qtok_b AS (
+  SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}]+'),
+                                      lambda s: s <> '')) AS t FROM rq WHERE query_id NOT IN (SELECT query_id FROM named)),
+qvec_b AS (
+  SELECT query_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS b,
+    SUM(CASE WHEN CAST('0x' || substr(md5(t), 9, 1) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS x
+  FROM qtok_b GROUP BY ALL),
+qn_b AS (SELECT query_id, SUM(x * x) AS n FROM qvec_b GROUP BY query_id),
+vdot_b AS (
+  SELECT q.query_id, c.chunk_id, ANY_VALUE(c.patient_id) AS patient_id, SUM(q.x * c.x) AS d
+  FROM qvec_b q JOIN cvec c ON c.b = q.b GROUP BY q.query_id, c.chunk_id),
+vscore_b AS (
+  SELECT v.query_id, v.chunk_id, v.patient_id,
+    CASE WHEN qn.n > 0 AND cn.n > 0 THEN CAST(v.d AS DOUBLE) / (sqrt(CAST(qn.n AS DOUBLE)) * sqrt(CAST(cn.n AS DOUBLE))) END
+      AS score
+  FROM vdot_b v JOIN qn_b qn ON qn.query_id = v.query_id JOIN cn ON cn.chunk_id = v.chunk_id),
+cand_b AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS crank
+  FROM vscore_b QUALIFY crank <= 30),
+dedup_b AS (
+  SELECT * FROM cand_b QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id, patient_id ORDER BY crank) = 1)
 """
 
 _PROMPT = rg.DEFAULT_SYSTEM_PROMPT.replace("'", "''").replace("\n", "' || chr(10) || '")
@@ -205,6 +227,19 @@ ORACLES = {
     "sources": with_clinic(
         "SELECT query_id, CAST(rank AS INTEGER) AS rank, patient_id, patient_name, visit_date, department FROM named",
         _RAG_CTES),
+    "ingest_stats": with_clinic("""
+        SELECT (SELECT COUNT(*) FROM chunks) AS chunks_ingested,
+          (SELECT COUNT(*) FROM summaries WHERE trim(summary_text) <> '') AS patients_processed,
+          (SELECT COUNT(*) FROM summaries WHERE summary_text IS NULL OR trim(summary_text) = '') AS patients_skipped,
+          (SELECT COUNT(*) FROM chunks) AS total_in_store""", _RAG_CTES),
+    "retrieve_batch": with_clinic("""
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, patient_id, visit_date, score, 'name' AS path
+        FROM named
+        UNION ALL
+        SELECT d.query_id, CAST(ROW_NUMBER() OVER (PARTITION BY d.query_id ORDER BY d.crank) AS INTEGER) AS rank,
+          d.chunk_id, d.patient_id, m.visit_date, round(d.score, 9) AS score, 'vector' AS path
+        FROM dedup_b d JOIN chunk_meta m ON m.chunk_id = d.chunk_id
+        QUALIFY rank <= 10""", _RAG_CTES),
     "store_status": with_clinic(
         "SELECT COUNT(*) AS chunks, TIMESTAMP '2001-07-15 00:00:00' AS last_ingested, COUNT(*) > 0 AS ready "
         "FROM chunks", _RAG_CTES),
