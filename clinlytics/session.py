@@ -48,6 +48,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def apply_required_conf(spark: SparkSession) -> None:
+    """Set the session settings every plan here relies on (idempotent)."""
+    for k, v in REQUIRED_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 

@@ -80,7 +80,8 @@ def clinic_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     operational tables) instead of re-deriving them; the write also cuts
     lineage, so a lost executor costs a re-read, not a re-derivation.
     """
-    from clinlytics.session import ship_package
+    from clinlytics.session import apply_required_conf, ship_package
+    apply_required_conf(spark)
     ship_package(spark)
     t = ClinicTables(spark, sf_dir)
     if not materialize:
