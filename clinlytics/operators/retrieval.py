@@ -192,10 +192,12 @@ def _partition_topk(q_ids, q_mat, q_filters, filter_cols, id_col, vec_col, k, q_
             ids = pdf[id_col].to_numpy()
             out_q, out_id, out_s = [], [], []
             for b0 in range(0, len(qids), q_block):
-                qs = slice(b0, b0 + q_block)
-                den = cn[:, None] * qn[None, qs]
+                # one matrix-vector product per query: a score never depends
+                # on which other queries share the batch (no blocking effects)
+                idx_q = range(b0, min(b0 + q_block, len(qids)))
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    sc = np.where(den > 0, (vecs @ qm[qs].T) / den, np.nan)
+                    sc = np.stack([np.where(cn * qn[j] > 0, (vecs @ qm[j]) / (cn * qn[j]), np.nan)
+                                   for j in idx_q], axis=1)
                 for jj in range(sc.shape[1]):
                     j = b0 + jj
                     m = np.ones(len(ids), dtype=bool)
@@ -222,6 +224,21 @@ def _partition_topk(q_ids, q_mat, q_filters, filter_cols, id_col, vec_col, k, q_
     return run
 
 
+def _query_batches(q: DataFrame, salt: int = 0):
+    """Collected query rows in batches of at most MAX_QUERY_BATCH. One pass
+    when the batch is small (limit MAX+1 checks the size and fetches it);
+    otherwise hash buckets, re-split with a new salt while over the bound."""
+    first = q.limit(MAX_QUERY_BATCH + 1).collect()
+    if len(first) <= MAX_QUERY_BATCH:
+        yield first
+        return
+    n = q.count()
+    parts = int(math.ceil(n * 2 / MAX_QUERY_BATCH))
+    for i in range(parts):
+        yield from _query_batches(
+            q.where(F.pmod(F.xxhash64("query_id", F.lit(salt)), F.lit(parts)) == i), salt + 1)
+
+
 def vector_topk(queries: DataFrame, candidates: DataFrame, top_k: int = TOP_K,
                 id_col: str = "chunk_id", vec_col: str = "embedding", filter_cols: list[str] | None = None,
                 score_digits: int | None = None) -> DataFrame:
@@ -247,8 +264,7 @@ def vector_topk(queries: DataFrame, candidates: DataFrame, top_k: int = TOP_K,
     id_type = dict(candidates.dtypes)[id_col]
     qid_type = dict(queries.dtypes)["query_id"]
     parts = []
-    for batch in _bounded_batches(queries.select("query_id", "qvec", *filter_cols), MAX_QUERY_BATCH, "query_id"):
-        rows = batch.collect()  # at most MAX_QUERY_BATCH rows (counted above)
+    for rows in _query_batches(queries.select("query_id", "qvec", *filter_cols)):
         if not rows:
             continue
         q_ids = sc.broadcast([r["query_id"] for r in rows])

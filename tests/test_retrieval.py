@@ -97,3 +97,14 @@ def test_prompts_and_no_result_answer(spark):
     assert out["b"].system_prompt is None and out["b"].answer == rg.NO_RESULT_ANSWER
     ans = {r.query_id: r.answer for r in rg.generate_answers(rg.build_prompts(q, res)).collect()}
     assert ans["a"] == "doc1" and ans["b"] == rg.NO_RESULT_ANSWER
+
+
+def test_vector_topk_query_batches_split(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vecs = rng.normal(size=(50, 4)).astype("float32")
+    cand = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(j, rng.normal(size=4).tolist()) for j in range(7)], "query_id long, qvec array<double>")
+    whole = sorted(tuple(r) for r in rg.vector_topk(q, cand, top_k=3, id_col="vec_id").collect())
+    monkeypatch.setattr(rg, "MAX_QUERY_BATCH", 2)
+    split = sorted(tuple(r) for r in rg.vector_topk(q, cand, top_k=3, id_col="vec_id").collect())
+    assert split == whole and len(whole) == 21
