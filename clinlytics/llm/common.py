@@ -7,6 +7,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,46 @@ def map_text(df: DataFrame, keep: list[str], new: str, make: Callable[[], Callab
     return df.select(*keep, F.col(text).alias("_llm_text")).mapInArrow(run, schema)
 
 
+def in_blocks(rows: DataFrame, key: str, size: str, member: str, block: int) -> DataFrame:
+    """Deal the members of every group to pairs of blocks of about ``block`` rows.
+
+    ``size`` holds the group's number of rows. A group of g blocks becomes the
+    g (g + 1) / 2 block pairs (lo, hi); every pair of members meets in exactly
+    one of them, and no task holds more than two blocks at a time. ``side`` is
+    the row's own block. Rows come out partitioned and sorted by (key, lo, hi).
+    """
+    parts = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(member), parts).cast("int")
+    dealt = rows.withColumn("side", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1))).drop(size)
+    dealt = dealt.withColumns({"lo": F.least("side", "_other"), "hi": F.greatest("side", "_other")}).drop("_other")
+    return dealt.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str],
+           decode: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of each run of equal keys in sorted batches, as decoded arrays."""
+    held: list[tuple[np.ndarray, ...]] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys], axis=1)
+        arrays = decode(batch)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        for i in range(len(cuts) - 1):
+            if held and (i or tuple(k[0]) != last):
+                yield _concatenated(held)
+                held = []
+            held.append(tuple(a[cuts[i]:cuts[i + 1]] for a in arrays))
+        last = tuple(k[-1])
+    if held:
+        yield _concatenated(held)
+
+
+def _concatenated(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def word_counts(docs: DataFrame, pattern: str, per_document: bool, keep_in_memory: int = 200_000) -> DataFrame:
     """(word, n) over all whole texts, lower-cased; ``per_document`` counts each
     word once per text. Each task adds up before the shuffle in a table of at
