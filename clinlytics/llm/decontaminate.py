@@ -113,8 +113,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     return written(own.select("doc_id", "text_key", "phrase", "n", "start", kind.alias("kind")).where("kind is not null").distinct()), cut
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The op8 result, one row per document row."""
+def report(docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> DataFrame:
+    """The op8 result, one row per document row; ``proximity`` adds n_near, the items with proximity matches."""
     found, cut = matches(docs, benchmark)
     exact = found.where("kind = 'exact'")
     key = ["doc_id", "text_key"]
@@ -122,15 +122,18 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = exact.select(*key, "start", "n").distinct().select(*key, place).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
     items = (exact.select(*key, "phrase").distinct().join(cut, "phrase").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
              .groupBy(*key).agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items")))
+    side = _by_key(hit, items, "full")
     near = (found.where("kind = 'near'").select(*key, "phrase").distinct().join(cut, "phrase").select(*key, "item_id").distinct()
             .groupBy(*key).agg(F.count(F.lit(1)).alias("n_near")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count(F.translate("text", UPPER, LOWER), F.lit(WORD)).cast("bigint"), F.lit(0)).alias("n_words"))
-    side = _by_key(_by_key(hit, items, "full"), near, "full")
+    if proximity:
+        side = _by_key(side, near, "full")
     out = _by_key(rows, written(side), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
                       F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
-                      ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+                      ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+                      *([F.coalesce("n_near", F.lit(0)).alias("n_near")] if proximity else []))
 
 
 def _by_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
