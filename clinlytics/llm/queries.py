@@ -22,9 +22,9 @@ _COMPONENTS = """
     part AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
 _OP6 = f"""
-    WITH RECURSIVE node AS (SELECT vec_id AS id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+    WITH RECURSIVE node AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
     unit AS (SELECT id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM node
-             WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             WHERE label IS NOT NULL AND e IS NOT NULL AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0),
     both_ AS (SELECT a.id AS u, b.id AS v FROM unit a JOIN unit b ON a.label = b.label AND a.id <> b.id
               WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {pivot_index.COSINE}),
     n AS (SELECT u AS id, count(*) AS n FROM both_ GROUP BY u), {_COMPONENTS}
