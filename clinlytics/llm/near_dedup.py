@@ -154,7 +154,7 @@ def estimated(edges: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def confirmed(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """The ``edges(u, v)`` whose full shingle sets meet 100 * intersection >= 75 * union."""
-    ids = edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct()
+    ids = written(edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct())
     texts = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi").distinct()
     texts = written(texts)
     both = (edges.join(texts.withColumnsRenamed({"doc_id": "u", "text": "_a"}), "u")
