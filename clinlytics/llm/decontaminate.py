@@ -100,11 +100,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     df = frequencies(docs, written(terms.select("term").distinct()))
     plan = written(rarest(terms, df))
     found = written(candidates(docs, plan))
-    # The words of documents with candidates only.
-    at = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("phrase", "n", "start", "apart")).alias("found"))
+    # The words of documents with candidates only: their keys are a written table, so its size decides how they are joined.
+    keys = written(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
     rows = keyed(docs)
-    own = rows.join(at, (rows.text_key == at.text_key) & rows.doc_id.eqNullSafe(at.doc_id)).select(rows.doc_id, rows.text_key, "text", "found")
-    own = own.select("doc_id", "text_key", words(F.col("text")).alias("w"), F.explode("found").alias("f")).select("doc_id", "text_key", "w", "f.*")
+    rows = rows.join(keys, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_key == F.col("_key")), "left_semi").distinct()
+    at = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("phrase", "n", "start", "apart")).alias("found"))
+    own = _by_key(rows, at, "inner").select("doc_id", "text_key", words(F.col("text")).alias("w"), F.explode("found").alias("f")).select("doc_id", "text_key", "w", "f.*")
     exact = (F.col("start") >= 0) & (F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("start") + 1), F.col("n")), " ") == F.col("phrase"))
     stretch = F.slice("w", F.greatest(F.lit(1), F.col("start") + 1 - SLACK), F.col("n") + 2 * SLACK)
     distinct = F.array_distinct(F.split("phrase", " "))
