@@ -5,13 +5,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-def name_detector(rule: Callable[[str], str]):
-    @F.pandas_udf("string")
-    def detect(qs: pd.Series) -> pd.Series:
-        return qs.map(rule)
-    return detect
-
-
 def batch_embedder(embed_fn: Callable, dim: int, batch: int):
     """Iterator UDF: the model is built once per worker process and is fed
     at most ``batch`` texts per call."""

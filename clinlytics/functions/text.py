@@ -47,26 +47,9 @@ def detect_name(query: Column) -> Column:
     return F.when(n >= 2, F.concat(first["w1"], F.lit(" "), first["w2"]))
 
 
-def _first_name_pair(query):
-    """Python form of the name rule for one query string (None if no pair)."""
-    if query is None:
-        return None
-    ws = [w.rstrip(".,?") for w in query.split()]
-    stop = set(NAME_STOPWORDS)
-    for w1, w2 in zip(ws, ws[1:]):
-        if (w1 and w2 and w1[0].isupper() and w2[0].isupper() and len(w1) > 2 and len(w2) > 2
-                and w1.lower() not in stop and w2.lower() not in stop):
-            return f"{w1} {w2}"
-    return None
-
-
 def detect_name_columns(df, query_col: str, out: str = "detected_name"):
-    """``detect_name`` for a table of questions as an Arrow-batched Pandas
-    UDF: a small per-row string helper. (The pure-SQL ``detect_name`` gets
-    re-inlined by filter pushdown into one nested lambda expression, which
-    costs far more per row than this.)"""
-    from clinlytics.functions.pyudfs import name_detector
-    return df.withColumn(out, name_detector(_first_name_pair)(F.col(query_col)))
+    """``detect_name`` as a column of a table of questions."""
+    return df.withColumn(out, detect_name(F.col(query_col)))
 
 
 def last_nonempty(arr: Column) -> Column:

@@ -175,18 +175,18 @@ def available_slots(t, requests: DataFrame | None = None) -> DataFrame:
     """Free slots per requested (doctor_id, date) of an active doctor.
 
     Without explicit requests every (doctor, day) that has bookings is
-    asked for. Slots are generated per request and the live bookings are
-    removed with an anti join on (doctor, date, time).
+    asked for. Live bookings are one small set per doctor-day (a partial
+    aggregate of at most 16 slot labels); the free slots are what it leaves.
     """
-    appts = t["appointments"]
-    if requests is None:
-        requests = appts.select("doctor_id", F.col("appointment_date").alias("date")).distinct()
+    slots = slot_times()
+    live = ~F.col("status").isin(*LIVE_BOOKING_EXCLUDED) & F.array_contains(slots, F.col("appointment_time"))
+    days = t["appointments"].groupBy("doctor_id", F.col("appointment_date").alias("date")) \
+        .agg(F.collect_set(F.when(live, F.col("appointment_time"))).alias("_booked"))
+    if requests is not None:
+        days = requests.select("doctor_id", "date").distinct().join(days, ["doctor_id", "date"], "left")
     active = t["doctors"].where(F.col("is_active")).select(F.col("id").alias("doctor_id"))
-    req = requests.join(active, "doctor_id", "left_semi")
-    slots = req.select("doctor_id", "date", F.explode(slot_times()).alias("slot"))
-    booked = appts.where(~F.col("status").isin(*LIVE_BOOKING_EXCLUDED)).select(
-        "doctor_id", F.col("appointment_date").alias("date"), F.col("appointment_time").alias("slot"))
-    return slots.join(booked, ["doctor_id", "date", "slot"], "left_anti")
+    free = F.array_except(slots, F.coalesce(F.col("_booked"), F.array().cast("array<string>")))
+    return days.join(active, "doctor_id", "left_semi").select("doctor_id", "date", F.explode(free).alias("slot"))
 
 
 def doctor_schedule(t, day=None) -> DataFrame:

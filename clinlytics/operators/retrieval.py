@@ -183,6 +183,13 @@ def _partition_topk(q_ids, q_mat, q_filters, filter_cols, id_col, vec_col, k, q_
         qn = np.sqrt((qm * qm).sum(axis=1))
         qids = q_ids.value
         qf = q_filters.value if q_filters is not None else None
+        held = pd.DataFrame({"_q": [], id_col: [], "score": [], "_key": []})
+
+        def cut(frames):
+            """The k best rows per query of the task so far."""
+            every = pd.concat(frames).sort_values(["_q", "_key", id_col], kind="stable")
+            return every[every.groupby("_q").cumcount() < k]
+
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -190,7 +197,7 @@ def _partition_topk(q_ids, q_mat, q_filters, filter_cols, id_col, vec_col, k, q_
             vecs = np.array([v if v is not None else np.zeros(dim) for v in pdf[vec_col]], dtype=np.float64)
             cn = np.sqrt((vecs * vecs).sum(axis=1))
             ids = pdf[id_col].to_numpy()
-            out_q, out_id, out_s = [], [], []
+            out_q, out_id, out_s, out_k = [], [], [], []
             for b0 in range(0, len(qids), q_block):
                 # one matrix-vector product per query: a score never depends
                 # on which other queries share the batch (no blocking effects)
@@ -214,29 +221,31 @@ def _partition_topk(q_ids, q_mat, q_filters, filter_cols, id_col, vec_col, k, q_
                         keep = key <= kth
                         idx, key = idx[keep], key[keep]
                     best = sorted(zip(key.tolist(), ids[idx].tolist(), idx.tolist()))[:k]
-                    for _, cid, i in best:
-                        out_q.append(qids[j])
+                    for order, cid, i in best:
+                        out_q.append(j)
                         out_id.append(cid)
+                        out_k.append(order)
                         s_ = sc[i, jj]
                         out_s.append(None if np.isnan(s_) else float(s_))
-            yield pd.DataFrame({"query_id": out_q, id_col: out_id, "score": out_s})
+            fresh = pd.DataFrame({"_q": out_q, id_col: out_id, "score": pd.Series(out_s, dtype=object), "_key": out_k})
+            held = cut([held, fresh]) if len(held) else fresh
+        yield pd.DataFrame({"query_id": pd.Series([qids[int(j)] for j in held["_q"]], dtype=object),
+                            id_col: held[id_col].to_numpy(), "score": held["score"].to_numpy()})
 
     return run
 
 
-def _query_batches(q: DataFrame, salt: int = 0):
-    """Collected query rows in batches of at most MAX_QUERY_BATCH. One pass
-    when the batch is small (limit MAX+1 checks the size and fetches it);
-    otherwise hash buckets, re-split with a new salt while over the bound."""
-    first = q.limit(MAX_QUERY_BATCH + 1).collect()
-    if len(first) <= MAX_QUERY_BATCH:
-        yield first
-        return
-    n = q.count()
-    parts = int(math.ceil(n * 2 / MAX_QUERY_BATCH))
-    for i in range(parts):
-        yield from _query_batches(
-            q.where(F.pmod(F.xxhash64("query_id", F.lit(salt)), F.lit(parts)) == i), salt + 1)
+def _query_batches(q: DataFrame):
+    """Query rows in batches of at most MAX_QUERY_BATCH, streamed through the
+    driver one batch at a time; rows without a vector have no neighbours."""
+    rows: list = []
+    for r in q.where(F.col("qvec").isNotNull()).toLocalIterator():
+        rows.append(r)
+        if len(rows) == MAX_QUERY_BATCH:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
 
 
 def vector_topk(queries: DataFrame, candidates: DataFrame, top_k: int = TOP_K,
@@ -247,8 +256,8 @@ def vector_topk(queries: DataFrame, candidates: DataFrame, top_k: int = TOP_K,
     ``queries``: query_id, qvec (+ filter columns); ``candidates``: id_col,
     vec_col (+ the same filter columns, which must then match exactly).
 
-    The query batch is counted and split into hash batches of at most
-    MAX_QUERY_BATCH rows; each batch is broadcast as a matrix. Candidates are
+    Queries go in batches of at most MAX_QUERY_BATCH rows; each batch is
+    broadcast as a matrix. Candidates are
     scored where they lie (no shuffle, no row per query-candidate pair): each
     task keeps its local top k per query, then a per-query row_number <= k
     (a partial group limit before the shuffle) picks the global top k.
@@ -265,8 +274,6 @@ def vector_topk(queries: DataFrame, candidates: DataFrame, top_k: int = TOP_K,
     qid_type = dict(queries.dtypes)["query_id"]
     parts = []
     for rows in _query_batches(queries.select("query_id", "qvec", *filter_cols)):
-        if not rows:
-            continue
         q_ids = sc.broadcast([r["query_id"] for r in rows])
         q_mat = sc.broadcast(np.array([r["qvec"] for r in rows], dtype=np.float64))
         q_f = sc.broadcast([tuple(r[c] for c in filter_cols) for r in rows]) if filter_cols else None

@@ -16,7 +16,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinlytics.functions.core import as_of_lit
@@ -86,10 +86,17 @@ def read_current(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root.rstrip('/')}/version={vs[-1]:06d}") if vs else None
 
 
+def _last_attempt(spark: SparkSession, root: str) -> int:
+    """Highest version number of any folder, committed or left by a crash."""
+    fs, p = _fs(spark, root)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    return max((int(x.split("=", 1)[1]) for x in names if x.startswith("version=")), default=0)
+
+
 def write_version(spark: SparkSession, root: str, df: DataFrame) -> int:
-    """Write ``df`` as the next version; it becomes current once committed."""
-    vs = list_versions(spark, root)
-    n = (vs[-1] + 1) if vs else 1
+    """Write ``df`` as the next version; it becomes current once committed.
+    Every attempt has a folder of its own, so one that died blocks nothing."""
+    n = _last_attempt(spark, root) + 1
     df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/version={n:06d}")
     return n
 
@@ -102,21 +109,45 @@ def upsert_table(spark: SparkSession, root: str, new: DataFrame, keys: list[str]
 
 
 # ------------------------------------------------------------ keyed log ----
-def write_epoch(spark: SparkSession, root: str, df: DataFrame, epoch: int) -> None:
-    """Append one micro-batch of upserts as its own ``epoch=N`` folder.
+def writer_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that owns ``checkpoint``, kept beside it; a lost
+    checkpoint gives a new id, so its epochs never meet the old ones."""
+    path = f"{checkpoint.rstrip('/')}-writer"
+    fs, p = _fs(spark, path)
+    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) or not _fs(spark, checkpoint)[0].exists(_fs(spark, checkpoint)[1]):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first()["id"]
+
+
+def write_epoch(spark: SparkSession, root: str, df: DataFrame, epoch: int, writer: str = "0") -> None:
+    """Write one micro-batch of upserts as its own ``writer=W/epoch=N`` folder.
 
     Overwriting that folder makes a retried batch idempotent, and the cost
-    is the batch size, not the table size.
+    is the batch size, not the table size. ``_at`` orders the batches of
+    several writers by the time they were written.
     """
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/epoch={epoch:09d}")
+    at = F.lit(time.time_ns() // 1000)
+    df.withColumn("_at", at).write.mode("overwrite").parquet(f"{root.rstrip('/')}/writer=w{writer}/epoch={epoch:09d}")
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """All committed epochs of a keyed log (folders with Spark's marker), with ``_at`` and ``epoch``."""
+    return spark.read.option("basePath", root).parquet(*epochs(spark, root)).drop("writer")
+
+
+def epochs(spark: SparkSession, root: str) -> list[str]:
+    fs, p = _fs(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = fs.globStatus(path(p, "writer=*/epoch=*")) if fs.exists(p) else []
+    return sorted(st.getPath().toString() for st in found if fs.exists(path(st.getPath(), "_SUCCESS")))
 
 
 def read_latest(spark: SparkSession, root: str, keys: list[str], created_col: str | None = None) -> DataFrame:
     """Merge-on-read view of a keyed log: per key the row of the newest
     epoch (a partial max_by aggregate); ``created_col`` keeps its earliest value."""
-    log = spark.read.parquet(root)
-    cols = [c for c in log.columns if c != "epoch" and c not in keys]
-    aggs = [F.max_by(F.struct(*cols), "epoch").alias("_r")]
+    log = read_log(spark, root)
+    cols = [c for c in log.columns if c not in ("epoch", "_at") and c not in keys]
+    aggs = [F.max_by(F.struct(*cols), F.struct("_at", "epoch")).alias("_r")]
     if created_col:
         aggs.append(F.min(created_col).alias("_created"))
     out = log.groupBy(*keys).agg(*aggs)
@@ -148,19 +179,19 @@ def job_registry() -> dict[str, tuple[Callable, list[str]]]:
 def run_job(spark: SparkSession, t, name: str, out_root: str, as_of=None) -> dict:
     """Run one job, upsert its output and return its run-log rows.
 
-    The row count comes from an Observation on the written plan, so the
-    output is computed once.
+    The job's rows are written once to a stage folder; the key check, the
+    upsert and the row count read that.
     """
-    from pyspark.sql import Observation
     fn, keys = job_registry()[name]
     run_id = uuid.uuid4().hex
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     t0 = time.perf_counter()
     try:
-        obs = Observation(f"rows_{name}_{run_id[:8]}")
-        df = fn(t, as_of=as_of).observe(obs, F.count(F.lit(1)).alias("rows"))
-        upsert_table(spark, f"{out_root.rstrip('/')}/{name}", df, keys, check=True)
-        rows = int(obs.get["rows"])
+        stage = f"{out_root.rstrip('/')}/_stage/{name}-{run_id}"
+        fn(t, as_of=as_of).write.parquet(stage)
+        new = spark.read.parquet(stage)
+        upsert_table(spark, f"{out_root.rstrip('/')}/{name}", new, keys, check=True)
+        rows = new.count()
         status, err = "success", None
     except Exception as e:  # noqa: BLE001 - the run log records any failure
         rows, status, err = 0, "failed", str(e)[:ERROR_LIMIT]
@@ -172,9 +203,11 @@ def run_job(spark: SparkSession, t, name: str, out_root: str, as_of=None) -> dic
 
 def run_all(spark: SparkSession, t, out_root: str, as_of=None, names=None) -> tuple[DataFrame, list[str]]:
     """Run jobs in registry order, continue after a failure; returns the
-    run-log frame (start and end event per job) and the failed job names."""
+    run-log frame (start and end event per job) and the failed job names.
+    The log is appended to ``<out_root>/_runs`` after each job."""
     from decimal import Decimal
     rows, failed = [], []
+    cols = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
     for name in names or JOB_ORDER:
         r = run_job(spark, t, name, out_root, as_of)
         start = dict(r, status="running", completed_at=None, duration_seconds=None, rows_processed=0,
@@ -183,7 +216,8 @@ def run_all(spark: SparkSession, t, out_root: str, as_of=None, names=None) -> tu
         rows += [start, r]
         if r["status"] == "failed":
             failed.append(name)
-    cols = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+        spark.createDataFrame([tuple(x[c] for c in cols) for x in (start, r)], RUN_SCHEMA) \
+            .write.mode("append").parquet(f"{out_root.rstrip('/')}/_runs")
     return spark.createDataFrame([tuple(x[c] for c in cols) for x in rows], RUN_SCHEMA), failed
 
 
@@ -222,9 +256,3 @@ def nightly_run_log(t, as_of=None) -> DataFrame:
         (start + F.make_interval(secs=F.col("rows_processed").cast("decimal(18,6)"))).alias("completed_at"),
         F.col("rows_processed").cast("decimal(10,2)").alias("duration_seconds"),
         "rows_processed", F.lit(None).cast("string").alias("error_message"))
-
-
-def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Window form of DISTINCT ON, for callers that need the whole row set."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -423,10 +423,11 @@ def audit_constraints(t) -> DataFrame:
         ("payment_method_enum", c("payment_method").isNull() | c("payment_method").isin(*PAYMENT_METHODS),
          c("payment_method")),
     ]))
-    it = t["billing_items"].withColumn("id", c("billing_record_id") * 1000 + c("item_no"))
+    # An item's row id is its invoice; its number stands before the value.
+    it = t["billing_items"].withColumn("id", c("billing_record_id"))
     out = out.unionByName(stack(it, "billing_items", [
-        ("category_enum", c("category").isin(*ITEM_CATEGORIES), c("category")),
-        ("amount_positive", c("amount") > 0, c("amount")),
+        ("category_enum", c("category").isin(*ITEM_CATEGORIES), F.concat_ws(":", c("item_no").cast("string"), c("category"))),
+        ("amount_positive", c("amount") > 0, F.concat_ws(":", c("item_no").cast("string"), c("amount").cast("string"))),
     ]))
     d = t["departments"]
     out = out.unionByName(stack(d, "departments", [
@@ -436,19 +437,23 @@ def audit_constraints(t) -> DataFrame:
 
 
 def update_patients(patients: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply sparse patient changes (only allowed columns); a change that
-    would give a phone to two patients is rejected. Returns (patients after,
-    rejected change ids with reason)."""
+    """Apply sparse patient changes (only allowed columns). A new phone is
+    accepted when no other patient held it before the batch and no earlier
+    change (by change_id, else id) asks for it, so no phone is ever held
+    twice. Returns (patients after, rejected change ids with reason)."""
     allowed = ["first_name", "last_name", "date_of_birth", "gender", "phone", "blood_group", "is_active"]
-    after = apply_updates(patients, changes, "id", allowed)
-    moved = after.join(patients.select("id", F.col("phone").alias("_old")), "id") \
-        .where(~F.col("phone").eqNullSafe(F.col("_old")))
-    holders = after.groupBy("phone").agg(F.count(F.lit(1)).alias("_n"))
-    clash = moved.join(holders, "phone").where(F.col("_n") > 1).select("id")
-    rejected = changes.join(clash, "id", "left_semi").select(
-        "id", F.lit("phone already registered").alias("reason"))
-    ok_changes = changes.join(clash, "id", "left_anti")
-    return apply_updates(patients, ok_changes, "id", allowed), rejected
+    if "phone" not in changes.columns or "set_phone" not in changes.columns:
+        return apply_updates(patients, changes, "id", allowed), changes.limit(0).select("id", F.lit(None).cast("string").alias("reason"))
+    order = "change_id" if "change_id" in changes.columns else "id"
+    final = changes.join(changes.groupBy("id").agg(F.max(order).alias(order)), ["id", order]) if order != "id" else changes
+    asked = final.where(F.coalesce(F.col("set_phone"), F.lit(False)) & F.col("phone").isNotNull()).select("id", "phone", F.col(order).alias("_order"))
+    held = patients.groupBy("phone").agg(F.min("id").alias("_holder"), F.max("id").alias("_holder2"))
+    first = asked.groupBy("phone").agg(F.min(F.struct("_order", "id")).alias("_first"))
+    clash = (asked.join(held, "phone", "left").join(first, "phone")
+             .where((F.col("_holder") != F.col("id")) | (F.col("_holder2") != F.col("id")) | (F.col("_first.id") != F.col("id")))
+             .select("id").distinct())
+    rejected = changes.join(clash, "id", "left_semi").select("id", F.lit("phone already registered").alias("reason"))
+    return apply_updates(patients, changes.join(clash, "id", "left_anti"), "id", allowed), rejected
 
 
 def create_departments(requests: DataFrame, existing: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clinlytics.operators import jobs
 from clinlytics.operators import upsert as up
-from clinlytics.plans.catalog_jobs import _DAILY_REVENUE, _OPERATIONAL
+from clinlytics.plans.catalog_jobs import _DAILY_REVENUE, _DAY_COUNTS, _INVOICE_PARTS, _OPERATIONAL
 from clinlytics.plans.catalog_rag import _RAG_CTES, _store
 from clinlytics.plans.oracle_base import with_clinic
 from clinlytics.sources.driver import clinic_tables
@@ -48,7 +48,7 @@ QUERIES = {
     "pipeline_totals": _q(lambda t: up.pipeline_totals(up.pipeline_status(up.nightly_run_log(t)))),
 }
 
-_RUN_CTES = f"""
+_RUN_CTES = _INVOICE_PARTS.strip() + ",\n" + _DAY_COUNTS.strip() + f""",
 dr AS ({_DAILY_REVENUE}),
 om AS ({_OPERATIONAL}),
 runs0 AS (
@@ -66,7 +66,7 @@ latest AS (SELECT * FROM runs QUALIFY ROW_NUMBER() OVER (PARTITION BY job_name O
 
 ORACLES = {
     "upsert_daily_revenue": with_clinic(
-        f"SELECT *, CASE WHEN date >= DATE '{REVENUE_NEW_FROM}' THEN 2 ELSE 1 END AS generation FROM ({_DAILY_REVENUE})"),
+        f"SELECT *, CASE WHEN date >= DATE '{REVENUE_NEW_FROM}' THEN 2 ELSE 1 END AS generation FROM ({_DAILY_REVENUE})", _INVOICE_PARTS),
     "upsert_embeddings": with_clinic(f"""
         SELECT chunk_id, patient_id, visit_date,
           CASE WHEN visit_date < '{STORE_OLD_BEFORE}' THEN TIMESTAMP '{TS_OLD}' ELSE TIMESTAMP '{TS_NEW}' END AS created_at,

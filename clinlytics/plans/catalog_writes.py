@@ -317,10 +317,10 @@ ORACLES = {
       SELECT 'billing_records', id, 'payment_method_enum', payment_method FROM billing_records
         WHERE payment_method IS NOT NULL AND payment_method NOT IN ('cash', 'card', 'upi', 'insurance')
       UNION ALL
-      SELECT 'billing_items', billing_record_id * 1000 + item_no, 'category_enum', category FROM billing_items
+      SELECT 'billing_items', billing_record_id, 'category_enum', concat_ws(':', item_no, category) FROM billing_items
         WHERE category IS NULL OR category NOT IN ('consultation', 'test', 'procedure', 'other')
       UNION ALL
-      SELECT 'billing_items', billing_record_id * 1000 + item_no, 'amount_positive', CAST(amount AS VARCHAR)
+      SELECT 'billing_items', billing_record_id, 'amount_positive', concat_ws(':', item_no, amount)
         FROM billing_items WHERE amount IS NULL OR amount <= 0
       UNION ALL
       SELECT 'departments', id, 'fee_positive', CAST(consultation_fee AS VARCHAR) FROM departments

@@ -4,9 +4,10 @@ workflow and summary ingestion.
 * ``refresh_daily_revenue``: new billing records arrive as files; each
   micro-batch recomputes the revenue of the payment dates it touches from
   the current tables and upserts them (foreachBatch + versioned table).
-* ``status_event_stream``: status events are de-duplicated within a
-  watermark and applied per appointment by a stateful Pandas function
-  (applyInPandasWithState); the state is the appointment's status.
+* ``status_event_stream``: status events are applied per appointment by a
+  stateful Pandas function (applyInPandasWithState); the state is the
+  appointment's status, the last event's place and the ids seen. No watermark
+  drops events: one that comes behind its place is rejected as late.
 * ``ingest_summaries``: summaries arrive as files; a micro-batch keeps only
   (patient, hash) pairs not yet in the store, chunks and embeds them and
   upserts the chunks.
@@ -25,7 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from clinlytics.operators import jobs, upsert as up
 from clinlytics.operators.writes import TRANSITIONS
-from clinlytics.session import ensure_checkpoint_dir
+from clinlytics.session import ensure_checkpoint_dir, ship_package
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
@@ -51,8 +52,9 @@ def refresh_daily_revenue(spark: SparkSession, t, source_dir: str, out_root: str
         tt = dict(t)
         tt["billing_records"] = t["billing_records"].join(days, "payment_date", "left_semi")
         fresh = jobs.daily_revenue(_Tables(t, tt))
-        up.write_epoch(spark, out_root, fresh, epoch)
+        up.write_epoch(spark, out_root, fresh, epoch, writer)
 
+    writer = up.writer_id(spark, checkpoint)
     q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
          .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -80,6 +82,10 @@ OUTCOME_SCHEMA = ("event_id long, appointment_id long, ts timestamp_ntz, role st
 _ALLOWED = {(f, t_): roles for f, t_, roles in TRANSITIONS}
 
 
+# Fixed value: the reason given for an event that comes after a later one was applied.
+LATE = "late"
+
+
 def _reason(state, to, role):
     if state is None:
         return "appointment not found"
@@ -94,34 +100,40 @@ def _reason(state, to, role):
 
 
 def _apply_events(key, pdfs, state):
-    """State = current status of one appointment; events applied in order."""
-    frames = list(pdfs)
-    ev = pd.concat(frames).sort_values(["ts", "event_id"])
-    cur = state.get[0] if state.exists else None
+    """State = status, (ts, event_id) of the last event and the ids seen of
+    one appointment; new events applied in order, each of them reported."""
+    ev = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+    cur, last_ts, last_id, seen = state.get if state.exists else (None, None, None, "")
+    known = set(seen.split(",")) if seen else set()
     if not state.exists:
         first = ev["status0"].dropna()
         cur = first.iloc[0] if len(first) else None
     out = []
     for r in ev.itertuples(index=False):
-        why = _reason(cur, r.to_status, r.role)
+        if str(r.event_id) in known:
+            continue
+        known.add(str(r.event_id))
+        place = (r.ts.value if hasattr(r.ts, "value") else 0, r.event_id)
+        late = last_ts is not None and place < (last_ts, last_id)
+        why = LATE if late else _reason(cur, r.to_status, r.role)
         out.append((r.event_id, r.appointment_id, r.ts, r.role, cur, r.to_status, why is None, why))
         if why is None:
             cur = r.to_status
-    if cur is not None:
-        state.update((cur,))
+        if not late:
+            last_ts, last_id = place
+    state.update((cur, last_ts, last_id, ",".join(sorted(known))))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME_SCHEMA.split(", ")])
 
 
 def status_event_stream(spark: SparkSession, appointments: DataFrame, events_stream: DataFrame, out_dir: str,
-                        checkpoint: str, watermark: str = "1 hour") -> DataFrame:
-    """events_stream: appointment_id, event_id, ts, to_status, role."""
+                        checkpoint: str) -> DataFrame:
+    """events_stream: appointment_id, event_id, ts, to_status, role. Every
+    event comes out once, late ones as rejects; repeated ids come out once."""
+    ship_package(spark)
     cur = appointments.select(F.col("id").alias("appointment_id"), F.col("status").alias("status0"))
-    # the watermark needs a session-zone TIMESTAMP; ts itself keeps its type
-    ev = (events_stream.withColumn("_event_time", F.col("ts").cast("timestamp"))
-          .withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(["event_id"])
-          .join(cur, "appointment_id", "left"))
+    ev = events_stream.join(cur, "appointment_id", "left")
     res = ev.groupBy("appointment_id").applyInPandasWithState(
-        _apply_events, OUTCOME_SCHEMA, "status string", "append", GroupStateTimeout.NoTimeout)
+        _apply_events, OUTCOME_SCHEMA, "status string, last_ts long, last_id long, seen string", "append", GroupStateTimeout.NoTimeout)
     q = (res.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start(out_dir))
     _run(q)
@@ -138,24 +150,21 @@ def ingest_summaries(spark: SparkSession, source_dir: str, store_root: str, chec
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
         todo = batch
-        if _has_epochs(spark, store_root):
-            have = up.read_latest(spark, store_root, ["chunk_id"]).select("patient_id", "summary_hash").distinct()
+        if up.epochs(spark, store_root):
+            # the hash of each patient's newest summary; chunks left from older ones don't count
+            have = (up.read_log(spark, store_root).groupBy("patient_id")
+                    .agg(F.max_by("summary_hash", F.struct("_at", "epoch")).alias("summary_hash")))
             todo = batch.join(have, ["patient_id", "summary_hash"], "left_anti")
         if todo.isEmpty():
             return
         hashes = todo.select("patient_id", "summary_hash")
         chunks = rg.build_store(todo.drop("summary_hash"), embedder=embedder).join(hashes, "patient_id")
-        up.write_epoch(spark, store_root, chunks, epoch)
+        up.write_epoch(spark, store_root, chunks, epoch, writer)
 
+    ship_package(spark)
+    writer = up.writer_id(spark, checkpoint)
     q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
          .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     _run(q)
     return up.read_latest(spark, store_root, ["chunk_id"], created_col="created_at")
-
-
-def _has_epochs(spark: SparkSession, root: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(st.getPath().getName().startswith("epoch=") for st in fs.listStatus(p))
