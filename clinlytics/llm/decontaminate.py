@@ -105,7 +105,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     rows = keyed(docs)
     rows = rows.join(keys, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_key == F.col("_key")), "left_semi").distinct()
     at = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("phrase", "n", "start", "apart")).alias("found"))
-    own = _by_key(rows, at, "inner").select("doc_id", "text_key", words(F.col("text")).alias("w"), F.explode("found").alias("f")).select("doc_id", "text_key", "w", "f.*")
+    own = _by_key(rows, at, "inner").select("doc_id", "text_key", words(F.col("text")).alias("w"), "found")
+    # a step of its own: beside explode() the words would be cut anew for each candidate
+    own = own.select("doc_id", "text_key", "w", F.explode("found").alias("f")).select("doc_id", "text_key", "w", "f.*")
     exact = (F.col("start") >= 0) & (F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("start") + 1), F.col("n")), " ") == F.col("phrase"))
     stretch = F.slice("w", F.greatest(F.lit(1), F.col("start") + 1 - SLACK), F.col("n") + 2 * SLACK)
     distinct = F.array_distinct(F.split("phrase", " "))
