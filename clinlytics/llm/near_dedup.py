@@ -16,8 +16,8 @@ the buckets.
 4. Confirmed links are joined to components.
 
 A pair at the least similarity, 0.75, misses all buckets with probability
-(1 - 0.75^4)^32 < 1e-5, and lies below ESTIMATE = 0.67 (standard deviation
-0.019 over SKETCH bins) with about 2e-5.
+(1 - 0.75^4)^32 < 1e-5, and lies below ESTIMATE = 0.68 (standard deviation
+0.019 over SKETCH bins) with about 1e-4.
 
 Defined results: null or wordless texts have 0 shingles and are linked with
 nothing; rows of one id count as one document (linked if any of their texts
@@ -41,7 +41,7 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: bins of the sketch that estimates similarities, one byte each
 SKETCH = 512
-ESTIMATE = 0.67
+ESTIMATE = 0.68
 #: the first bins of the sketch are compared first, against a lower bar
 FIRST, FIRST_ESTIMATE = 128, 0.58
 #: rows of a block when a bucket is compared inside
@@ -192,7 +192,8 @@ def confirmed(docs: DataFrame, edges: DataFrame) -> DataFrame:
 def inside(members: DataFrame, best_only: bool) -> DataFrame:
     """Pairs (u, v) of different components in one bucket that agree in ESTIMATE of the bins or more.
 
-    ``members(bucket, rep, component, sketch, size)``; ``best_only`` gives for
+    A pair that shares several buckets is compared in the first of them only.
+    ``members(bucket, rep, component, sketch, bands, size)``; ``best_only`` gives for
     each member its best partner in each block, else every pair.
     """
     dealt = in_blocks(members, "bucket", "size", "rep", BLOCK)
@@ -200,9 +201,10 @@ def inside(members: DataFrame, best_only: bool) -> DataFrame:
     def decode(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         return (batch.column("rep").to_numpy(), batch.column("component").to_numpy(), (batch.column("side").to_numpy() == batch.column("hi").to_numpy()),
                 (batch.column("lo").to_numpy() == batch.column("hi").to_numpy()),
-                np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH))
+                np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH),
+                np.frombuffer(b"".join(batch.column("bands").to_pylist()), dtype=np.int64).reshape(-1, BANDS), batch.column("bucket").to_numpy())
 
-    def pairs(rep, comp, high, same, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(rep, comp, high, same, sketch, bands, bucket) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.arange(len(rep)) if same[0] else np.flatnonzero(~high)
         cols = rows if same[0] else np.flatnonzero(high)
         best = np.full(len(cols), -1.0)
@@ -211,9 +213,13 @@ def inside(members: DataFrame, best_only: bool) -> DataFrame:
             part = rows[i:i + 32]
             near = (sketch[part][:, None, :FIRST] == sketch[cols][None, :, :FIRST]).mean(axis=2) >= FIRST_ESTIMATE
             est = np.full(near.shape, -1.0)
-            x, y = np.nonzero(near & (comp[part][:, None] != comp[cols][None, :]))
+            once = part[:, None] < cols[None, :] if same[0] else True
+            x, y = np.nonzero(near & once & (comp[part][:, None] != comp[cols][None, :]))
             for k in range(0, len(x), 1 << 13):
                 a, b = x[k:k + (1 << 13)], y[k:k + (1 << 13)]
+                shared = bands[part[a]] == bands[cols[b]]
+                here = bands[part[a], shared.argmax(axis=1)] == bucket[0]
+                a, b = a[here], b[here]
                 est[a, b] = (sketch[part[a]] == sketch[cols[b]]).mean(axis=1)
             if not best_only:
                 x, y = np.nonzero(est >= ESTIMATE)
@@ -256,7 +262,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         now = members.select("bucket", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", component.alias("component"))
         now = written(now)
         open_ = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-        rows = now.join(open_.select("bucket", "size"), "bucket").join(sketches, "rep").select("bucket", "rep", "component", "sketch", "size")
+        rows = now.join(open_.select("bucket", "size"), "bucket").join(classes.select("rep", "sketch", "bands"), "rep")
+        rows = rows.select("bucket", "rep", "component", "sketch", "bands", "size")
         fresh = written(inside(rows, best_only).join(tested, ["u", "v"], "left_anti"))
         found = found.union(confirmed(docs, fresh))
         tested = tested.union(fresh)
