@@ -111,7 +111,8 @@ kept AS (
                  for cte, out, name in (("primary_dept", "primary_department", "dep_name"), ("primary_doc", "primary_doctor", "doc_name"))) + """,
 figures AS (
   SELECT id AS patient_id, concat(first_name, ' ', last_name) AS full_name,
-    (2001 - year(date_of_birth) - (strftime(date_of_birth, '%m%d') > '0715')::INTEGER)::INTEGER AS age, gender, blood_group, phone,
+    (CASE WHEN date_of_birth <= DATE '2001-07-15' THEN 2001 - year(date_of_birth) - (strftime(date_of_birth, '%m%d') > '0715')::INTEGER
+      ELSE 2001 - year(date_of_birth) + (strftime(date_of_birth, '%m%d') < '0715')::INTEGER END)::INTEGER AS age, gender, blood_group, phone,
     ifnull(total_visits, 0) AS total_visits, first_visit_date, last_visit_date, visit_frequency_days,
     ifnull(billed, 0)::DECIMAL(12,2) AS total_billed, ifnull(paid, 0)::DECIMAL(12,2) AS total_paid, ifnull(owed, 0)::DECIMAL(12,2) AS outstanding_balance,
     ifnull(asked, 0) AS total_appointments, ifnull(missed, 0) AS no_show_count,
@@ -141,7 +142,8 @@ staff AS (
   SELECT d.id AS doctor_id, u.full_name AS doctor_name, dep.name AS department_name FROM doctors d, users u, departments dep WHERE u.id = d.user_id AND dep.id = d.department_id),
 visit_rows AS (
   SELECT v.patient_id, concat(who.first_name, ' ', who.last_name) AS full_name,
-    (2001 - year(who.date_of_birth) - (strftime(who.date_of_birth, '%m%d') > '0715')::INTEGER)::INTEGER AS age, who.gender, who.blood_group, who.phone,
+    (CASE WHEN who.date_of_birth <= DATE '2001-07-15' THEN 2001 - year(who.date_of_birth) - (strftime(who.date_of_birth, '%m%d') > '0715')::INTEGER
+      ELSE 2001 - year(who.date_of_birth) + (strftime(who.date_of_birth, '%m%d') < '0715')::INTEGER END)::INTEGER AS age, who.gender, who.blood_group, who.phone,
     v.id AS visit_id, v.created_date AS visit_date, staff.doctor_name, staff.department_name, v.symptoms, v.diagnosis, v.diagnosis_code,
     v.prescription, v.follow_up_date, v.follow_up_notes, b.total_amount AS billing_amount, b.status AS billing_status, b.payment_method,
     ifnull(b.said, '') AS line_items
