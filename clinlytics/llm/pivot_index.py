@@ -3,15 +3,20 @@
 A bounded sample (PIVOT_SAMPLE vectors by hash) gives the pivots: a greedy
 choice that skips vectors close to a chosen one, about as many as the square
 root of the number of vectors, MAX_PIVOTS at most. Every vector is described by
-its NEAREST closest pivots in order and stored in the inverted list of each.
-Two vectors of one list that share MIN_SHARED pivots or more are a candidate
-pair; candidates are verified by the cosine in double precision. A pair is
-counted in the list of its smallest shared pivot only, so counts add up.
-
-Scale: equal vectors are one entry with a multiplicity. Lists are cut to blocks
-and block pairs, so no task holds more than two blocks; a task hands on one
-row per vector (links found, smallest id of its local group), never pairs.
-Long lists stay whole: nothing is capped.
+its NEAREST closest pivots in order and stored in their inverted lists. Two
+vectors of one list that share MIN_SHARED pivots or more are a candidate pair;
+candidates are verified by the cosine in double precision. A pair is counted in
+the list of its smallest shared pivot only, so counts add up. Pivots are
+numbered from the rarest, so this is the shortest of the shared lists as far as
+the sample tells. The smallest of MIN_SHARED shared pivots is never among a
+vector's last MIN_SHARED - 1, so those lists need not hold the vector.
+
+Scale: equal vectors are one entry with a multiplicity. Vectors of floats are
+stored as floats and widened where they are compared. The described vectors are
+written once; list sizes are counted from that table, and the lists themselves
+exist only in the one shuffle that deals them to block pairs, so no task holds
+more than two blocks. A task hands on one row per vector (links found, smallest
+id of its local group), never pairs. Long lists stay whole: nothing is capped.
 
 Defined results: vectors with a null label, a null, zero or non-finite vector
 have 0 links and their own id as component. Vectors of different lengths link
@@ -45,7 +50,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     """Distinct (vec_id, label, embedding) rows that can link."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists("embedding", lambda x: x != 0)
-    return (vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    return (vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
             .where("vec_id is not null and label is not null and embedding is not null").where(~bad).where(~zero).distinct())
 
 
@@ -55,11 +61,19 @@ def unit(rows: list | np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def nearest(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The numbers of the NEAREST closest pivots of each row, closest first."""
+    k = min(NEAREST, len(table))
+    score = x @ table.T
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     """Pivots by vector length, from a bounded sample."""
     total = classes.count()
     want = int(min(MAX_PIVOTS, max(32, 2 ** round(np.log2(max(1.0, total) ** 0.5)))))
-    sample = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(PIVOT_SAMPLE).collect()  # bounded
+    sample = classes.select("embedding").orderBy(F.xxhash64(F.col("embedding").cast("array<double>")), "embedding").limit(PIVOT_SAMPLE).collect()  # bounded
     by: dict[int, list] = {}
     for r in sample:
         by.setdefault(len(r[0]), []).append(r[0])
@@ -73,13 +87,15 @@ def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
                 close = np.maximum(close, x @ x[i])
                 if len(chosen) == want:
                     break
-        out[dim] = x[chosen]
+        use = np.bincount(nearest(x, x[chosen]).reshape(-1), minlength=len(chosen))
+        out[dim] = x[chosen][np.argsort(use, kind="stable")]
     return out
 
 
 def described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Inverted lists: (list, rep, mult, vector, near); near holds the vector's pivots, closest first."""
+    """(rep, mult, vector, near, lists): near holds the vector's pivots, closest first; lists those that store it."""
     share = classes.sparkSession.sparkContext.broadcast(pivots)
+    dtype = number(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,30 +104,30 @@ def described(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             dims = np.array([len(r) for r in rows])
             for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
-                x = unit([rows[i] for i in own])
+                raw = np.asarray([rows[i] for i in own], dtype=dtype)
                 table = share.value.get(dim)
                 if table is None:  # a length the sample lacks: one list for all of it
                     near = np.zeros((len(own), 1), dtype=np.int16)
                 else:
-                    k = min(NEAREST, len(table))
-                    score = x @ table.T
-                    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, axis=1), axis=1, kind="stable"), axis=1).astype(np.int16)
-                k = near.shape[1]
-                lists = (label[own].astype(np.int64)[:, None] * (1 << 26) + dim % (1 << 13) * (1 << 13) + near).reshape(-1)
-                repeat = np.repeat(np.arange(len(own)), k)
-                vector = [v.tobytes() for v in x]
-                said = [v.tobytes() for v in near]
+                    near = nearest(unit(raw), table).astype(np.int16)
+                stored = np.sort(near, axis=1)[:, :near.shape[1] - min(MIN_SHARED, near.shape[1]) + 1]
+                lists = label[own].astype(np.int64)[:, None] * (1 << 26) + dim % (1 << 13) * (1 << 13) + stored
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists), pa.array(rep[own][repeat]), pa.array(mult[own][repeat]), pa.array([vector[i] for i in repeat], pa.binary()),
-                     pa.array([said[i] for i in repeat], pa.binary())], names=["list", "rep", "mult", "vector", "near"])
+                    [pa.array(rep[own]), pa.array(mult[own]), pa.array([v.tobytes() for v in raw], pa.binary()),
+                     pa.array([v.tobytes() for v in near], pa.binary()), pa.array(list(lists), pa.list_(pa.int64()))],
+                    names=["rep", "mult", "vector", "near", "lists"])
+
+    return classes.select("rep", "mult", "label", "embedding").mapInArrow(run, "rep bigint, mult bigint, vector binary, near binary, lists array<bigint>")
+
 
-    return classes.select("rep", "mult", "label", "embedding").mapInArrow(run, "list bigint, rep bigint, mult bigint, vector binary, near binary")
+def number(classes: DataFrame) -> type:
+    return np.float32 if classes.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
 
 
-def verified(lists: DataFrame) -> DataFrame:
+def verified(entries: DataFrame, dtype: type) -> DataFrame:
     """(rep, n, root): links found in a block pair, and the smallest id of the vector's group there."""
-    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    lists = entries.select(F.explode("lists").alias("list"), "rep", "mult", "vector", "near")
+    sizes = written(lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     dealt = in_blocks(lists.join(sizes, "list"), "list", "size", "rep", BLOCK)
 
     def decode(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -122,7 +138,7 @@ def verified(lists: DataFrame) -> DataFrame:
 
     def compare(rep, mult, key, high, vector, near):
         """Adjacency of one block pair, by verified pairs whose smallest shared pivot is this list's."""
-        x = np.frombuffer(b"".join(vector), dtype=np.float64).reshape(len(rep), -1)
+        x = unit(np.frombuffer(b"".join(vector), dtype=dtype).reshape(len(rep), -1))
         own = np.frombuffer(b"".join(near), dtype=np.int16).reshape(len(rep), -1).astype(np.int64)
         pivot = int(key[0] % (1 << 13))
         names, at = np.unique(own, return_inverse=True)
@@ -173,7 +189,8 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     prepare(vectors.sparkSession)
     rows = usable(vectors)
     classes = written(rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")))
-    found = written(verified(described(classes, choose_pivots(classes))))
+    entries = written(described(classes, choose_pivots(classes)))
+    found = written(verified(entries, number(classes)))
     n = found.groupBy("rep").agg(F.sum("n").alias("n"))
     # All members of a class are one: ids in several classes join them.
     several = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("vec_id")
