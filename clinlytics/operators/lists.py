@@ -118,9 +118,12 @@ def invoice_items(t) -> DataFrame:
 
 
 def invoice_detail(t, items_as_text: bool = False) -> DataFrame:
-    br = t["billing_records"]
-    j = (br.join(_patient_names(t).drop("patient_phone"), "patient_id")
+    j = (t["billing_records"].join(_patient_names(t).drop("patient_phone"), "patient_id")
          .join(invoice_items(t).withColumnRenamed("billing_record_id", "id"), "id", "left"))
+    return _invoice_columns(j, items_as_text)
+
+
+def _invoice_columns(j: DataFrame, items_as_text: bool) -> DataFrame:
     items = F.coalesce(F.col("items"), F.array().cast(
         "array<struct<item_no:int,description:string,category:string,amount:decimal(10,2)>>"))
     if items_as_text:
@@ -184,8 +187,23 @@ def list_billing(t, status=None, date_from=None, date_to=None) -> DataFrame:
 
 
 def page_billing(t, status=None, date_from=None, date_to=None, page=1, per_page=20) -> DataFrame:
-    b = list_billing(t, status, date_from, date_to)
-    return paginate(b, [F.col("created_at").desc(), F.col("id").desc()], page, per_page)
+    """The invoices are paged first; names and items are joined to the page's
+    rows only (at most MAX_PER_PAGE, hence the broadcasts)."""
+    br = t["billing_records"]
+    if status:
+        br = br.where(F.col("status") == status)
+    br = _date_range(br, "created_date", date_from, date_to)
+    order = [F.col("created_date").desc(), F.col("id").desc()]
+    rows = paginate(br, order, page, per_page)
+    extra = ["total", "page", "per_page", "pages"]
+    ids = F.broadcast(rows.select(F.col("id").alias("billing_record_id")))
+    items = invoice_items({"billing_items": t["billing_items"].join(ids, "billing_record_id", "left_semi")})
+    patients = _patient_names(t).drop("patient_phone").join(
+        F.broadcast(rows.select("patient_id").distinct()), "patient_id", "left_semi")
+    j = rows.join(patients, "patient_id", "left").join(items.withColumnRenamed("billing_record_id", "id"), "id", "left")
+    numbers = rows.select("id", *extra)
+    return (_invoice_columns(j, items_as_text=True).join(F.broadcast(numbers), "id")
+            .orderBy(F.col("created_at").desc(), F.col("id").desc()))
 
 
 def search_patients(t, search: str | None = None, as_of=None) -> DataFrame:
