@@ -1,6 +1,8 @@
 """Arrow-batched Pandas UDFs (type hints must be real, not postponed)."""
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -21,3 +23,31 @@ def batch_embedder(embed_fn: Callable, dim: int, batch: int):
                 out.extend(list(v) for v in vecs)
             yield pd.Series(out)
     return embed
+
+
+class TokenPlaces(dict):
+    """Token to (bucket, sign); emptied when it grows beyond a bound."""
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> tuple[int, int]:
+        if len(self) > 200_000:
+            self.clear()
+        digest = hashlib.md5(token.encode()).hexdigest()
+        self[token] = place = (int(digest[:8], 16) % self.dim, -1 if int(digest[8], 16) % 2 else 1)
+        return place
+
+
+def hash_embedder(dim: int):
+    """Iterator UDF over token arrays: signed counts per bucket, one pass, no shuffle."""
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places = TokenPlaces(dim)
+        for rows in batches:
+            out = []
+            for tokens in rows:
+                own = [places[t] for t in tokens] if tokens is not None else []
+                at, sign = zip(*own, strict=True) if own else ((), ())
+                out.append(np.bincount(np.array(at, dtype=np.int64), np.array(sign, dtype=np.float64), dim).astype(np.float32))
+            yield pd.Series(out)
+    return embed

@@ -1,9 +1,9 @@
 """Vector helpers: cosine similarity, a feature-hashing text embedder and
 the plug-in point for user-supplied embedding models.
 
-All default paths are SQL expressions (no Python worker). A user model runs
-as an iterator Pandas UDF so it is built once per worker and fed Arrow
-batches.
+Single expressions are SQL functions; whole tables are embedded by an iterator
+Pandas UDF. A user model runs the same way, so it is built once per worker and
+fed Arrow batches.
 """
 from __future__ import annotations
 
@@ -59,30 +59,18 @@ def hash_embed(text: Column, dim: int = DEFAULT_DIM) -> Column:
     ).cast("array<float>")
 
 
-def _token_hash_cols(tok: Column, dim: int) -> tuple[Column, Column]:
-    h = F.md5(tok)
-    b = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim
-    sgn = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
-    return b, sgn
-
-
 def hash_embed_table(df: DataFrame, key: str, text: str, dim: int = DEFAULT_DIM,
                      out: str = "embedding") -> DataFrame:
-    """``hash_embed`` for a whole table, as generated-code operators.
+    """``hash_embed`` for a whole table: a map over Arrow batches, no shuffle.
 
-    Tokens are exploded, hashed once and summed per (key, bucket) with a
-    partial aggregate; the dense vector is then read from a bucket map.
-    Equal, value for value, to ``hash_embed`` on each row.
+    Tokens are cut by SQL functions; a task hashes each token once. Equal,
+    value for value, to ``hash_embed`` on each row (null: the zero vector).
+    Rows need no unique ``key``; it only names the table's key for callers.
     """
-    toks = df.select(key, F.explode(tokens(F.col(text))).alias("_tok"))
-    b, sgn = _token_hash_cols(F.col("_tok"), dim)
-    sums = toks.select(key, b.alias("_b"), sgn.alias("_s")).groupBy(key, "_b").agg(F.sum("_s").alias("_x"))
-    vec = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_x"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda j: F.coalesce(F.try_element_at(F.col("_m"), j.cast("bigint")), F.lit(0)))
-    vec = vec.select(key, dense.cast("array<float>").alias(out))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return df.join(vec, key, "left").withColumn(out, F.coalesce(F.col(out), zero))
+    from clinlytics.functions.pyudfs import hash_embedder
+    from clinlytics.session import ship_package
+    ship_package(df.sparkSession)
+    return df.withColumn(out, hash_embedder(dim)(tokens(F.col(text))))
 
 
 def model_embedder(embed_fn: Callable[[list[str]], list[list[float]]], dim: int):

@@ -83,10 +83,6 @@ def build_store(summaries: DataFrame, ingested_at=None, embedder=None, dim: int
     """Chunk + embed all summaries into store rows (one per chunk id)."""
     ts = F.lit(ingested_at or dt.datetime(2001, 7, 15)).cast("timestamp")
     chunks = chunk_summaries(summaries)
-    if embedder is None:
-        # the table embedder reads the chunks twice (tokens, then join-back):
-        # cut the lineage once in the shared checkpoint folder
-        chunks = chunks.checkpoint(eager=True)
     c = embed_chunks(chunks, embedder, dim)
     return c.withColumns({"created_at": ts, "updated_at": ts})
 

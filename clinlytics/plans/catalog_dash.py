@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from clinlytics.operators import dashboard as db
 from clinlytics.operators import lists as ls
-from clinlytics.plans.oracle_base import with_clinic
+from clinlytics.plans.oracle_base import DOCUMENTS_CATALOGUE, with_clinic
 from clinlytics.sources.driver import clinic_tables
-from clinlytics.sources.files import catalogue_files, list_documents
+from clinlytics.sources.files import catalogue_files, documents_catalogue, list_documents
 
 AS_OF = "DATE '2001-07-15'"
 MONTH_START = "DATE '2001-07-01'"
@@ -40,7 +40,8 @@ QUERIES = {
     "revenue_chart": _q(lambda t: db.revenue_chart(db.revenue_series(t, period=PERIOD))),
     "catalogue_files": lambda spark, sf_dir: catalogue_files(spark, f"{sf_dir.rstrip('/')}/*.parquet")
     .drop("file_path", "uploaded_at"),
-    "list_documents": lambda spark, sf_dir: list_documents(catalogue_files(spark, f"{sf_dir.rstrip('/')}/*.parquet")),
+    "list_documents": lambda spark, sf_dir: list_documents(
+        documents_catalogue(clinic_tables(spark, sf_dir).driver("documents"))),
     "list_departments": _q(ls.list_departments),
     "list_doctors": _q(ls.list_doctors),
     "list_appointments": _q(lambda t: ls.list_appointments(t, status=APPT_STATUS)),
@@ -188,6 +189,7 @@ ORACLES = {
     "doctor_schedule": with_clinic("""
       SELECT *, ROW_NUMBER() OVER (PARTITION BY doctor_id, appointment_date ORDER BY appointment_time, id) AS slot_no
       FROM appointment_detail""", _DETAIL_CTES),
+    "list_documents": f"SELECT * EXCLUDE (accepted) FROM ({DOCUMENTS_CATALOGUE}) WHERE accepted",
     "list_departments": with_clinic(
         "SELECT id, name, consultation_fee, is_active FROM departments WHERE is_active ORDER BY name, id"),
     "list_doctors": with_clinic("SELECT * FROM doctor_detail WHERE is_active", _DETAIL_CTES),

@@ -2,7 +2,9 @@
 
 Request tables are derived from the driver data: registrations replay the
 patients registered from 2000-07-01 against those registered before;
-bookings replay every appointment into an empty book; status events come
+bookings ask for every appointment again, against the book of those that
+are no longer scheduled; every appointment asks to move by a day; patient
+updates come from ``orders`` (the key as change id); status events come
 from ``events`` (user_id -> appointment id, event_type -> target status,
 props.k -> acting role); item changes and payments are derived per invoice.
 """
@@ -11,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clinlytics.operators import writes as wr
-from clinlytics.plans.oracle_base import with_clinic
+from clinlytics.plans.oracle_base import DOCUMENTS_CATALOGUE, with_clinic
 from clinlytics.sources.driver import clinic_tables
+from clinlytics.sources.files import documents_catalogue
 
 REGISTRATION_CUTOFF = "2000-07-01"
-BOOKING_AS_OF = "1992-01-01"
+BOOKING_AS_OF = "1998-01-01"
 # Fixed values (fixture mapping): event type -> target status, props.k % 3 -> role.
 EVENT_TARGET = {"view": "in_progress", "click": "completed", "purchase": "cancelled", "signup": "no_show"}
 ROLE_BY_K = ("doctor", "front_desk", "admin")
@@ -37,6 +40,39 @@ def booking_requests(t):
                                     "appointment_date", "appointment_time")
 
 
+def booked(t):
+    """The book: all appointments that were held, called off or missed."""
+    return t["appointments"].where(F.col("status") != "scheduled")
+
+
+def move_requests(t):
+    return t["appointments"].select(F.col("id").alias("request_id"), F.col("id").alias("appointment_id"),
+                                    F.date_add("appointment_date", 1).alias("appointment_date"), "appointment_time")
+
+
+def patient_changes(t):
+    """One sparse change per order: a new phone (finished orders) or blood group (most and least urgent ones)."""
+    c = F.col
+    urgent = c("o_orderpriority") == "1-URGENT"
+    return t.driver("orders").select(
+        c("o_custkey").alias("id"), c("o_orderkey").alias("change_id"),
+        F.concat(F.lit("9"), F.lpad((c("o_orderkey") % 3000).cast("string"), 9, "0")).alias("phone"),
+        (c("o_orderstatus") == "F").alias("set_phone"),
+        F.when(urgent, "AB-").alias("blood_group"), (urgent | (c("o_orderpriority") == "5-LOW")).alias("set_blood_group"))
+
+
+def _update_patients(t):
+    after, rejected = wr.update_patients(t["patients"], patient_changes(t))
+    return after.select("id", "phone", "blood_group", "is_active").join(rejected.distinct(), "id", "left")
+
+
+def _remove_documents(t):
+    """The catalogue without the documents that the labels call toxic."""
+    listed = documents_catalogue(t.driver("documents"))
+    return wr.remove_rows(listed, t.driver("labels").where("toxic = 1").select("doc_id"), "document_id") \
+        .select("document_id", "file_name", "file_size_bytes")
+
+
 def status_events(t, events=None):
     """Status-change events from the ``events`` table (or a stream of it)."""
     e = t.driver("events") if events is None else events
@@ -99,7 +135,10 @@ QUERIES = {
     "register_patients": _q(lambda t: wr.register_patients(registration_requests(t), _registered_before(t))),
     "duplicate_phones": _q(lambda t: wr.duplicate_phones(t["patients"])),
     "book_appointments": _q(lambda t: wr.book_appointments(
-        t, booking_requests(t), t["appointments"].where(F.lit(False)), as_of=BOOKING_AS_OF)),
+        t, booking_requests(t), booked(t), as_of=BOOKING_AS_OF)),
+    "reschedule_appointments": _q(lambda t: wr.reschedule_appointments(t["appointments"], move_requests(t))),
+    "update_patients": _q(_update_patients),
+    "remove_documents": _q(_remove_documents),
     "double_bookings": _q(lambda t: wr.double_bookings(t["appointments"])),
     "validate_transitions": _q(_transitions),
     "next_actions": _q(lambda t: wr.next_actions(t.spark, t["appointments"])),
@@ -227,11 +266,47 @@ ORACLES = {
                  WHEN d.id IS NULL THEN 'doctor not found'
                  WHEN dep.id IS NULL THEN 'department not found'
                  WHEN d.department_id <> a.department_id THEN 'doctor does not belong to department'
-                 WHEN a.appointment_date < DATE '{BOOKING_AS_OF}' THEN 'date is in the past' END AS reason0
+                 WHEN a.appointment_date < DATE '{BOOKING_AS_OF}' THEN 'date is in the past'
+                 WHEN h.live THEN 'slot already booked'
+                 WHEN h.doctor_id IS NOT NULL THEN 'slot already booked (unique)' END AS reason0
           FROM appointments a
+          LEFT JOIN (SELECT doctor_id, appointment_date, appointment_time, bool_or(status NOT IN ('cancelled', 'no_show')) AS live
+                     FROM appointments WHERE status <> 'scheduled' GROUP BY ALL) h
+            ON h.doctor_id = a.doctor_id AND h.appointment_date = a.appointment_date AND h.appointment_time = a.appointment_time
           LEFT JOIN (SELECT id FROM patients WHERE is_active) p ON p.id = a.patient_id
           LEFT JOIN (SELECT id, department_id FROM doctors WHERE is_active) d ON d.id = a.doctor_id
           LEFT JOIN (SELECT id FROM departments WHERE is_active) dep ON dep.id = a.department_id) q) r"""),
+    "reschedule_appointments": with_clinic("""
+      SELECT request_id, appointment_id, doctor_id, appointment_date, appointment_time, reason IS NULL AS accepted, reason FROM (
+        SELECT q.*, COALESCE(q.reason0, CASE WHEN ROW_NUMBER() OVER (
+            PARTITION BY doctor_id, appointment_date, appointment_time, reason0 IS NULL ORDER BY request_id) > 1
+            THEN 'slot already booked in batch' END) AS reason
+        FROM (
+          SELECT a.id AS request_id, a.id AS appointment_id, a.doctor_id, a.appointment_date + 1 AS appointment_date,
+            a.appointment_time,
+            CASE WHEN a.status <> 'scheduled' THEN 'only scheduled appointments can be rescheduled'
+                 WHEN EXISTS (SELECT 1 FROM appointments b WHERE b.doctor_id = a.doctor_id
+                              AND b.appointment_date = a.appointment_date + 1
+                              AND b.appointment_time = a.appointment_time) THEN 'slot already booked' END AS reason0
+          FROM appointments a) q)"""),
+    "remove_documents": f"""
+      SELECT document_id, file_name, file_size_bytes FROM ({DOCUMENTS_CATALOGUE})
+      WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "update_patients": with_clinic("""
+      SELECT p.id, CASE WHEN r.id IS NULL AND f.set_phone THEN f.phone ELSE p.phone END AS phone,
+        CASE WHEN r.id IS NULL AND f.set_group THEN f.blood_group ELSE p.blood_group END AS blood_group, p.is_active,
+        CASE WHEN r.id IS NOT NULL THEN 'phone already registered' END AS reason
+      FROM patients p LEFT JOIN last_change f ON f.id = p.id LEFT JOIN refused r ON r.id = p.id""", """
+      last_change AS (
+        SELECT o_custkey AS id, o_orderkey AS change_id, o_orderstatus = 'F' AS set_phone,
+          '9' || lpad(CAST(o_orderkey % 3000 AS VARCHAR), 9, '0') AS phone,
+          o_orderpriority IN ('1-URGENT', '5-LOW') AS set_group,
+          CASE WHEN o_orderpriority = '1-URGENT' THEN 'AB-' END AS blood_group
+        FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+      refused AS (
+        SELECT id FROM (
+          SELECT id, phone, row_number() OVER (PARTITION BY phone ORDER BY change_id) AS turn FROM last_change WHERE set_phone) a
+        WHERE turn > 1 OR EXISTS (SELECT 1 FROM patients p WHERE p.phone = a.phone AND p.id <> a.id))"""),
     "double_bookings": with_clinic("""
       SELECT a.doctor_id, a.appointment_date, a.appointment_time, a.id AS appointment_id, d.bookings
       FROM appointments a

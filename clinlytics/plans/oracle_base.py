@@ -65,6 +65,15 @@ billing_records AS (
         from billing_items group by billing_record_id) t on t.billing_record_id = v.id)
 """
 
+# The document catalogue of sources.files.documents_catalogue.
+DOCUMENTS_CATALOGUE = """
+      SELECT *, file_type IN ('pdf', 'jpg', 'jpeg', 'png') AS accepted FROM (
+        SELECT doc_id AS document_id, doc_id AS patient_id, 'document ' || doc_id || '.' || file_type AS file_name, file_type,
+          CAST(n_chars AS BIGINT) AS file_size_bytes, source AS document_category,
+          DATE '2000-01-01' + CAST(doc_id % 577 AS INTEGER) AS uploaded_at
+        FROM (SELECT *, CASE lang WHEN 'en' THEN 'pdf' WHEN 'de' THEN 'jpg' WHEN 'fr' THEN 'png' ELSE 'txt' END AS file_type
+              FROM documents))"""
+
 
 def with_clinic(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """Prefix ``body`` (a SELECT) with the clinic mapping CTEs.

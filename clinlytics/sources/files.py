@@ -35,3 +35,18 @@ def list_documents(catalogue: DataFrame) -> DataFrame:
     """Accepted documents newest first, without the storage path (PF10)."""
     return catalogue.where("accepted").drop("file_path", "accepted", "reason") \
         .orderBy(F.col("uploaded_at").desc(), F.col("file_name"))
+
+
+def documents_catalogue(documents: DataFrame) -> DataFrame:
+    """Document metadata of the given ``documents`` table: the name ends in a
+    file type by language, the size is ``n_chars``, the category the source.
+    Only metadata columns are read, never the text."""
+    c = F.col
+    ext = F.when(c("lang") == "en", "pdf").when(c("lang") == "de", "jpg").when(c("lang") == "fr", "png").otherwise("txt")
+    named = documents.select(
+        c("doc_id").alias("document_id"), c("doc_id").alias("patient_id"),
+        F.concat(F.lit("document "), c("doc_id").cast("string"), F.lit("."), ext).alias("file_name"),
+        c("n_chars").cast("bigint").alias("file_size_bytes"), c("source").alias("document_category"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (c("doc_id") % 577).cast("int")).alias("uploaded_at"))
+    named = named.withColumn("file_type", file_extension(c("file_name")))
+    return named.withColumn("accepted", c("file_type").isin(*ALLOWED_EXTENSIONS))
