@@ -378,6 +378,19 @@ def remove_rows(base: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 # --------------------------------------------------------------- audit ----
+# Foreign keys (table, column, referenced table) and unique columns.
+FOREIGN_KEYS = (
+    ("appointments", "patient_id", "patients"), ("appointments", "doctor_id", "doctors"),
+    ("appointments", "department_id", "departments"), ("visits", "appointment_id", "appointments"),
+    ("visits", "patient_id", "patients"), ("visits", "doctor_id", "doctors"),
+    ("billing_records", "visit_id", "visits"), ("billing_records", "patient_id", "patients"),
+    ("billing_items", "billing_record_id", "billing_records"), ("doctors", "user_id", "users"),
+    ("doctors", "department_id", "departments"),
+)
+UNIQUE_COLUMNS = (("users", "email"), ("departments", "name"), ("doctors", "user_id"), ("visits", "appointment_id"),
+                  ("billing_records", "visit_id"))
+
+
 def audit_constraints(t) -> DataFrame:
     """One row per violation: (table_name, row_id, rule, value)."""
     c = F.col
@@ -412,11 +425,15 @@ def audit_constraints(t) -> DataFrame:
         F.lit("appointments").alias("table_name"), c("id").alias("row_id"), F.lit("slot_unique").alias("rule"),
         F.concat_ws(" ", c("doctor_id").cast("string"), c("appointment_date").cast("string"),
                     c("appointment_time")).alias("value")))
-    for fk, ref in (("patient_id", "patients"), ("doctor_id", "doctors"), ("department_id", "departments")):
-        keys = t[ref].select(c("id").alias(fk))
-        out = out.unionByName(a.join(keys, fk, "left_anti").select(
-            F.lit("appointments").alias("table_name"), c("id").alias("row_id"), F.lit(f"fk_{fk}").alias("rule"),
-            c(fk).cast("string").alias("value")))
+    for table, fk, ref in FOREIGN_KEYS:
+        rows = t[table].select((c("billing_record_id") if table == "billing_items" else c("id")).alias("row_id"), c(fk).alias("_fk"))
+        out = out.unionByName(rows.where("_fk is not null").join(t[ref].select(c("id").alias("_fk")), "_fk", "left_anti").select(
+            F.lit(table).alias("table_name"), "row_id", F.lit(f"fk_{fk}").alias("rule"), c("_fk").cast("string").alias("value")))
+    for table, col in UNIQUE_COLUMNS:
+        many = t[table].groupBy(col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(col)
+        out = out.unionByName(t[table].select("id", col).join(many, col, "left_semi").select(
+            F.lit(table).alias("table_name"), c("id").alias("row_id"), F.lit(f"{col}_unique").alias("rule"),
+            c(col).cast("string").alias("value")))
     br = t["billing_records"]
     out = out.unionByName(stack(br, "billing_records", [
         ("status_enum", c("status").isin(*BILLING_STATUSES), c("status")),

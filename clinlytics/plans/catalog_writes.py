@@ -229,6 +229,12 @@ items_after AS (
 _PHONE_OK = ("(length(phone) BETWEEN 10 AND 20 AND "
              "regexp_matches(regexp_replace(phone, '[ -]', '', 'g'), '^\\+*[0-9]+$'))")
 
+_KEY_RULES = "\n".join(
+    [f"UNION ALL SELECT '{a}', {'billing_record_id' if a == 'billing_items' else 'id'}, 'fk_{k}', CAST({k} AS VARCHAR) FROM {a} x "
+     f"WHERE {k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {b} y WHERE y.id = x.{k})" for a, k, b in wr.FOREIGN_KEYS]
+    + [f"UNION ALL SELECT '{a}', id, '{k}_unique', CAST({k} AS VARCHAR) FROM {a} QUALIFY count(*) OVER (PARTITION BY {k}) > 1"
+       for a, k in wr.UNIQUE_COLUMNS])
+
 ORACLES = {
     "register_patients": with_clinic(f"""
       SELECT r.request_id, r.phone, r.reason IS NULL AS accepted, r.reason FROM (
@@ -376,15 +382,7 @@ ORACLES = {
         CAST(a.doctor_id AS VARCHAR) || ' ' || CAST(a.appointment_date AS VARCHAR) || ' ' || a.appointment_time
       FROM appointments a JOIN (SELECT doctor_id, appointment_date, appointment_time FROM appointments
                                 GROUP BY ALL HAVING COUNT(*) > 1) d USING (doctor_id, appointment_date, appointment_time)
-      UNION ALL
-      SELECT 'appointments', id, 'fk_patient_id', CAST(patient_id AS VARCHAR) FROM appointments
-        WHERE patient_id NOT IN (SELECT id FROM patients)
-      UNION ALL
-      SELECT 'appointments', id, 'fk_doctor_id', CAST(doctor_id AS VARCHAR) FROM appointments
-        WHERE doctor_id NOT IN (SELECT id FROM doctors)
-      UNION ALL
-      SELECT 'appointments', id, 'fk_department_id', CAST(department_id AS VARCHAR) FROM appointments
-        WHERE department_id NOT IN (SELECT id FROM departments)
+      {_KEY_RULES}
       UNION ALL
       SELECT 'billing_records', id, 'status_enum', status FROM billing_records
         WHERE status IS NULL OR status NOT IN ('pending', 'paid', 'partially_paid', 'waived')
