@@ -1,25 +1,26 @@
 """Operator 7: main text of web pages by template deduction per host.
 
-Every page becomes tokens: its elements by their path (tag, class, id, role,
-with digits unified) and the texts that stand outside an article. A token's
-occurrence vector over the pages of its host is kept as an additive digest
-(pages, occurrences, sum of hashes of (page, count)), so vectors of any length
-are compared without gathering them. Tokens of one host with equal vectors form
-an equivalence class; a class is valid when it holds an element and spans
-MIN_PAGES pages or more. The class of the tokens that occur once on every page
-is the template's root; the others nest below the deepest root element on
-their path. What the template leaves open are slots; a page's text is read from
-its content slots: those in an article or main element, else those that are no
-navigation, header, footer, side bar, notice, advert, form or comment, without
-the texts that the template holds constant and without link lists.
+Every distinct page of a host becomes tokens: its elements by their path (tag,
+class, id, role, with digits unified) and all its texts. A token's occurrence
+vector over the pages is kept as an additive digest (pages, occurrences, sum of
+hashes of (page, count)), so vectors of any length are compared without
+gathering them. Tokens of one host with equal vectors form an equivalence
+class; a class is valid when it holds an element and spans MIN_PAGES pages or
+more. The class of the tokens that occur once on every page is the template's
+root; the others nest below the deepest root element on their path. The texts
+of the root and of nested classes made of elements and their own texts are the
+template's and are taken out everywhere, articles included. Which of the open
+slots are content, the elements decide: those in an article or main element,
+else those that are no navigation, header, footer, side bar, notice, advert,
+form or comment; a form or class word above the article is a wrapper.
 
 Blocks are joined by an empty line; white space inside a block is one space;
 character references are decoded. Nothing is dropped or capped by length.
 
 Defined results: null or empty html has the text '' and 0 characters; a null
-url belongs to the host ''; hosts with fewer than MIN_PAGES pages have no
-template and are read by their elements alone; rows map one to one; repeated
-rows count as further pages; extra columns are ignored.
+url belongs to the host ''; hosts with fewer than MIN_PAGES distinct pages have no
+template and are read by their elements alone; rows map one to one; copies of
+a page count as one page; extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -37,8 +38,6 @@ from pyspark.sql import functions as F
 from clinlytics.llm.common import prepare, written
 
 MIN_PAGES = 3
-#: share of a block's characters inside links from which it is a link list
-LINKS = 0.5
 
 # Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,12 +45,15 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
                   "header hgroup legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option optgroup".split())
 UNSHOWN = frozenset("select button svg canvas audio video object math datalist".split())
-BOILERPLATE = frozenset("head nav footer aside form menu dialog search fieldset".split())
+BOILERPLATE = frozenset("head nav footer aside menu dialog search".split())
+#: with the class words, boilerplate that may also wrap a whole page
+SOFT = frozenset("form fieldset".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu sidebar aside footer header masthead breadcrumb breadcrumbs "
                   "comment comments disqus reply replies cookie cookies consent notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe "
                   "signup login search pagination pager toolbar widget contentinfo complementary skip".split())
 ARTICLE = frozenset("article main".split())
 ALONE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HARD = ("!",)
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 # Comments and declarations; raw elements with what they hold; tags; tags with unpaired quotes.
@@ -68,17 +70,18 @@ _DIGITS = re.compile(r"[0-9]+")
 class Element:
     tag: str
     path: str
-    boilerplate: bool
-    article: bool
+    chain: tuple[str, ...] = ()  # boilerplate elements up to the innermost article or the body; HARD below one that wraps nothing
+    above: tuple[str, ...] = ()  # those outside of the article
+    article: str = ""  # path of the innermost article
     unshown: bool = False
     inline: bool = False
 
 
 @dataclass
 class Page:
-    """Element paths in order, and blocks (path, text, boilerplate, article, share of link characters)."""
+    """Element paths in order, and blocks (path, text, chain, above, article) as in Element."""
     paths: list[str] = field(default_factory=list)
-    blocks: list[tuple[str, str, bool, bool, float]] = field(default_factory=list)
+    blocks: list[tuple[str, str, tuple[str, ...], tuple[str, ...], str]] = field(default_factory=list)
 
 
 def _label(tag: str, attributes: str) -> tuple[str, set[str]]:
@@ -97,39 +100,43 @@ _CHILDREN: dict[tuple, Element] = {}
 
 def child(top: Element, tag: str, attributes: str) -> Element:
     """The element opened below ``top``; remembered, as pages repeat their structure."""
-    key = (top.path, top.boilerplate, top.article, top.unshown, tag, attributes)
+    key = (top.path, top.chain, top.above, top.article, top.unshown, tag, attributes)
     found = _CHILDREN.get(key)
     if found is None:
         label, named = _label(tag, attributes)
-        article = top.article or tag in ARTICLE or "role=main" in label
-        bad = (top.boilerplate or tag in BOILERPLATE or tag == "header" and not top.article
-               or tag not in ("html", "body", "article", "main") and not named.isdisjoint(WORDS))
+        path = f"{top.path}/{label}"
+        chain, above, article = top.chain, top.above, top.article
+        if tag == "body":  # also where the head was left open
+            chain = ()
+        elif tag in ARTICLE or "role=main" in label:
+            chain, above, article = (), above + chain, path
+        elif tag in BOILERPLATE or tag == "header" and not article:
+            chain = HARD
+        elif chain != HARD and (tag in SOFT or tag != "html" and not named.isdisjoint(WORDS)):
+            chain = (*chain, path)
         if len(_CHILDREN) > 20_000:
             _CHILDREN.clear()
-        found = _CHILDREN[key] = Element(tag, f"{top.path}/{label}", bad, article, top.unshown)
+        found = _CHILDREN[key] = Element(tag, path, chain, above, article, top.unshown)
     return found
 
 
 def parse(html: str) -> Page:
     """A forgiving reading of the markup: broken, unclosed and crossed tags included."""
-    page, stack = Page(), [Element("", "", False, False)]
+    page, stack = Page(), [Element("", "")]
     paths, blocks = page.paths, page.blocks
     text: list[str] = []
-    linked = in_link = 0
     end = html.rfind(">") + 1  # no tag ends beyond it
     parts = _MARK.split(html[:end])
     parts[-1] += html[end:]
 
     def flush() -> None:
-        nonlocal linked
         if text:
             own = "".join(text)
             own = " ".join((entities.unescape(own) if "&" in own else own).split())
             if own:
                 top = stack[-1]
-                blocks.append((top.path, own, top.boilerplate, top.article, linked / len(own)))
+                blocks.append((top.path, own, top.chain, top.above, top.article))
             text.clear()
-        linked = 0
 
     # parts: text, then for each mark its 7 groups and the text behind it
     for i in range(0, len(parts), 8):
@@ -144,8 +151,6 @@ def parse(html: str) -> Page:
                 tag = tag.lower()
                 if tag == "br":
                     text.append("\n")
-                elif tag == "a":
-                    in_link = 0 if closing else 1
                 elif tag == "hr":
                     flush()
                 elif tag in BLOCK:
@@ -156,7 +161,6 @@ def parse(html: str) -> Page:
                         if k > 0:
                             flush()
                             del stack[k:]
-                            in_link = 0
                     else:
                         while stack[-1].inline:
                             stack.pop()
@@ -172,7 +176,7 @@ def parse(html: str) -> Page:
                     if not closing:
                         if not attributes.endswith("/"):
                             top = stack[-1]
-                            stack.append(Element(tag, top.path, top.boilerplate, top.article, True, True))
+                            stack.append(Element(tag, top.path, top.chain, top.above, top.article, True, True))
                     else:
                         k = len(stack) - 1
                         while k > 0 and stack[k].inline and stack[k].tag != tag:
@@ -182,8 +186,6 @@ def parse(html: str) -> Page:
         said = parts[i]
         if said and not stack[-1].unshown:
             text.append(said)
-            if in_link:
-                linked += len(said.strip())
     flush()
     return page
 
@@ -200,11 +202,19 @@ def constant_token(path: str, text: str) -> str:
 def tokens_of(page: Page) -> Counter:
     """Tokens with their counts: all elements, and the texts outside of articles and known boilerplate."""
     out = Counter(page.paths)
-    if not any(b[3] and not b[2] for b in page.blocks):
-        out.update(constant_token(path, text) for path, text, bad, _, _ in page.blocks if not bad)
+    if not any(b[4] and not b[2] for b in page.blocks):
+        out.update(constant_token(path, text) for path, text, chain, _, _ in page.blocks if not chain)
     return out
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, key, html): each distinct page of a host once; only rows that have copies are shuffled with their html."""
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("key"), "html")
+    copied = written(rows.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    one = rows.join(copied, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.first("html").alias("html"))
+    return rows.join(copied, ["host", "key"], "left_anti").unionByName(one)
+
+
 def classes(pages: DataFrame) -> DataFrame:
     """(host, n_pages, n_occ, digest, token): tokens by host with the digest of their occurrence vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +232,18 @@ def classes(pages: DataFrame) -> DataFrame:
                 [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()),
                  *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))], names=["host", "token", "n_pages", "n_occ", "digest"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("key"), "html")
-    part = rows.mapInArrow(run, "host string, token string, n_pages bigint, n_occ bigint, digest bigint")
+    part = distinct_pages(pages).mapInArrow(run, "host string, token string, n_pages bigint, n_occ bigint, digest bigint")
     return part.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), F.sum("n_occ").alias("n_occ"), F.sum(F.col("digest").cast("decimal(38,0)")).alias("digest"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Valid classes: (host, token, root, class_no, parent).
+    """Valid classes: (host, token, root, class_no, parent, constant).
 
     ``root`` tokens occur once on every page of the host; the others nest in
-    ``parent``, the deepest root element on their path.
+    ``parent``, the deepest root element on their path. ``constant`` texts are
+    the template's: those of the root, and those of a nested class in which
+    every text's own element is of the class too. A class with other texts is
+    that of pages alike in what they say.
     """
     found = written(classes(pages))
     every = found.where("token = ''").select("host", F.col("n_pages").alias("host_pages"), F.col("digest").alias("host_digest"))
@@ -248,23 +260,54 @@ def templates(pages: DataFrame) -> DataFrame:
     above = above.select("host", "token", F.array_join(F.slice("p", 1, F.col("k")), "/").alias("parent"))
     roots = own.where("root and element").select("host", F.col("token").alias("parent"))
     parent = above.join(roots, ["host", "parent"]).groupBy("host", "token").agg(F.max(F.struct(F.length("parent"), "parent")).alias("m")).select("host", "token", "m.parent")
-    return own.drop("element").join(parent, ["host", "token"], "left")
+    out = own.join(parent, ["host", "token"], "left")
+    elements = own.where("element").select("host", "class_no", F.col("token").alias("path"))
+    texts = own.where("not element").withColumn("path", F.regexp_replace("token", "=[0-9a-f]{16}$", ""))
+    stray = texts.join(elements, ["host", "class_no", "path"], "left_anti").select("host", "class_no").distinct().withColumn("stray", F.lit(True))
+    constant = ~F.col("element") & F.col("root")
+    return out.join(stray, ["host", "class_no"], "left").select("host", "token", "root", "class_no", "parent", constant.alias("constant"))
+
+
+def slots(page: Page) -> list[tuple[str, str]]:
+    """(path, text) of the blocks in the content slots.
+
+    A wrapper is not boilerplate: what stands above the article with the most
+    text (on average of its path), if that is more than all articles outside
+    of boilerplate hold; without an article, the outermost elements, if no text
+    stands outside of them.
+    """
+    inside = [b for b in page.blocks if b[4] and not b[2] and "!" not in b[3]]
+    if inside:
+        held: Counter = Counter()
+        for _, text, _, above, article in inside:
+            held[above, article] += len(text)
+        clean = sum(n for (above, _), n in held.items() if not above)
+        wrapped = {k: n / page.paths.count(k[1]) for k, n in held.items() if k[0]}
+        most = max(wrapped, key=wrapped.__getitem__, default=None)
+        wrappers = set(most[0]) if most and wrapped[most] > clean else set()
+        return [(b[0], b[1]) for b in inside if wrappers.issuperset(b[3])]
+    rest = [b for b in page.blocks if b[2] != HARD and not b[4]]
+    least = min((len(b[2]) for b in rest), default=0)
+    return [(b[0], b[1]) for b in rest if len(b[2]) == least]
 
 
 def main_text(page: Page, constant: frozenset | set) -> str:
-    """The blocks in the content slots of a page, given the texts its host's template holds constant."""
-    kept = [text for path, text, bad, article, _ in page.blocks if article and not bad]
-    if not kept:
-        kept = [text for path, text, bad, _, links in page.blocks if not bad and links < LINKS and constant_token(path, text) not in constant]
-    return "\n\n".join(kept)
+    """The blocks in the content slots of a page without the texts its host's template holds constant.
+
+    Where the template would leave nothing, it can't be told from what the
+    pages say: then the elements alone decide.
+    """
+    found = slots(page)
+    kept = [text for path, text in found if constant_token(path, text) not in constant] if constant else []
+    return "\n\n".join(kept or [text for _, text in found])
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The kept columns with text and n_chars, one row per page row."""
     prepare(pages.sparkSession)
     keep = keep or ["page_id", "url"]
-    held = (written(templates(pages)).where(F.col("root") & F.regexp_like("token", F.lit("=[0-9a-f]{16}$")))
-            .groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("constant")))  # once on every page: bounded by one page
+    # one page's texts of the root, and a text for each path that always says the same: bounded by the host's markup
+    held = (written(templates(pages)).where("constant").groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("constant")))
     rows = pages.select(*keep, host_of(F.col("url")).alias("_llm_host"), F.col("html").alias("_llm_html"))
     held = written(held).withColumnsRenamed({"host": "_llm_host", "constant": "_llm_constant"})
     both = rows.join(held, "_llm_host", "left").select(*keep, "_llm_html", "_llm_constant")

@@ -176,3 +176,25 @@ def test_templates_without_article(spark):
 @pytest.mark.parametrize("bad", ["<" * 50_000, "<a<a" * 20_000, '<div "' * 20_000 + ">", "<!--" * 9_000, "<p>x" * 20_000, "<script>" * 9_000, "a < b > c &amp &lt;"])
 def test_broken_markup_is_read_in_linear_time(bad):
     assert html_extract.parse(bad) is not None
+
+
+PAGES = "page_id bigint, url string, html string"
+
+
+def _texts(spark, htmls):
+    rows = [(i, "http://h.example/a", h) for i, h in enumerate(htmls)]
+    return [r["text"] for r in sorted(html_extract.extract(spark.createDataFrame(rows, PAGES)).collect())]
+
+
+@pytest.mark.parametrize("wrapper", ["form", "div class='page with-sidebar'", "div class='no-comments'", "div class='has-header'"])
+def test_wrapped_articles_are_read(spark, wrapper):
+    body = "<h1>Title</h1><p>The whole story stands here.</p>"
+    inner = f"<{wrapper}><nav>menu</nav><article>{body}</article><div class='comments'><article>me too</article></div></{wrapper.split()[0]}>"
+    assert _texts(spark, [f"<html><head><title>t</title><body>{inner}</body></html>"]) == ["Title\n\nThe whole story stands here."]
+    assert _texts(spark, [f"<body><{wrapper}><nav>menu</nav><p>Only text</p></{wrapper.split()[0]}></body>"]) == ["Only text"]
+    assert _texts(spark, [f"<body><article>{body}</article><div class='comments'><article>me too</article></div></body>"]) == ["Title\n\nThe whole story stands here."]
+
+
+def test_copies_are_no_template_and_links_are_text(spark):
+    copy = "<body><div><p>All of the text</p><p><a href='/'>See</a> <a href='/b'>this list of links</a></p></div></body>"
+    assert _texts(spark, [copy] * 4) == ["All of the text\n\nSee this list of links"] * 4
