@@ -200,10 +200,9 @@ def constant_token(path: str, text: str) -> str:
 
 
 def tokens_of(page: Page) -> Counter:
-    """Tokens with their counts: all elements, and the texts outside of articles and known boilerplate."""
+    """Tokens with their counts: all elements and all texts."""
     out = Counter(page.paths)
-    if not any(b[4] and not b[2] for b in page.blocks):
-        out.update(constant_token(path, text) for path, text, chain, _, _ in page.blocks if not chain)
+    out.update(constant_token(path, text) for path, text, _, _, _ in page.blocks)
     return out
 
 
@@ -264,7 +263,7 @@ def templates(pages: DataFrame) -> DataFrame:
     elements = own.where("element").select("host", "class_no", F.col("token").alias("path"))
     texts = own.where("not element").withColumn("path", F.regexp_replace("token", "=[0-9a-f]{16}$", ""))
     stray = texts.join(elements, ["host", "class_no", "path"], "left_anti").select("host", "class_no").distinct().withColumn("stray", F.lit(True))
-    constant = ~F.col("element") & F.col("root")
+    constant = ~F.col("element") & (F.col("root") | F.col("stray").isNull() & F.col("parent").isNotNull())
     return out.join(stray, ["host", "class_no"], "left").select("host", "token", "root", "class_no", "parent", constant.alias("constant"))
 
 

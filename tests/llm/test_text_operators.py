@@ -198,3 +198,15 @@ def test_wrapped_articles_are_read(spark, wrapper):
 def test_copies_are_no_template_and_links_are_text(spark):
     copy = "<body><div><p>All of the text</p><p><a href='/'>See</a> <a href='/b'>this list of links</a></p></div></body>"
     assert _texts(spark, [copy] * 4) == ["All of the text\n\nSee this list of links"] * 4
+
+
+def test_template_texts_inside_articles_are_taken_out(spark):
+    def page(i):
+        box = "<div class='by'><p>About the author</p></div>" if i % 2 else ""
+        return f"<body><article><h1>Story {i}</h1><p>Line {i}</p>{box}<div class='last'>Send this to a friend</div></article></body>"
+    assert _texts(spark, [page(i) for i in range(8)]) == [f"Story {i}\n\nLine {i}" for i in range(8)]
+    # pages alike in what they say are no template of their own
+    alike = [f"<body><article><h1>Story {i}</h1>{'<p>Told again</p><table><tr><td>7</td></tr></table>' if i < 3 else f'<p>Other {i}</p>'}</article></body>" for i in range(8)]
+    assert _texts(spark, alike)[0] == "Story 0\n\nTold again\n\n7"
+    # where nothing else is left, the elements decide
+    assert _texts(spark, [f"<body><i>{i}</i><article><p>Told again</p></article></body>" for i in range(3)]) == ["Told again"] * 3
