@@ -49,6 +49,29 @@ def test_license_units(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_full_license_texts_and_runs_of_paragraphs(spark):
+    import textwrap
+    from pathlib import Path
+    text = {n: Path(licenses.__file__).with_name("license_texts").joinpath(f"{n}.txt").read_text() for n in ("Apache-2.0", "GPL-3", "BSD-3-Clause", "Unlicense")}
+    isc = "\n\n".join(textwrap.fill(p, 78) for p in licenses._ISC.split("\n\n"))
+    docs = spark.createDataFrame([
+        (1, f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{licenses._MIT}"), (2, text["Apache-2.0"]), (3, text["GPL-3"].split("\n\n", 1)[1]),
+        (4, f"BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n{text['BSD-3-Clause']}"), (5, text["Unlicense"]), (6, f"ISC License\n\nCopyright 2020 X\n\n{isc}"),
+        (7, f"Read me first\n\n{licenses._MIT}\n\nThe end"), (7, f"Read me first\n\n{licenses._MIT}\n\nThe end"), (8, licenses._MIT.split("\n\n", 1)[1] + "\n\nThe end")],
+        "doc_id bigint, text string")
+    got = [tuple(r)[:4] for r in licenses.scan(docs).collect()]
+    assert {r[0]: r[3] for r in got if r[1] == "text"} == {1: "MIT", 2: "Apache-2.0", 3: "GPL-3.0", 4: "BSD-3-Clause", 5: "Unlicense", 6: "ISC"}
+    assert [r for r in got if r[0] in (7, 8)] == [(7, "paragraphs", 2, "MIT")] * 2
+    whole = {tuple(r) for r in licenses.scan(docs).where("unit <> 'paragraphs'").collect()}
+    assert whole == {tuple(r) for r in duckdb_rows(docs)}
+
+
+def duckdb_rows(docs):
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    return con.execute(licenses.oracle()).fetchall()
+
+
 def _water(budget, nodes):
     """Reference water-filling of (name, cap, weight) by repeated sharing, exact."""
     from fractions import Fraction
