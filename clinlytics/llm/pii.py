@@ -3,17 +3,22 @@
 Base spans (email, ip, card, phone) are protected entities. A term standing
 near mentions of an entity discloses it when the pointwise mutual information
 of term and entity, estimated over all documents, comes close to the entity's
-own information content: with df counted in documents,
+own information content: with df counted in documents, p(e) = df(e) / N, and
+p(e|t) smoothed by PRIOR documents in which the entity is as rare as anywhere,
 
-    disclosure(t, e) = log(N df(t,e) / (df(t) df(e))) / log(N / df(e)).
+    p(e|t) = (df(t,e) + PRIOR p(e)) / (df(t) + PRIOR)
+    disclosure(t, e) = log(p(e|t) / p(e)) / log(1 / p(e)),
 
-Terms with support in MIN_SUPPORT documents or more are removed at REMOVE or
-above and generalised to their kind of word at GENERALISE or above.
+so that a term and an entity of one document count too, if less surely. Terms
+are removed at REMOVE or above and generalised to their kind of word at
+GENERALISE or above, wherever they stand: also far from the entity and in
+documents without it.
 
 Scale: only documents with an entity emit (entity, term) rows; they are
-pre-aggregated in the tasks. Document frequencies of the candidate terms come
-from one pass over all whole texts that lets only words through whose hash is
-set in a bitmap of fixed size, then an exact equi-join.
+pre-aggregated in the tasks. Document frequencies of the candidate terms and
+the places of the disclosing ones come from one pass each over all whole texts
+that lets only words through whose hash is set in a bitmap of fixed size, then
+an exact equi-join.
 
 Defined results: null and empty texts have no spans; every row (repeated ids
 and rows too) gives one row; extra columns are ignored.
@@ -28,6 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +42,8 @@ from clinlytics.llm.common import map_text, prepare, written
 KINDS = ("email", "ip", "card", "phone")
 #: words on each side of a mention that count as its context
 CONTEXT = 8
-MIN_SUPPORT = 3
+#: documents without a finding about the entity that every term is given
+PRIOR = 1.0
 GENERALISE = 0.8
 REMOVE = 0.95
 #: bits of the word filter (fixed size; a full filter only lets more words through)
@@ -154,33 +161,45 @@ def _slot(word: str) -> int:
     return xxhash.xxh32_intdigest(word.encode()) % FILTER_BITS
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) over all documents for the terms of ``terms(term)``."""
+class Passing(dict):
+    """By word as written: lower-cased if the bitmap lets it through, else ''."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits = bits
+
+    def __missing__(self, word: str) -> str:
+        low = word.lower()
+        slot = _slot(low)
+        self[word] = out = low if self.bits[slot >> 3] >> (slot & 7) & 1 else ""
+        return out
+
+
+def word_filter(terms: DataFrame) -> Broadcast:
+    """A bitmap of the slots of ``terms(term)``."""
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = sorted({_slot(t) for t in batch.column(0).to_pylist()})
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], names=["slot"])
 
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    used = terms.mapInArrow(slots, "slot bigint").distinct().toArrow()["slot"].to_numpy()  # FILTER_BITS rows at most
+    used = terms.select("term").mapInArrow(slots, "slot bigint").distinct().toArrow()["slot"].to_numpy()  # FILTER_BITS rows at most
     np.bitwise_or.at(bits, used >> 3, (1 << (used & 7)).astype(np.uint8))
-    share = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return terms.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df) over all documents for the terms of ``terms(term)``."""
+    share = word_filter(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known, n = share.value, {}, Counter()
+        known, n = Passing(share.value), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
-                for word in set(_WORD.findall(text.lower())):
-                    passes = known.get(word)
-                    if passes is None:
-                        slot = _slot(word)
-                        passes = known[word] = bool(bits[slot >> 3] >> (slot & 7) & 1)
-                    if passes:
-                        n[word] += 1
+                n.update({low for word in set(_WORD.findall(text)) if (low := known[word])})
                 if len(known) > 200_000:
-                    known = {}
+                    known.clear()
                 if len(n) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
                     n = Counter()
@@ -195,25 +214,59 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     total = docs.select(F.count(F.lit(1))).first()[0]
     mentions = found.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
     pairs = (found.select("doc_id", "text_key", "entity", "term").distinct()
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_te")).where(F.col("df_te") >= MIN_SUPPORT))
+             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_te")))
     pairs = written(pairs)
     df = term_frequencies(docs, pairs.select("term").distinct())
-    n = F.lit(float(total))
-    pmi = F.log(n * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
-    content = F.log(n / F.col("df_e"))
+    prior = F.col("df_e") / F.lit(float(total))
+    given = (F.col("df_te") + PRIOR * prior) / (F.col("df_t") + PRIOR)
     return (pairs.join(mentions, "entity").join(df.withColumnRenamed("df", "df_t"), "term")
             .where(F.col("df_e") < total)  # an entity in every document has no information to disclose
-            .select("entity", "term", (pmi / content).alias("disclosure")).where(F.col("disclosure") >= GENERALISE))
+            .select("entity", "term", (F.log(given / prior) / -F.log(prior)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE))
+
+
+def whole_words(text: str, word: str) -> Iterator[tuple[int, int]]:
+    """Where the word, as written, is a _WORD of the text."""
+    start = text.find(word)
+    while start >= 0:
+        end = start + len(word)
+        if not (start and text[start - 1].isalnum()) and not text[end:end + 1].isalnum():
+            yield start, end
+        start = text.find(word, end)
+
+
+def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, text_key, term, start, end) of every occurrence, outside of base spans, of words that pass the terms' filter."""
+    share = word_filter(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Passing(share.value)
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [word for word in set(_WORD.findall(text)) if known[word]] if text else []
+                if own:
+                    key, spans = text_key(text), base_spans(text)
+                    for word in own:
+                        rows += [(doc, key, known[word], s, e) for s, e in whole_words(text, word) if not any(a < e and s < b for _, a, b in spans)]
+                if len(known) > 200_000:
+                    known.clear()
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+                                             names=["doc_id", "text_key", "term", "start", "end"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text_key bigint, term string, start bigint, end bigint")
 
 
 def added_spans(docs: DataFrame) -> DataFrame:
     """One row per document with disclosing terms: (doc_id, text_key, added).
 
-    ``added`` lists ``disclosing:start:end:action``; a document's own mentions
+    ``added`` lists ``disclosing:start:end:action``; a document's own words
     bound its length.
     """
     found = written(contexts(docs))
-    hit = (found.join(disclosures(docs, found), ["entity", "term"])
+    terms = written(disclosures(docs, found).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    hit = (places(docs, terms).join(terms, "term")
            .groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure")))
     item = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
     return written(hit.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(item)).alias("added")))

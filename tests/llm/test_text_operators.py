@@ -85,6 +85,17 @@ def test_disclosing_terms_are_found_and_removed(spark):
     assert "Zebedee" not in {r["doc_id"]: r["text"] for r in pii.sanitise(only).collect()}[0]
 
 
+def test_disclosing_terms_are_found_everywhere_and_for_rare_entities(spark):
+    rest = [(100 + i, f"in the office today we write and talk about mail and nothing else {i % 7}") for i in range(200)]
+    docs = spark.createDataFrame([(1, "Zebedee Quark write mail to boss@corp.example.com today"), (2, "we talk to Zebedee today"), (3, f"Zebedee boss@corp.example.com {'and nothing else ' * 30}zebedee")] + rest, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"].split(",") for r in pii.detect(docs).collect() if r["n_disclosing"]}
+    assert "disclosing:0:7" in found[1] and "disclosing:8:13" in found[1]
+    assert found[2] == ["disclosing:11:18"] and found[3][1:] == ["disclosing:0:7", "disclosing:540:547"] and set(found) <= {1, 2, 3}
+    assert not any("zebedee" in r["text"].lower() for r in pii.sanitise(docs).collect())
+    once = spark.createDataFrame([(1, "Zebedee write mail to boss@corp.example.com today")] + rest, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.detect(once).collect() if r["n_disclosing"]}[1].endswith("disclosing:0:7,disclosing:19:21")
+
+
 def test_pii_odd_inputs(odd, empty):
     out = pii.detect(odd).collect()
     assert len(out) == len(ODD) and all(r["spans"] == "" for r in out)
