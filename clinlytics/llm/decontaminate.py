@@ -95,7 +95,11 @@ def candidates(docs: DataFrame, plan: DataFrame) -> DataFrame:
          .select(*key, (F.col("pos") - F.col("offset_a")).alias("start_a"))
          .withColumn("start", F.explode(F.sequence(F.col("start_a") - SLACK, F.col("start_a") + SLACK))))
     b = index.join(plan, F.col("term") == F.col("term_b")).select(*key, (F.col("pos") - F.col("offset_b")).alias("start"))
-    both = a.join(b.distinct(), [*key, "start"])
+    b = b.distinct().withColumnsRenamed({c: f"_b_{c}" for c in (*key, "start")})
+    same = F.col("doc_id").eqNullSafe(F.col("_b_doc_id"))  # a null id equals a null id
+    for c in (*key[1:], "start"):
+        same = same & (F.col(c) == F.col(f"_b_{c}"))
+    both = a.join(b, same)
     return both.groupBy(*key, F.col("start_a").alias("start")).agg(F.min(F.abs(F.col("start") - F.col("start_a"))).alias("apart"))
 
 

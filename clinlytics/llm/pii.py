@@ -290,8 +290,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
     base = map_text(docs, ["doc_id"], "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, text_key bigint", make)
     more = F.transform("added", lambda x: F.concat_ws(":", F.lit("disclosing"), x["start"].cast("string"), x["end"].cast("string")))
-    added = added_spans(docs).select("doc_id", "text_key", F.array_join(more, ",").alias("_more"), F.size("added").cast("bigint").alias("_n"))
-    both = base.join(added, ["doc_id", "text_key"], "left")
+    added = added_spans(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.array_join(more, ",").alias("_more"), F.size("added").cast("bigint").alias("_n"))
+    both = base.join(added, base.doc_id.eqNullSafe(F.col("_id")) & (base.text_key == F.col("_key")), "left")
     spans = F.when(F.col("_more").isNull(), F.col("base")).when(F.col("base") == "", F.col("_more")).otherwise(F.concat_ws(",", "base", "_more"))
     return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"),
                        F.coalesce("_n", F.lit(0)).alias("n_disclosing"))
@@ -319,13 +319,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     names = docs.columns
     keyed = docs.select(*names, F.col("doc_id").alias("_llm_id"))
-    added = added_spans(docs).withColumnsRenamed({"doc_id": "_llm_id", "text_key": "_llm_key", "added": "_llm_added"})
+    added = added_spans(docs).withColumnsRenamed({"doc_id": "_added_id", "text_key": "_added_key", "added": "_llm_added"})
 
     def keys() -> Callable[[list], list[list]]:
         return lambda texts: [[text_key(t or "") for t in texts]]
 
     keyed = map_text(keyed, [*names, "_llm_id"], "_llm_key bigint", keys)
-    both = keyed.join(added, ["_llm_id", "_llm_key"], "left")
+    both = keyed.join(added, F.col("_llm_id").eqNullSafe(F.col("_added_id")) & (F.col("_llm_key") == F.col("_added_key")), "left")
     packed = F.coalesce(F.to_json("_llm_added"), F.lit("[]"))
     both = both.select(*names, packed.alias("_llm_spans"))
     kept = [f.name for f in both.schema.fields if f.name not in ("text", "_llm_spans")]

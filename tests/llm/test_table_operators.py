@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from clinlytics.llm import decontaminate, licenses, mixing, near_dedup, pivot_index
+from clinlytics.llm import decontaminate, licenses, mixing, near_dedup, pii, pivot_index
 from clinlytics.llm.common import DOC_COLUMNS, table
 from clinlytics.llm.graph import connected_components
 from tests.conftest import SF_SMALL
@@ -189,6 +189,20 @@ def test_decontamination_phrases_and_proximity(spark, odd, empty):
     assert decontaminate.report(odd, bench.where("item_id < 0")).where("contaminated").count() == 0
 
 
+def test_documents_without_an_id_keep_their_findings(spark):
+    words = " ".join(f"w{i}x" for i in range(20))
+    bench = spark.createDataFrame([(1, words)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(None, f"intro {words}"), (None, "clean text only"), (1, f"intro {words}"), (2, None)], "doc_id bigint, text string")
+    out = decontaminate.report(docs, bench)
+    assert sorted(r["n_hit"] for r in out.collect()) == [0, 0, 20, 20]
+    assert _rows(out) == _sql({"documents": docs, "benchmark": bench}, decontaminate.oracle())
+    assert sorted(r["text"] or "" for r in decontaminate.clean(docs, bench).collect()) == ["", "clean text only"]
+    rows = [(None, f"Zebedee wrote boss@corp.example.com {i}") for i in range(4)] + [(i, f"nothing wrote but number {i % 7}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r["spans"] for r in pii.detect(docs).collect() if r["doc_id"] is None] == ["email:14:35,disclosing:0:7"] * 4
+    assert not any("Zebedee" in r["text"] for r in pii.sanitise(docs).collect())
+
+
 def _shingles(text):
     w = near_dedup.words(text) if text else []
     return set(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set()
