@@ -1,7 +1,8 @@
 """The registered queries of the corpus operators and their SQL."""
 from __future__ import annotations
 
-from clinlytics.llm import decontaminate, html_extract, lang_id, licenses, mixing, near_dedup, pii, pivot_index, quality, secret_scan
+from clinlytics.llm import (decontaminate, html_extract, lang_id, licenses, mixing, near_dedup, periodic_runs, pii, pivot_index,
+                            quality, secret_scan)
 from clinlytics.llm.common import table
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_positional_decontamination": lambda spark, d: decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_oph_near_documents": lambda spark, d: near_dedup.deduplicate(table(spark, d, "documents")),
     "op10_kneser_ney_language": lambda spark, d: lang_id.language_report(table(spark, d, "documents")),
+    "op11_periodic_runs": lambda spark, d: periodic_runs.report(table(spark, d, "documents")),
 }
 
 _COMPONENTS = """
