@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators and their SQL."""
 from __future__ import annotations
 
-from clinlytics.llm import (chat_format, decontaminate, html_extract, lang_id, licenses, mixing, near_dedup, periodic_runs, pii, pivot_index,
+from clinlytics.llm import (chat_format, collocations, decontaminate, html_extract, lang_id, licenses, mixing, near_dedup, periodic_runs, pii, pivot_index,
                             quality, secret_scan)
 from clinlytics.llm.common import table
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_kneser_ney_language": lambda spark, d: lang_id.language_report(table(spark, d, "documents")),
     "op11_periodic_runs": lambda spark, d: periodic_runs.report(table(spark, d, "documents")),
     "op12_chat_turns": lambda spark, d: chat_format.report(table(spark, d, "conversations")),
+    "op13_debruijn_collocations": lambda spark, d: collocations.collocations(table(spark, d, "documents")),
 }
 
 _COMPONENTS = """
@@ -51,4 +52,5 @@ ORACLES = {
     "op8_positional_decontamination": decontaminate.oracle(),
     "op9_oph_near_documents": _OP9,
     "op12_chat_turns": chat_format.oracle(),
+    "op13_debruijn_collocations": collocations.oracle(),
 }
