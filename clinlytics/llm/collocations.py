@@ -8,9 +8,9 @@ flow leaves its node, plus the piece ends that stop at it; a word as often as
 its pairs, plus the pieces that end with it alone.
 
 A word below the support is in no candidate, so a first pass over all words
-makes them ends of pieces; a word of the rest goes by a 64-bit number, and the
-pass proves that no other word of any text has the same one (else it takes
-another seed). Edges and nodes below the support are dropped once they have
+makes them ends of pieces; a word of the rest goes by a number of 48 bits (64
+where the words are too many for that), and the pass proves that no other word
+of any text has the same one (else it takes another seed). Edges and nodes below the support are dropped once they have
 given their flow. Unary paths of the rest (stretches of nodes with one edge in
 and out) are compacted by pointer doubling into rows of words with the weights
 along them, cut every BLOCK nodes so that no row grows without bound; rings,
@@ -119,8 +119,13 @@ def _gathered(docs: DataFrame, handed_on: Callable[[str, Ids, list[int]], pa.Rec
 
 
 # -------------------------------------------------------------------- words ----
+def _bits(seed: int) -> int:
+    """Ones of a word number: short ones take less room in the shuffles; if they do not suffice, later seeds have 64."""
+    return (1 << 48) - 1 if seed < 2 else (1 << 64) - 1
+
+
 def _number(seed: int, lang: bytes, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(b"%d %b %b" % (seed, lang, word), 42)
+    return xxhash.xxh64_intdigest(b"%d %b %b" % (seed, lang, word), 42) & _bits(seed)
 
 
 def words_of(docs: DataFrame, support: int) -> tuple[DataFrame, int]:
@@ -139,7 +144,8 @@ def words_of(docs: DataFrame, support: int) -> tuple[DataFrame, int]:
     seed = 0
     while True:
         # Spark's xxhash64 of one string is the plain one with seed 42
-        words = counts.withColumn("id", F.xxhash64(F.concat_ws(" ", F.lit(str(seed)), "lang", "word")))
+        own = F.xxhash64(F.concat_ws(" ", F.lit(str(seed)), "lang", "word"))
+        words = counts.withColumn("id", own.bitwiseAND(F.lit(_bits(0))) if seed < 2 else own)
         shared = words.groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.max("n").alias("n")).where((F.col("n") >= support) & ((F.col("words") > 1) | (F.col("id") == 0)))
         if shared.isEmpty():
             return words, seed
