@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from clinlytics.session import apply_required_conf, ensure_checkpoint_dir, ship_
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(),
           "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -27,13 +29,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: bytes of a batch handed to a Python worker, so that long texts don't add up (one text is never cut)
+BATCH_BYTES = 16 << 20
+_SENT: list[Broadcast] = []
+
+
 def prepare(spark: SparkSession) -> None:
     """Session settings, shared folder and the package for Python workers."""
     apply_required_conf(spark)
+    if spark.conf.get(_BATCH_CONF, None) != str(BATCH_BYTES):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     ensure_checkpoint_dir(spark)
     ship_package(spark)
 
 
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that ``release`` takes off the executors again."""
+    sent = spark.sparkContext.broadcast(value)
+    _SENT.append(sent)
+    return sent
+
+
+def release() -> None:
+    """Free what was broadcast for results that are written by now; a later use fetches it from the driver again."""
+    while _SENT:
+        _SENT.pop().unpersist()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` under the session's shared checkpoint folder and reread it.
 

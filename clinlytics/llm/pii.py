@@ -1,32 +1,34 @@
 """Operator 2: personal data, found by pattern and by what discloses it.
 
 Base spans (email, ip, card, phone) are protected entities. A term standing
-near mentions of an entity discloses it when the pointwise mutual information
-of term and entity, estimated over all documents, comes close to the entity's
-own information content: with df counted in documents, p(e) = df(e) / N, and
-p(e|t) smoothed by PRIOR documents in which the entity is as rare as anywhere,
+near mentions of an entity discloses it as far as it leaves little to learn:
+with df counted in documents, and PRIOR further documents in which the term
+stands without the entity (so that one meeting is weak evidence),
 
-    p(e|t) = (df(t,e) + PRIOR p(e)) / (df(t) + PRIOR)
-    disclosure(t, e) = log(p(e|t) / p(e)) / log(1 / p(e)),
+    p(e|t) = df(t,e) / (df(t) + PRIOR),    bits left = -log2 p(e|t).
 
-so that a term and an entity of one document count too, if less surely. Terms
-are removed at REMOVE or above and generalised to their kind of word at
-GENERALISE or above, wherever they stand: also far from the entity and in
-documents without it.
+A term that leaves GENERALISE_BITS or less is generalised to its kind of word,
+one that leaves REMOVE_BITS or less is removed, wherever it stands: also far
+from the entity and in documents without it. Only documents that hold the term
+count, so documents about other things change nothing; an entity of every
+document has no information to disclose.
 
-Scale: only documents with an entity emit (entity, term) rows; they are
-pre-aggregated in the tasks. Document frequencies of the candidate terms and
-the places of the disclosing ones come from one pass each over all whole texts
-that lets only words through whose hash is set in a bitmap of fixed size, then
-an exact equi-join.
+Scale: a document with an entity counts (entity, term) pairs, added up in the
+tasks; document frequencies are one count of all words. The places of the
+disclosing terms come from passes over all whole texts, each with the sorted
+digests of at most TERMS_A_PASS terms on the executors; all terms have their
+pass, and a found word is joined with its term by name.
 
 Defined results: null and empty texts have no spans; every row (repeated ids
-and rows too) gives one row; extra columns are ignored.
+and rows too) gives one row and counts as one document; extra columns are
+ignored.
 """
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -37,17 +39,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinlytics.llm.common import map_text, prepare, written
+from clinlytics.llm.common import map_text, prepare, shared, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: words on each side of a mention that count as its context
 CONTEXT = 8
-#: documents without a finding about the entity that every term is given
-PRIOR = 1.0
-GENERALISE = 0.8
-REMOVE = 0.95
-#: bits of the word filter (fixed size; a full filter only lets more words through)
-FILTER_BITS = 1 << 20
+#: further documents in which every term is taken to stand without the entity
+PRIOR = 1
+#: bits that a term may leave of an entity, at most: p(e|t) of 1/2 and 3/4
+GENERALISE_BITS, REMOVE_BITS = 1.0, 0.4151
+#: terms whose digests (8 bytes each) go to the executors for one pass over the texts
+TERMS_A_PASS = 1 << 22
+#: different keys that a task counts before it hands its counts on
+COUNTED = 200_000
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,151 +115,142 @@ def entity_key(kind: str, value: str) -> str:
     return hashlib.sha256(f"{kind}:{value.lower()}".encode()).hexdigest()[:32]
 
 
-def context_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within CONTEXT words of each mention."""
-    out: set[tuple[str, str, int, int]] = set()
+def covered(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches under any span, disjoint and in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def open_words(text: str, spans: list[Span]) -> Iterator[re.Match]:
+    """The words of a text that no span touches."""
+    under, i = covered(spans), 0
+    for m in _WORD.finditer(text):
+        while i < len(under) and under[i][1] <= m.start():
+            i += 1
+        if i == len(under) or m.end() <= under[i][0]:
+            yield m
+
+
+def context_terms(text: str, spans: list[Span]) -> set[tuple[str, str]]:
+    """(entity, term) of the words within CONTEXT words of each mention."""
+    words = [(m.start(), m[0].lower()) for m in open_words(text, spans)]
+    starts = [s for s, _ in words]
+    out: set[tuple[str, str]] = set()
     for kind, start, end in spans:
-        key = entity_key(kind, text[start:end])
-        before: list[re.Match] = []
-        reach = 64 * CONTEXT
-        while True:  # widen until enough words stand before the mention
-            low = max(0, start - reach)
-            before = list(_WORD.finditer(text, low, start))
-            if low == 0 or len(before) > CONTEXT:
-                break
-            reach *= 4
-        after, it = [], _WORD.finditer(text, end)
-        for _ in range(CONTEXT):
-            if (m := next(it, None)) is None:
-                break
-            after.append(m)
-        for m in before[-CONTEXT:] + after:
-            if not any(s < m.end() and m.start() < e for _, s, e in spans):
-                out.add((key, m[0].lower(), m.start(), m.end()))
-    return sorted(out)
+        key, at = entity_key(kind, text[start:end]), bisect_left(starts, start)
+        out.update((key, term) for _, term in words[max(0, at - CONTEXT):at + CONTEXT])
+    return out
+
+
+def _counts(seen: Counter, names: list[str]) -> pa.RecordBatch:
+    """Keys (tuples of strings) and counts of a task."""
+    keys = zip(*seen, strict=True) if seen else [[]] * (len(names) - 1)
+    return pa.RecordBatch.from_arrays([*(pa.array(list(k), pa.string()) for k in keys), pa.array(list(seen.values()), pa.int64())], names=names)
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, entity, term, start, end) of every document with an entity."""
+    """(entity, term, df): documents with the term near a mention; with the entity at all where term is null."""
+    names = ["entity", "term", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 if text and (spans := base_spans(text)):
-                    key = text_key(text)
-                    rows += [(doc, key, *x) for x in context_terms(text, spans)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-                                             names=["doc_id", "text_key", "entity", "term", "start", "end"])
+                    seen.update(context_terms(text, spans))
+                    seen.update({(entity_key(k, text[s:e]), None) for k, s, e in spans})
+                    if len(seen) > COUNTED:
+                        yield _counts(seen, names)
+                        seen = Counter()
+        yield _counts(seen, names)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, text_key bigint, entity string, term string, start bigint, end bigint")
+    return docs.select("text").mapInArrow(run, "entity string, term string, n bigint").groupBy("entity", "term").agg(F.sum("n").alias("df"))
 
 
 def text_key(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text.encode())).view(np.int64))
 
 
-def _slot(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode()) % FILTER_BITS
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df_t) of all words of all documents, lower-cased; tasks add up before the shuffle."""
+    names = ["term", "n"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(set(map(str.lower, set(_WORD.findall(text)))))
+                    if len(seen) > COUNTED:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=names)
+                        seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=names)
 
-class Passing(dict):
-    """By word as written: lower-cased if the bitmap lets it through, else ''."""
+    return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df_t"))
 
-    def __init__(self, bits: bytes) -> None:
-        self.bits = bits
 
-    def __missing__(self, word: str) -> str:
-        low = word.lower()
-        slot = _slot(low)
-        self[word] = out = low if self.bits[slot >> 3] >> (slot & 7) & 1 else ""
-        return out
+def disclosures(docs: DataFrame) -> DataFrame:
+    """(entity, term, bits): pairs that leave GENERALISE_BITS or less."""
+    found = written(contexts(docs))
+    total = docs.count()
+    known = found.where(F.col("term").isNull() & (F.col("df") < total)).select("entity")
+    pairs = found.where(F.col("term").isNotNull()).join(known, "entity", "left_semi").join(term_frequencies(docs), "term")
+    bits = -F.log2(F.col("df") / (F.col("df_t") + PRIOR))
+    return pairs.select("entity", "term", bits.alias("bits")).where(F.col("bits") <= GENERALISE_BITS)
 
 
-def word_filter(terms: DataFrame) -> Broadcast:
-    """A bitmap of the slots of ``terms(term)``."""
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = sorted({_slot(t) for t in batch.column(0).to_pylist()})
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], names=["slot"])
+class Known(dict):
+    """By word as written: lower-cased if its digest is among the sorted ones, else ''."""
 
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    used = terms.select("term").mapInArrow(slots, "slot bigint").distinct().toArrow()["slot"].to_numpy()  # FILTER_BITS rows at most
-    np.bitwise_or.at(bits, used >> 3, (1 << (used & 7)).astype(np.uint8))
-    return terms.sparkSession.sparkContext.broadcast(bits.tobytes())
+    def __init__(self, digests: bytes) -> None:
+        self.digests = array("Q")
+        self.digests.frombytes(digests)
 
+    def __missing__(self, word: str) -> str:
+        if len(self) > COUNTED:
+            self.clear()
+        low = word.lower()
+        digest = xxhash.xxh64_intdigest(low.encode(), 42)
+        at = bisect_left(self.digests, digest)
+        self[word] = out = low if at < len(self.digests) and self.digests[at] == digest else ""
+        return out
 
-def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) over all documents for the terms of ``terms(term)``."""
-    share = word_filter(terms)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = Passing(share.value), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                n.update({low for word in set(_WORD.findall(text)) if (low := known[word])})
-                if len(known) > 200_000:
-                    known.clear()
-                if len(n) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-                    n = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-    part = docs.select("text").mapInArrow(run, "term string, n bigint")
-    return part.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-
-
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) at GENERALISE or above, over ``contexts`` rows."""
-    total = docs.select(F.count(F.lit(1))).first()[0]
-    mentions = found.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    pairs = (found.select("doc_id", "text_key", "entity", "term").distinct()
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_te")))
-    pairs = written(pairs)
-    df = term_frequencies(docs, pairs.select("term").distinct())
-    prior = F.col("df_e") / F.lit(float(total))
-    given = (F.col("df_te") + PRIOR * prior) / (F.col("df_t") + PRIOR)
-    return (pairs.join(mentions, "entity").join(df.withColumnRenamed("df", "df_t"), "term")
-            .where(F.col("df_e") < total)  # an entity in every document has no information to disclose
-            .select("entity", "term", (F.log(given / prior) / -F.log(prior)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE))
-
-
-def whole_words(text: str, word: str) -> Iterator[tuple[int, int]]:
-    """Where the word, as written, is a _WORD of the text."""
-    start = text.find(word)
-    while start >= 0:
-        end = start + len(word)
-        if not (start and text[start - 1].isalnum()) and not text[end:end + 1].isalnum():
-            yield start, end
-        start = text.find(word, end)
+def _digests(terms: DataFrame) -> Broadcast:
+    """The sorted digests of at most about TERMS_A_PASS terms; Spark's xxhash64 is the plain one with seed 42."""
+    own = terms.select(F.xxhash64("term").alias("digest")).toArrow()["digest"].to_numpy().view(np.uint64)
+    return shared(terms.sparkSession, np.sort(own).tobytes())
 
 
 def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, text_key, term, start, end) of every occurrence, outside of base spans, of words that pass the terms' filter."""
-    share = word_filter(terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Passing(share.value)
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [word for word in set(_WORD.findall(text)) if known[word]] if text else []
-                if own:
-                    key, spans = text_key(text), base_spans(text)
-                    for word in own:
-                        rows += [(doc, key, known[word], s, e) for s, e in whole_words(text, word) if not any(a < e and s < b for _, a, b in spans)]
-                if len(known) > 200_000:
-                    known.clear()
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-                                             names=["doc_id", "text_key", "term", "start", "end"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text_key bigint, term string, start bigint, end bigint")
+    """(doc_id, text_key, term, start, end) of every occurrence of ``terms(term)`` outside of base spans."""
+    def of(share: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Known(share.value)
+            for batch in batches:
+                rows = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if text and any([known[word] for word in set(_WORD.findall(text))]):
+                        key = text_key(text)
+                        rows += [(doc, key, low, m.start(), m.end()) for m in open_words(text, base_spans(text)) if (low := known[m[0]])]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+                                                 names=["doc_id", "text_key", "term", "start", "end"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text_key bigint, term string, start bigint, end bigint")
+
+    passes = max(1, -(-terms.count() // TERMS_A_PASS))
+    out = None
+    for i in range(passes):
+        own = of(_digests(terms.where(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(passes)) == i)))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def added_spans(docs: DataFrame) -> DataFrame:
@@ -264,11 +259,10 @@ def added_spans(docs: DataFrame) -> DataFrame:
     ``added`` lists ``disclosing:start:end:action``; a document's own words
     bound its length.
     """
-    found = written(contexts(docs))
-    terms = written(disclosures(docs, found).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    terms = written(disclosures(docs).groupBy("term").agg(F.min("bits").alias("bits")))
     hit = (places(docs, terms).join(terms, "term")
-           .groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure")))
-    item = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
+           .groupBy("doc_id", "text_key", "start", "end").agg(F.min("bits").alias("bits")))
+    item = F.struct("start", "end", (F.col("bits") <= REMOVE_BITS).alias("remove"))
     return written(hit.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(item)).alias("added")))
 
 
@@ -294,7 +288,7 @@ def detect(docs: DataFrame) -> DataFrame:
     both = base.join(added, base.doc_id.eqNullSafe(F.col("_id")) & (base.text_key == F.col("_key")), "left")
     spans = F.when(F.col("_more").isNull(), F.col("base")).when(F.col("base") == "", F.col("_more")).otherwise(F.concat_ws(",", "base", "_more"))
     return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"),
-                       F.coalesce("_n", F.lit(0)).alias("n_disclosing"))
+                       F.coalesce("_n", F.lit(0)).alias("n_disclosing"), F.expr("n_email + n_ip + n_card + n_phone").alias("n_base"))
 
 
 def _kind_of_word(word: str) -> str:
