@@ -36,27 +36,29 @@ MAX_QUERY_BATCH = 10_000
 
 
 # ------------------------------------------------------------- chunks ----
-def chunk_summaries(summaries: DataFrame) -> DataFrame:
+def chunk_summaries(summaries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Split (patient_id, summary_text) into one chunk per visit block.
 
     The header is the first line starting with 'PATIENT:' (none -> ''),
     and only lines after it are scanned. A new block starts at each line
     that begins with 'VISIT ' and contains '['; non-blank lines before the
     first such line form block 0. Blank lines are dropped. Chunk text is
-    header + blank line + block lines, stripped.
+    header + blank line + block lines, stripped. ``keep`` names further
+    columns of the summaries to pass on, or ``block_no``.
     """
+    own = [k for k in keep if k != "block_no"]
     s = summaries.where(F.col("summary_text").isNotNull() & (strip_ws(F.col("summary_text")) != ""))
     # staged columns: each array is computed once per row
-    s = s.select("patient_id", F.split(F.col("summary_text"), "\n").alias("_all"))
+    s = s.select("patient_id", *own, F.split(F.col("summary_text"), "\n").alias("_all"))
     s = s.withColumn("_h", F.array_position(
         F.transform("_all", lambda line: line.startswith(HEADER_PREFIX)), F.lit(True)))  # 1-based, 0 = none
     lines, hpos = F.col("_all"), F.col("_h")
     s = s.select(
-        "patient_id",
+        "patient_id", *own,
         F.when(hpos > 0, F.element_at(lines, hpos.cast("int"))).otherwise(F.lit("")).alias("_header"),
         F.when(hpos == 0, lines).otherwise(F.slice(lines, (hpos + 1).cast("int"), F.size(lines))).alias("_body"))
     body = F.concat(F.lit("\n"), F.array_join("_body", "\n"))
-    blocks = s.select("patient_id", "_header", F.posexplode(F.split(body, VISIT_SPLIT)).alias("block_no", "_block"))
+    blocks = s.select("patient_id", *own, "_header", F.posexplode(F.split(body, VISIT_SPLIT)).alias("block_no", "_block"))
     blocks = blocks.withColumn("_lines", nonblank_lines(F.col("_block"))).where(F.size("_lines") > 0)
     blocks = blocks.withColumn("_dr", doctor_line(F.col("_lines")))
     meta = chunk_columns(F.col("_lines"), F.col("_header"), F.col("_dr"))
@@ -64,7 +66,7 @@ def chunk_summaries(summaries: DataFrame) -> DataFrame:
         F.format_string("%d_visit_%d", F.col("patient_id"), F.col("block_no")).alias("chunk_id"),
         "patient_id",
         strip_ws(F.concat(F.col("_header"), F.lit("\n\n"), F.array_join("_lines", "\n"))).alias("document"),
-        *[c.alias(k) for k, c in meta.items()],
+        *[c.alias(k) for k, c in meta.items()], *keep,
     )
 
 
@@ -76,7 +78,7 @@ def embed_chunks(chunks: DataFrame, embedder=None, dim: int = DEFAULT_DIM) -> Da
     """
     if embedder is None:
         return hash_embed_table(chunks, "chunk_id", "document", dim)
-    return chunks.withColumn("embedding", embedder(F.col("document")))
+    return chunks.withColumn("embedding", embedder(F.coalesce("document", F.lit(""))))
 
 
 def build_store(summaries: DataFrame, ingested_at=None, embedder=None, dim: int = DEFAULT_DIM) -> DataFrame:

@@ -39,6 +39,29 @@ NEXT_ACTIONS = (
     ("in_progress", "doctor", "Write Visit Notes", None),
 )
 LIVE_EXCLUDED = ("cancelled", "no_show")
+#: statuses that no transition leaves
+FINAL_STATUSES = ("completed", "cancelled", "no_show")
+# Why a status event is rejected.
+NOT_FOUND = "appointment not found"
+NO_TRANSITION = "cannot transition from '{}' to '{}'"
+DOCTORS_ONLY = "only doctors can transition to '{}'"
+DESK_ONLY = "only front desk or admin can transition to '{}'"
+# Fixed value: the reason given for an event that comes after a later one was applied.
+LATE = "late"
+_ROLES_OF = {(f, t): roles for f, t, roles in TRANSITIONS}
+
+
+def transition_reason(status: str | None, to: str, role: str) -> str | None:
+    """Why an event is rejected in a known status; null if it is accepted. The rule for one event (streams);
+    ``validate_transitions`` is the same rule for tables."""
+    if status is None:
+        return NOT_FOUND
+    roles = _ROLES_OF.get((status, to))
+    if roles is None:
+        return NO_TRANSITION.format(status, to)
+    if role not in roles:
+        return (DOCTORS_ONLY if to in ("in_progress", "completed") else DESK_ONLY).format(to)
+    return None
 
 
 def first_failure(*checks: tuple[Column, str]) -> Column:
@@ -216,15 +239,11 @@ def validate_transitions(appointments: DataFrame, events: DataFrame) -> DataFram
                 | (c("_p1").isNotNull() & (c("_o") == c("_p1"))))
     valid_pairs = F.array(*[F.lit(f"{f}>{t_}") for f, t_, _ in TRANSITIONS])
     pair = F.concat(c("from_status"), F.lit(">"), c("to_status"))
-    reason = (F.when(accepted, F.lit(None))
-              .when(c("status0").isNull(), F.lit("appointment not found"))
-              .when(~F.array_contains(valid_pairs, pair),
-                    F.concat(F.lit("cannot transition from '"), c("from_status"), F.lit("' to '"),
-                             c("to_status"), F.lit("'")))
-              .when(c("to_status").isin("in_progress", "completed"),
-                    F.concat(F.lit("only doctors can transition to '"), c("to_status"), F.lit("'")))
-              .otherwise(F.concat(F.lit("only front desk or admin can transition to '"), c("to_status"),
-                                  F.lit("'"))))
+    said = lambda text, *args: F.format_string(text.replace("{}", "%s"), *args)
+    reason = (F.when(accepted, F.lit(None)).when(c("status0").isNull(), F.lit(NOT_FOUND))
+              .when(~F.array_contains(valid_pairs, pair), said(NO_TRANSITION, c("from_status"), c("to_status")))
+              .when(c("to_status").isin("in_progress", "completed"), said(DOCTORS_ONLY, c("to_status")))
+              .otherwise(said(DESK_ONLY, c("to_status"))))
     return e.select("event_id", "appointment_id", "ts", "role", "from_status", "to_status",
                     accepted.alias("accepted"), reason.alias("reason"))
 

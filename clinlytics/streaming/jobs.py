@@ -1,170 +1,177 @@
 """Structured Streaming forms of the nightly refresh, the appointment status
 workflow and summary ingestion.
 
-* ``refresh_daily_revenue``: new billing records arrive as files; each
-  micro-batch recomputes the revenue of the payment dates it touches from
-  the current tables and upserts them (foreachBatch + versioned table).
-* ``status_event_stream``: status events are applied per appointment by a
-  stateful Pandas function (applyInPandasWithState); the state is the
-  appointment's status, the last event's place and the ids seen. No watermark
-  drops events: one that comes behind its place is rejected as late.
-* ``ingest_summaries``: summaries arrive as files; a micro-batch keeps only
-  (patient, hash) pairs not yet in the store, chunks and embeds them and
-  upserts the chunks.
-
-Every query runs with ``trigger(availableNow=True)`` from a checkpoint in
-the shared checkpoint folder, so a restarted job resumes where it stopped.
+* ``refresh_daily_revenue``: versions of billing records arrive as files. A
+  state per invoice holds what it adds to its (payment date, department); a
+  change comes out as one row that takes the old contribution back and one that
+  adds the new one, so old and new date are refreshed and emptied days vanish.
+* ``status_event_stream``: status events are applied per appointment; the state
+  is the status, the last event's place and the ids seen, one state row each;
+  in a query that goes on running, a timer drops them some time after a final
+  status. No watermark drops events: one that comes behind its place is
+  rejected as late.
+* ``ingest_summaries``: summaries arrive as files. A state per patient (hash,
+  block numbers) lets only changed summaries through and marks the blocks that
+  a shorter one no longer has, so no stale chunk stays in the store.
+
+All three keep their state in the RocksDB state store by ``transformWithState``
+and append what changed to a Parquet log (the file sink commits each
+micro-batch once); ``read_*`` gives the table. Nothing a micro-batch reads
+grows with the table. Every query runs with ``trigger(availableNow=True)`` from
+a checkpoint in the shared folder, so a restarted job resumes where it stopped.
 """
 from __future__ import annotations
 
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-from clinlytics.operators import jobs, upsert as up
-from clinlytics.operators.writes import TRANSITIONS
+from clinlytics.functions.core import money
+from clinlytics.operators import jobs, writes
+from clinlytics.operators.writes import LATE  # noqa: F401 - the reason of late events, for callers
 from clinlytics.session import ensure_checkpoint_dir, ship_package
+from clinlytics.streaming import state
+from clinlytics.streaming.state import InvoiceChanges, StatusMachine, SummaryChanges
+
+# The process that opens the state on the driver gets no shipped files, so the processors travel by value.
+for _module in (state, writes):
+    cloudpickle.register_pickle_by_value(_module)
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: how long after a final status an appointment keeps the ids of its events, where timers run
+RETAIN_MS = 30 * 24 * 3600 * 1000
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
-def _run(q) -> None:
-    q.awaitTermination()
+def _run(spark: SparkSession, rows: DataFrame, out_dir: str, checkpoint: str) -> DataFrame:
+    """Append everything that is available to the log at ``out_dir``; transformWithState needs the RocksDB store."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        q = (rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+             .trigger(availableNow=True).start(out_dir))
+        q.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    return spark.read.schema(rows.schema).parquet(out_dir)
 
 
-# ------------------------------------------------------------------ SS1 ----
-def refresh_daily_revenue(spark: SparkSession, t, source_dir: str, out_root: str, checkpoint: str,
-                          files_per_trigger: int = 1) -> DataFrame:
-    """Incrementally maintain daily revenue from a folder of billing records."""
-    schema = t["billing_records"].schema
+def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "none") -> DataFrame:
+    return rows.groupBy(key).transformWithState(processor, schema, "append", time_mode)
 
-    def on_batch(batch: DataFrame, epoch: int) -> None:
-        days = batch.where(F.col("payment_date").isNotNull()).select("payment_date").distinct()
-        if days.isEmpty():
-            return
-        tt = dict(t)
-        tt["billing_records"] = t["billing_records"].join(days, "payment_date", "left_semi")
-        fresh = jobs.daily_revenue(_Tables(t, tt))
-        up.write_epoch(spark, out_root, fresh, epoch, writer)
 
-    writer = up.writer_id(spark, checkpoint)
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-         .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    _run(q)
-    return up.read_latest(spark, out_root, ["date", "department_id"])
+def _arrival() -> Column:
+    """When a row's file was written, in microseconds: orders versions that carry no order of their own."""
+    return F.unix_micros(F.col("_metadata.file_modification_time"))
 
 
-class _Tables(dict):
-    """A clinic-table dict with some tables replaced (keeps .spark/.driver)."""
+# ------------------------------------------------------------------ SS1 ----
+_PARTS = [*(f"{c}_cents" for c in jobs.CATEGORIES), "total_cents", "paid", "pending"]
+
 
-    def __init__(self, base, tables):
-        super().__init__(tables)
-        self.spark, self.sf_dir, self._base = base.spark, base.sf_dir, base
+def invoice_contributions(t, records: DataFrame) -> DataFrame:
+    """What each version of a billing record adds to its (payment date, department), in cents.
 
-    def driver(self, name):
-        return self._base.driver(name)
+    A record without items, visit, appointment or department adds nothing (null date).
+    """
+    cents = (F.col("amount") * 100).cast("bigint")
+    per_invoice = t["billing_items"].groupBy(F.col("billing_record_id").alias("id")).agg(
+        *[F.sum(F.when(F.col("category") == c, cents)).alias(f"{c}_cents") for c in jobs.CATEGORIES], F.sum(cents).alias("total_cents"))
+    v = t["visits"].select(F.col("id").alias("visit_id"), "appointment_id")
+    a = t["appointments"].select(F.col("id").alias("appointment_id"), F.col("department_id").cast("bigint").alias("department_id"))
+    d = t["departments"].select(F.col("id").cast("bigint").alias("department_id"), F.col("name").alias("department_name"))
+    j = records.join(per_invoice, "id", "left").join(v, "visit_id", "left").join(a, "appointment_id", "left").join(d, "department_id", "left")
+    counts = F.col("total_cents").isNotNull() & F.col("department_name").isNotNull()
+    return j.select("id", "version", F.when(counts, F.col("payment_date")).alias("payment_date"), "department_id", "department_name",
+                    *_PARTS[:-2], (F.col("status") == "paid").cast("bigint").alias("paid"), (F.col("status") == "pending").cast("bigint").alias("pending"))
 
-    def __missing__(self, name):
-        return self._base[name]
+
+def refresh_daily_revenue(spark: SparkSession, t, source_dir: str, out_root: str, checkpoint: str,
+                          files_per_trigger: int = 1, version: str | None = None) -> DataFrame:
+    """Incrementally maintain daily revenue from a folder of versions of billing records.
+
+    ``version`` names a whole-number column that orders the versions of a record; without it they count by the time of their file.
+    """
+    schema = t["billing_records"].schema
+    if version and version not in schema.names:
+        schema = schema.add(version, "long")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+    records = source.select("id", "visit_id", "status", "payment_date", (F.col(version) if version else _arrival()).alias("version"))
+    columns = ["payment_date", "department_id", "department_name", *_PARTS]
+    deltas = _stateful(invoice_contributions(t, records), "id", InvoiceChanges(columns),
+                       "payment_date date, department_id bigint, department_name string, " + ", ".join(f"{c} bigint" for c in _PARTS) + ", invoices bigint")
+    return read_daily_revenue(_run(spark, deltas, out_root, checkpoint), t)
+
+
+def read_daily_revenue(deltas: DataFrame, t) -> DataFrame:
+    """The daily revenue table of a log of changes: a partial aggregate; days without an invoice are gone."""
+    sums = deltas.groupBy(F.col("payment_date").alias("date"), "department_id", "department_name").agg(*[F.sum(c).alias(c) for c in [*_PARTS, "invoices"]])
+    kind = t["departments"].schema["id"].dataType
+    return sums.where(F.col("invoices") > 0).select(
+        "date", F.col("department_id").cast(kind).alias("department_id"), "department_name",
+        *[money(F.col(f"{c}_cents").cast("decimal(20,2)") / 100).alias(f"{c}_revenue") for c in (*jobs.CATEGORIES, "total")],
+        F.col("paid").alias("paid_count"), F.col("pending").alias("pending_count"))
 
 
 # ------------------------------------------------------------------ SS2 ----
 OUTCOME_SCHEMA = ("event_id long, appointment_id long, ts timestamp_ntz, role string, from_status string, "
                   "to_status string, accepted boolean, reason string")
-_ALLOWED = {(f, t_): roles for f, t_, roles in TRANSITIONS}
-
-
-# Fixed value: the reason given for an event that comes after a later one was applied.
-LATE = "late"
-
-
-def _reason(state, to, role):
-    if state is None:
-        return "appointment not found"
-    roles = _ALLOWED.get((state, to))
-    if roles is None:
-        return f"cannot transition from '{state}' to '{to}'"
-    if role not in roles:
-        if to in ("in_progress", "completed"):
-            return f"only doctors can transition to '{to}'"
-        return f"only front desk or admin can transition to '{to}'"
-    return None
-
-
-def _apply_events(key, pdfs, state):
-    """State = status, (ts, event_id) of the last event and the ids seen of
-    one appointment; new events applied in order, each of them reported."""
-    ev = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    cur, last_ts, last_id, seen = state.get if state.exists else (None, None, None, "")
-    known = set(seen.split(",")) if seen else set()
-    if not state.exists:
-        first = ev["status0"].dropna()
-        cur = first.iloc[0] if len(first) else None
-    out = []
-    for r in ev.itertuples(index=False):
-        if str(r.event_id) in known:
-            continue
-        known.add(str(r.event_id))
-        place = (r.ts.value if hasattr(r.ts, "value") else 0, r.event_id)
-        late = last_ts is not None and place < (last_ts, last_id)
-        why = LATE if late else _reason(cur, r.to_status, r.role)
-        out.append((r.event_id, r.appointment_id, r.ts, r.role, cur, r.to_status, why is None, why))
-        if why is None:
-            cur = r.to_status
-        if not late:
-            last_ts, last_id = place
-    state.update((cur, last_ts, last_id, ",".join(sorted(known))))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME_SCHEMA.split(", ")])
+
+
+def status_outcomes(appointments: DataFrame, events_stream: DataFrame, retain_ms: int | None = None) -> DataFrame:
+    """The outcome of every event of a stream of appointment_id, event_id, ts, to_status, role.
+
+    With ``retain_ms`` (RETAIN_MS is usual) the state has processing-time timers: for queries that go on running, as
+    Spark always plans another batch for them.
+    """
+    cur = appointments.select(F.col("id").alias("appointment_id"), F.col("status").alias("status0"))
+    place = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0))
+    ev = events_stream.select(F.col("appointment_id").cast("bigint"), F.col("event_id").cast("bigint"), F.col("ts").cast("timestamp_ntz"), "to_status", "role", place.alias("at"))
+    mode = "none" if retain_ms is None else "processingtime"
+    return _stateful(ev.join(cur, "appointment_id", "left"), "appointment_id", StatusMachine(retain_ms), OUTCOME_SCHEMA, mode)
 
 
 def status_event_stream(spark: SparkSession, appointments: DataFrame, events_stream: DataFrame, out_dir: str,
                         checkpoint: str) -> DataFrame:
-    """events_stream: appointment_id, event_id, ts, to_status, role. Every
-    event comes out once, late ones as rejects; repeated ids come out once."""
-    ship_package(spark)
-    cur = appointments.select(F.col("id").alias("appointment_id"), F.col("status").alias("status0"))
-    ev = events_stream.join(cur, "appointment_id", "left")
-    res = ev.groupBy("appointment_id").applyInPandasWithState(
-        _apply_events, OUTCOME_SCHEMA, "status string, last_ts long, last_id long, seen string", "append", GroupStateTimeout.NoTimeout)
-    q = (res.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start(out_dir))
-    _run(q)
-    return spark.read.parquet(out_dir)
+    """Every available event comes out once, late ones as rejects; repeated ids come out once."""
+    return _run(spark, status_outcomes(appointments, events_stream), out_dir, checkpoint)
 
 
 # ------------------------------------------------------------------ SS3 ----
 def ingest_summaries(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str,
                      files_per_trigger: int = 1, embedder=None) -> DataFrame:
-    """Incremental ingestion: only (patient_id, summary_hash) pairs missing
-    from the store are chunked, embedded and upserted."""
+    """Incremental ingestion: only changed summaries are embedded and stored; blocks that are gone leave the store."""
     from clinlytics.operators import retrieval as rg
     schema = "patient_id long, summary_text string, visit_count int, summary_hash string"
-
-    def on_batch(batch: DataFrame, epoch: int) -> None:
-        todo = batch
-        if up.epochs(spark, store_root):
-            # the hash of each patient's newest summary; chunks left from older ones don't count
-            have = (up.read_log(spark, store_root).groupBy("patient_id")
-                    .agg(F.max_by("summary_hash", F.struct("_at", "epoch")).alias("summary_hash")))
-            todo = batch.join(have, ["patient_id", "summary_hash"], "left_anti")
-        if todo.isEmpty():
-            return
-        hashes = todo.select("patient_id", "summary_hash")
-        chunks = rg.build_store(todo.drop("summary_hash"), embedder=embedder).join(hashes, "patient_id")
-        up.write_epoch(spark, store_root, chunks, epoch, writer)
-
-    ship_package(spark)
-    writer = up.writer_id(spark, checkpoint)
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-         .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    _run(q)
-    return up.read_latest(spark, store_root, ["chunk_id"], created_col="created_at")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+    versions = source.select("patient_id", "summary_text", F.coalesce("summary_hash", F.sha2("summary_text", 256), F.lit("")).alias("summary_hash"), _arrival().alias("version"))
+    chunks = rg.chunk_summaries(versions, keep=("block_no", "summary_hash", "version"))
+    chunk = F.to_json(F.struct(*[c for c in chunks.columns if c not in ("patient_id", "block_no", "summary_hash", "version")]))
+    rows = chunks.select("patient_id", "summary_hash", "version", F.col("block_no").cast("int"), chunk.alias("document"))
+    marks = versions.select("patient_id", "summary_hash", "version", F.lit(None).cast("int").alias("block_no"), F.lit(None).cast("string").alias("document"))
+    changed = _stateful(rows.unionByName(marks), "patient_id", SummaryChanges(),
+                        "patient_id bigint, block_no int, document string, summary_hash string, generation bigint, deleted boolean")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema.fields if f.name not in ("patient_id", "block_no", "summary_hash", "version"))
+    ship_package(spark)  # the embedder's worker code
+    full = changed.withColumn("c", F.from_json("document", kinds)).select(
+        F.format_string("%d_visit_%d", "patient_id", "block_no").alias("chunk_id"), "patient_id", "c.document",
+        *[F.col(f"c.{c}") for c in chunks.columns if c not in ("patient_id", "block_no", "summary_hash", "version", "chunk_id", "document")],
+        "summary_hash", "generation", "deleted", F.current_timestamp().alias("written_at"))
+    return read_store(_run(spark, rg.embed_chunks(full, embedder), store_root, checkpoint))
+
+
+def read_store(log: DataFrame) -> DataFrame:
+    """The chunks of a store's log: per chunk the row of the newest generation (a partial aggregate), without those gone."""
+    rest = [c for c in log.columns if c not in ("chunk_id", "written_at")]
+    last = log.groupBy("chunk_id").agg(F.max_by(F.struct(*rest, "written_at"), "generation").alias("r"), F.min("written_at").alias("created_at"))
+    return last.where(~F.col("r.deleted")).select("chunk_id", *[F.col(f"r.{c}") for c in rest if c not in ("generation", "deleted")],
+                                                  "created_at", F.col("r.written_at").alias("updated_at"))

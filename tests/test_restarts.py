@@ -40,18 +40,6 @@ def test_a_crashed_write_blocks_nothing(spark):
     assert up.read_current(spark, root).first().v == "b"
 
 
-def test_a_second_writer_keeps_the_first_ones_rows(spark):
-    root = _dir("writers")
-    row = lambda i, v: spark.createDataFrame([(i, v)], "id long, v string")
-    up.write_epoch(spark, root, row(1, "a"), 0, "x")
-    up.write_epoch(spark, root, row(2, "b"), 0, "y")
-    up.write_epoch(spark, root, row(1, "c"), 1, "y")
-    assert sorted(tuple(r) for r in up.read_latest(spark, root, ["id"]).collect()) == [(1, "c"), (2, "b")]
-    ck = _dir("ck")
-    first = up.writer_id(spark, f"{ck}/one")
-    assert up.writer_id(spark, f"{ck}/one") != first  # its checkpoint was never written, or is lost
-
-
 def test_a_reverted_summary_is_ingested_again(spark):
     root = _dir("revert")
     head = "PATIENT: A Bee | Age: 1\n\n"
