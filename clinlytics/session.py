@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -77,6 +78,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
+def written(df):
+    """Write ``df`` under the shared checkpoint folder and reread it: each row is computed once, a lost executor
+    costs a re-read, and the planner knows the table's size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -99,12 +99,57 @@ def test_prompts_and_no_result_answer(spark):
     assert ans["a"] == "doc1" and ans["b"] == rg.NO_RESULT_ANSWER
 
 
-def test_vector_topk_query_batches_split(spark, monkeypatch):
+def test_vector_topk_cells_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    vecs = rng.normal(size=(50, 4)).astype("float32")
-    cand = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
-    q = spark.createDataFrame([(j, rng.normal(size=4).tolist()) for j in range(7)], "query_id long, qvec array<double>")
-    whole = sorted(tuple(r) for r in rg.vector_topk(q, cand, top_k=3, id_col="vec_id").collect())
-    monkeypatch.setattr(rg, "MAX_QUERY_BATCH", 2)
-    split = sorted(tuple(r) for r in rg.vector_topk(q, cand, top_k=3, id_col="vec_id").collect())
-    assert split == whole and len(whole) == 21
+    vecs = rng.normal(size=(50, 4)).astype("float32").tolist()
+    vecs += vecs[:10] + [[0.0] * 4, None]  # ties, a zero and a missing vector
+    cand = spark.createDataFrame([(i, v, i % 3 if i % 5 else None) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>, label int")
+    q = spark.createDataFrame([(f"q{j}", rng.normal(size=4).tolist(), j % 3) for j in range(7)] + [("none", None, 1), ("zero", [0.0] * 4, 0)], "query_id string, qvec array<double>, label int")
+    for filters in ([], ["label"]):
+        for k in (3, 70):
+            whole = sorted(map(str, rg.vector_topk(q, cand, top_k=k, id_col="vec_id", filter_cols=filters).collect()))
+            with monkeypatch.context() as m:
+                m.setattr(rg, "QUERY_BLOCK", 2)
+                m.setattr(rg, "VECTOR_BLOCK", 9)
+                assert sorted(map(str, rg.vector_topk(q, cand, top_k=k, id_col="vec_id", filter_cols=filters).collect())) == whole
+            if not filters:
+                assert len(whole) == 8 * min(k, 62)
+            if k == 70:
+                plan = rg.vector_topk(q, cand, top_k=k, id_col="vec_id", filter_cols=filters)._jdf.queryExecution().toString()
+                assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_approximate_search_is_measured(spark):
+    from clinlytics.sources.driver import clinic_tables
+    from tests.conftest import SF_SMALL
+    emb = clinic_tables(spark, SF_SMALL).driver("embeddings")
+    centres = np.random.default_rng(3).normal(size=(40, 32))
+    near = centres[np.arange(800) % 40] + 0.1 * np.random.default_rng(4).normal(size=(800, 32))
+    clustered = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id long, embedding array<double>")
+    for vectors, most, how in ((emb, 0.85, {}), (clustered, 0.15, {"together": 10, "width": 0.5})):
+        q = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+        c = vectors.select("vec_id", "embedding")
+        exact = {(r.query_id, r.vec_id) for r in rg.vector_topk(q, c, top_k=10, id_col="vec_id").collect()}
+        rows = rg.approx_topk(q, c, top_k=10, id_col="vec_id", **how).collect()
+        recall = len(exact & {(r.query_id, r.vec_id) for r in rows}) / len(exact)
+        share = sum({r.query_id: r.candidates for r in rows}.values()) / (q.count() * c.count())
+        assert recall >= 0.9 and share <= most, (recall, share)
+
+
+NAMES = ["Ann Lee", "ann leeds", "Jo Ann Lee", "Bo", "Al_x Ray", "Al%x Roy", "X", "Back\\slash Man", "\u00c9va Kiss", "A B", ""]
+
+
+def test_names_are_found_as_ilike_finds_them(spark):
+    import duckdb
+    patterns = ["Ann Lee", "ANN LEE", "n L", "o", "Al\\_x", "Al_x", "%x R_y", "__", "_", "%", "%%", "lee%ds", "zzz", "Bo_", "\u00e9va", "A_B", "slash", "ck\\\\sl", "_______________________________________"]
+    store = spark.createDataFrame([(f"{i}_visit_{v}", i, "doc", n, f"2024-01-0{v}", "d", "dr", "", False) for i, n in enumerate(NAMES) for v in (1, 2)] + [("x", 99, "doc", None, "2024-01-01", "d", "dr", "", False)],
+                                  "chunk_id string, patient_id long, document string, patient_name string, visit_date string, department string, doctor_name string, diagnosis_codes string, has_followup boolean")
+    queries = spark.createDataFrame([(i, p) for i, p in enumerate(patterns)] + [(100, None)], "query_id long, detected_name string")
+    out = rg.retrieve_by_name(queries, store, top_k=100)
+    got = {(r.query_id, r.chunk_id) for r in out.collect()}
+    con = duckdb.connect()
+    want = {(i, f"{j}_visit_{v}") for i, p in enumerate(patterns) for j, n in enumerate(NAMES) for v in (1, 2)
+            if con.execute("SELECT ? ILIKE '%' || ? || '%' ESCAPE '\\'", [n, p]).fetchone()[0]}
+    assert got == want and len(want) > 40
+    plan = rg.retrieve_by_name(rg.detect_names(queries.selectExpr("query_id", "concat('show ', detected_name) AS query")), store)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and plan.count("array_contains") == 0
