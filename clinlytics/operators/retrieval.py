@@ -389,8 +389,8 @@ def ensure_store(spark, store_root: str, summaries: DataFrame, embedder=None) ->
     """The store at ``store_root``, ingesting all summaries first when it is
     missing or empty (auto-ingest)."""
     from clinlytics.operators import upsert as up
-    cur = up.read_current(spark, store_root)
+    cur = up.read_table(spark, store_root)
     if cur is None or cur.isEmpty():
-        up.write_version(spark, store_root, build_store(summaries, embedder=embedder))
-        cur = up.read_current(spark, store_root)
+        up.upsert_table(spark, store_root, build_store(summaries, embedder=embedder), ["chunk_id"])
+        cur = up.read_table(spark, store_root)
     return cur

@@ -1,23 +1,25 @@
-"""Keyed upsert, versioned table writes, job registry and run log.
+"""Keyed upsert, hash-partitioned tables, job registry and run log.
 
 ``upsert`` is INSERT ... ON CONFLICT (keys) DO UPDATE as a plan: new rows
 replace old rows with the same key, unmatched old rows stay (nothing is
 deleted unless asked), ``created_at`` survives an update.
 
-``write_version`` / ``read_current`` give parquet tables an atomic switch
-without a table format: each write goes to a new ``version=N`` folder and
-only a folder whose commit marker exists is ever read, so a job that dies
-mid-write leaves the previous version live.
+``upsert_table`` keeps a Parquet table partitioned by a hash of its key and
+rewrites only the partitions that the new rows fall into (Spark's dynamic
+partition overwrite). The merged partitions are written aside first, so an
+overwrite that dies half-way is completed by the next reader or writer.
 """
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clinlytics.functions.core import as_of_lit
 
@@ -60,101 +62,108 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], delete_missing: bool
     return j.select(*out)
 
 
-# ------------------------------------------------------- versioned tables ----
-def _fs(spark: SparkSession, path: str):
+# ------------------------------------------------- hash-partitioned tables ----
+#: partitions of a table; a table keeps the number it was made with
+PARTITIONS = 64
+PARTITION = "_part"
+
+
+def _path(spark: SparkSession, *parts: str):
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = jvm.org.apache.hadoop.fs.Path("/".join(x.rstrip("/") for x in parts))
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def list_versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions (folders with Spark's _SUCCESS marker), ascending."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("version="):
-            if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+def _exists(spark: SparkSession, *parts: str) -> bool:
+    fs, p = _path(spark, *parts)
+    return fs.exists(p)
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    vs = list_versions(spark, root)
-    return spark.read.parquet(f"{root.rstrip('/')}/version={vs[-1]:06d}") if vs else None
+def _names(spark: SparkSession, *parts: str) -> list[str]:
+    fs, p = _path(spark, *parts)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def _last_attempt(spark: SparkSession, root: str) -> int:
-    """Highest version number of any folder, committed or left by a crash."""
-    fs, p = _fs(spark, root)
-    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
-    return max((int(x.split("=", 1)[1]) for x in names if x.startswith("version=")), default=0)
+def _overwrite(staged: DataFrame, root: str) -> None:
+    """Replace the partitions that ``staged`` holds; all others stay as they are."""
+    staged.repartition(PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(f"{root}/rows")
 
 
-def write_version(spark: SparkSession, root: str, df: DataFrame) -> int:
-    """Write ``df`` as the next version; it becomes current once committed.
-    Every attempt has a folder of its own, so one that died blocks nothing."""
-    n = _last_attempt(spark, root) + 1
-    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/version={n:06d}")
-    return n
+def _complete(spark: SparkSession, root: str) -> None:
+    """Repeat the overwrites that were staged in full but not marked as done, oldest first."""
+    for name in _names(spark, root, "stage"):
+        if _exists(spark, root, "stage", name, "_SUCCESS") and not _exists(spark, root, "done", name):
+            _overwrite(spark.read.parquet(f"{root}/stage/{name}"), root)
+            _mark(spark, root, name)
 
 
-def upsert_table(spark: SparkSession, root: str, new: DataFrame, keys: list[str], **kw) -> int:
-    """Upsert into the versioned table at ``root`` (reads current, writes next)."""
-    cur = read_current(spark, root)
-    out = new if cur is None else upsert(cur, new, keys, **kw)
-    return write_version(spark, root, out)
+def _mark(spark: SparkSession, root: str, name: str) -> None:
+    fs, p = _path(spark, root, "done", name)
+    fs.create(p, True).close()
+    fs, p = _path(spark, root, "stage", name)
+    fs.delete(p, True)
 
 
-# ------------------------------------------------------------ keyed log ----
-def writer_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id of the stream that owns ``checkpoint``, kept beside it; a lost
-    checkpoint gives a new id, so its epochs never meet the old ones."""
-    path = f"{checkpoint.rstrip('/')}-writer"
-    fs, p = _fs(spark, path)
-    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) or not _fs(spark, checkpoint)[0].exists(_fs(spark, checkpoint)[1]):
-        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).first()["id"]
+def create_table(spark: SparkSession, root: str, schema: T.StructType) -> bool:
+    """Make an empty table; False if there is one."""
+    if _exists(spark, root, "schema", "_SUCCESS"):
+        return False
+    fields = [f for f in schema.fields if f.name != PARTITION]
+    spark.createDataFrame([(T.StructType(fields).json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/schema")
+    return True
 
 
-def write_epoch(spark: SparkSession, root: str, df: DataFrame, epoch: int, writer: str = "0") -> None:
-    """Write one micro-batch of upserts as its own ``writer=W/epoch=N`` folder.
+def _rows(spark: SparkSession, root: str) -> DataFrame | None:
+    if not _exists(spark, root, "schema", "_SUCCESS"):
+        return None
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{root}/schema").first()[0])).add(PARTITION, T.IntegerType())
+    return spark.read.schema(schema).parquet(f"{root}/rows") if _exists(spark, root, "rows") else spark.createDataFrame([], schema)
 
-    Overwriting that folder makes a retried batch idempotent, and the cost
-    is the batch size, not the table size. ``_at`` orders the batches of
-    several writers by the time they were written.
-    """
-    at = F.lit(time.time_ns() // 1000)
-    df.withColumn("_at", at).write.mode("overwrite").parquet(f"{root.rstrip('/')}/writer=w{writer}/epoch={epoch:09d}")
 
+def read_table(spark: SparkSession, root: str) -> DataFrame | None:
+    """The rows of the table at ``root``; None before it is made."""
+    root = root.rstrip("/")
+    _complete(spark, root)
+    rows = _rows(spark, root)
+    return None if rows is None else rows.drop(PARTITION)
 
-def read_log(spark: SparkSession, root: str) -> DataFrame:
-    """All committed epochs of a keyed log (folders with Spark's marker), with ``_at`` and ``epoch``."""
-    return spark.read.option("basePath", root).parquet(*epochs(spark, root)).drop("writer")
 
+def clear_table(spark: SparkSession, root: str) -> int:
+    """Remove all rows of a table; returns how many there were."""
+    rows = read_table(spark, root)
+    n = 0 if rows is None else rows.count()
+    fs, p = _path(spark, root, "rows")
+    fs.delete(p, True)
+    return n
 
-def epochs(spark: SparkSession, root: str) -> list[str]:
-    fs, p = _fs(spark, root)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    found = fs.globStatus(path(p, "writer=*/epoch=*")) if fs.exists(p) else []
-    return sorted(st.getPath().toString() for st in found if fs.exists(path(st.getPath(), "_SUCCESS")))
 
+def upsert_table(spark: SparkSession, root: str, new: DataFrame, keys: list[str], partitions: int = PARTITIONS,
+                 check: bool = True, created_col: str | None = None) -> int:
+    """Upsert ``new`` into the table at ``root``; returns the number of rows that came in.
 
-def read_latest(spark: SparkSession, root: str, keys: list[str], created_col: str | None = None) -> DataFrame:
-    """Merge-on-read view of a keyed log: per key the row of the newest
-    epoch (a partial max_by aggregate); ``created_col`` keeps its earliest value."""
-    log = read_log(spark, root)
-    cols = [c for c in log.columns if c not in ("epoch", "_at") and c not in keys]
-    aggs = [F.max_by(F.struct(*cols), F.struct("_at", "epoch")).alias("_r")]
-    if created_col:
-        aggs.append(F.min(created_col).alias("_created"))
-    out = log.groupBy(*keys).agg(*aggs)
-    if created_col:
-        return out.select(*keys, "_r.*", "_created").drop(created_col) \
-            .withColumnRenamed("_created", created_col).select(*keys, *cols)
-    return out.select(*keys, "_r.*")
+    Reads and writes only the partitions that hold a key of ``new``. The new
+    rows are computed once, and counted and checked where they are written.
+    """
+    root = root.rstrip("/")
+    _complete(spark, root)
+    incoming, rows = Observation(), f"{root}/incoming/{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int")
+    new.withColumn(PARTITION, part).observe(incoming, F.count(F.lit(1)).alias("rows")).write.parquet(rows)
+    new = spark.read.parquet(rows)
+    if check:
+        check_unique(new, keys)
+    merged = new
+    if not create_table(spark, root, new.schema):
+        touched = [r[0] for r in new.select(PARTITION).distinct().collect()]  # PARTITIONS rows at most
+        old = _rows(spark, root).where(F.col(PARTITION).isin(touched) if touched else F.lit(False))
+        merged = upsert(old, new, keys, check=False, created_col=created_col)
+    name = f"{time.time_ns():020d}"
+    merged.write.parquet(f"{root}/stage/{name}")
+    _overwrite(spark.read.parquet(f"{root}/stage/{name}"), root)
+    _mark(spark, root, name)
+    fs, p = _path(spark, rows)
+    fs.delete(p, True)
+    return incoming.get["rows"]
 
 
 # ------------------------------------------------------- jobs and runs ----
@@ -176,55 +185,47 @@ def job_registry() -> dict[str, tuple[Callable, list[str]]]:
     }
 
 
-def run_job(spark: SparkSession, t, name: str, out_root: str, as_of=None) -> dict:
-    """Run one job, upsert its output and return its run-log rows.
+def _log(spark: SparkSession, out_root: str, **row) -> None:
+    """Append one row to the run log."""
+    cols = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+    error = F.substring(F.col("error_message"), 1, ERROR_LIMIT)  # cut where it is written
+    spark.createDataFrame([tuple(row.get(c) for c in cols)], RUN_SCHEMA).withColumn("error_message", error).coalesce(1) \
+        .write.mode("append").parquet(f"{out_root.rstrip('/')}/_runs")
 
-    The job's rows are written once to a stage folder; the key check, the
-    upsert and the row count read that.
-    """
-    fn, keys = job_registry()[name]
-    run_id = uuid.uuid4().hex
-    started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+def run_job(spark: SparkSession, t, name: str, out_root: str, as_of=None, registry=None) -> str:
+    """Run one job and upsert its output; logs that it runs, then how it ended. Returns the last status."""
+    from decimal import Decimal
+    fn, keys = (registry or job_registry())[name]
+    now = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    run = {"run_id": uuid.uuid4().hex, "job_name": name, "started_at": now()}
+    _log(spark, out_root, **run, status="running", rows_processed=0)
     t0 = time.perf_counter()
     try:
-        stage = f"{out_root.rstrip('/')}/_stage/{name}-{run_id}"
-        fn(t, as_of=as_of).write.parquet(stage)
-        new = spark.read.parquet(stage)
-        upsert_table(spark, f"{out_root.rstrip('/')}/{name}", new, keys, check=True)
-        rows = new.count()
+        rows = upsert_table(spark, f"{out_root.rstrip('/')}/{name}", fn(t, as_of=as_of), keys)
         status, err = "success", None
     except Exception as e:  # noqa: BLE001 - the run log records any failure
-        rows, status, err = 0, "failed", str(e)[:ERROR_LIMIT]
-    secs = round(time.perf_counter() - t0, 2)
-    done = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    return {"run_id": run_id, "job_name": name, "status": status, "started_at": started, "completed_at": done,
-            "duration_seconds": secs, "rows_processed": rows, "error_message": err}
+        rows, status, err = 0, "failed", str(e)
+    secs = Decimal(str(round(time.perf_counter() - t0, 2)))
+    _log(spark, out_root, **run, status=status, completed_at=now(), duration_seconds=secs, rows_processed=rows, error_message=err)
+    return status
 
 
-def run_all(spark: SparkSession, t, out_root: str, as_of=None, names=None) -> tuple[DataFrame, list[str]]:
-    """Run jobs in registry order, continue after a failure; returns the
-    run-log frame (start and end event per job) and the failed job names.
-    The log is appended to ``<out_root>/_runs`` after each job."""
-    from decimal import Decimal
-    rows, failed = [], []
-    cols = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
-    for name in names or JOB_ORDER:
-        r = run_job(spark, t, name, out_root, as_of)
-        start = dict(r, status="running", completed_at=None, duration_seconds=None, rows_processed=0,
-                     error_message=None)
-        r["duration_seconds"] = Decimal(str(r["duration_seconds"]))
-        rows += [start, r]
-        if r["status"] == "failed":
-            failed.append(name)
-        spark.createDataFrame([tuple(x[c] for c in cols) for x in (start, r)], RUN_SCHEMA) \
-            .write.mode("append").parquet(f"{out_root.rstrip('/')}/_runs")
-    return spark.createDataFrame([tuple(x[c] for c in cols) for x in rows], RUN_SCHEMA), failed
+def run_all(spark: SparkSession, t, out_root: str, as_of=None, names=None, registry=None) -> tuple[DataFrame, list[str]]:
+    """Run jobs in registry order, continue after a failure; returns the run log and the failed job names."""
+    failed = [name for name in names or JOB_ORDER if run_job(spark, t, name, out_root, as_of, registry) == "failed"]
+    return run_log(spark, out_root), failed
+
+
+def run_log(spark: SparkSession, out_root: str) -> DataFrame:
+    """Every row that the runs below ``out_root`` logged: one when a run starts, one when it ends."""
+    return spark.read.schema(RUN_SCHEMA).parquet(f"{out_root.rstrip('/')}/_runs")
 
 
 def pipeline_status(runs: DataFrame) -> DataFrame:
-    """Latest run per job (DISTINCT ON job ORDER BY started_at DESC)."""
-    latest = runs.groupBy("job_name").agg(F.max_by(F.struct(*runs.columns), F.struct("started_at", "run_id"))
-                                          .alias("_r"))
+    """Latest run per job (DISTINCT ON job ORDER BY started_at DESC), by how it ended or that it still runs."""
+    order = F.struct("started_at", "run_id", F.col("completed_at").isNotNull())
+    latest = runs.groupBy("job_name").agg(F.max_by(F.struct(*runs.columns), order).alias("_r"))
     return latest.select("_r.*")
 
 

@@ -3,14 +3,17 @@ pipeline run status and totals."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from clinlytics.operators import jobs
 from clinlytics.operators import upsert as up
 from clinlytics.plans.catalog_jobs import _DAILY_REVENUE, _DAY_COUNTS, _INVOICE_PARTS, _OPERATIONAL
+from clinlytics.plans.catalog_jobs import ORACLES as JOB_ORACLES
 from clinlytics.plans.catalog_rag import _RAG_CTES, _store
 from clinlytics.plans.oracle_base import with_clinic
+from clinlytics.session import ensure_checkpoint_dir
 from clinlytics.sources.driver import clinic_tables
 
 # Generation boundaries of the two-run scenarios.
@@ -35,6 +38,28 @@ def _upsert_embeddings(t):
     return up.upsert(old, new, ["chunk_id"], created_col="created_at").drop("embedding")
 
 
+def _withdrawn(t, as_of=None):
+    raise RuntimeError("no rows today")
+
+
+def _measured_runs(t):
+    """All jobs run for real, twice the first one, and one that fails; the log they leave, read back."""
+    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    registry = dict(up.job_registry(), daily_report=(_withdrawn, ["date"]))
+    names = [up.JOB_ORDER[0], *up.JOB_ORDER, "daily_report"]
+    log, _ = up.run_all(t.spark, t, root, names=names, registry=registry)
+    return log
+
+
+def _run_status(t):
+    return up.pipeline_status(_measured_runs(t)).select("job_name", "status", "rows_processed", "error_message",
+                                                        (F.col("completed_at") >= F.col("started_at")).alias("ended"))
+
+
+def _run_events(t):
+    return _measured_runs(t).groupBy("job_name", "status").agg(F.count(F.lit(1)).alias("runs"), F.sum("rows_processed").alias("rows_processed"))
+
+
 def _q(fn):
     def run(spark, sf_dir):
         return fn(clinic_tables(spark, sf_dir))
@@ -46,6 +71,8 @@ QUERIES = {
     "upsert_embeddings": _q(_upsert_embeddings),
     "pipeline_status": _q(lambda t: up.pipeline_status(up.nightly_run_log(t))),
     "pipeline_totals": _q(lambda t: up.pipeline_totals(up.pipeline_status(up.nightly_run_log(t)))),
+    "run_status": _q(_run_status),
+    "run_events": _q(_run_events),
 }
 
 _RUN_CTES = _INVOICE_PARTS.strip() + ",\n" + _DAY_COUNTS.strip() + f""",
@@ -64,7 +91,16 @@ runs AS (
 latest AS (SELECT * FROM runs QUALIFY ROW_NUMBER() OVER (PARTITION BY job_name ORDER BY started_at DESC, run_id DESC) = 1)
 """
 
+_JOB_ROWS = " UNION ALL ".join(f"SELECT '{job}' AS job_name, (SELECT COUNT(*) FROM ({JOB_ORACLES[name]})) AS n" for job, name in (
+    ("revenue_analytics", "daily_revenue"), ("clinical_summaries", "clinical_summaries"),
+    ("patient_analytics", "patient_profiles"), ("operational_metrics", "operational_metrics")))
+
 ORACLES = {
+    "run_status": f"""SELECT job_name, 'success' AS status, n AS rows_processed, CAST(NULL AS VARCHAR) AS error_message, true AS ended FROM ({_JOB_ROWS})
+        UNION ALL SELECT 'daily_report', 'failed', 0, 'no rows today', true""",
+    "run_events": f"""WITH done AS ({_JOB_ROWS}), times AS (SELECT job_name, n, CASE job_name WHEN 'revenue_analytics' THEN 2 ELSE 1 END AS k FROM done)
+        SELECT job_name, 'running' AS status, k AS runs, 0 AS rows_processed FROM times UNION ALL SELECT job_name, 'success', k, k * n FROM times
+        UNION ALL SELECT 'daily_report', 'running', 1, 0 UNION ALL SELECT 'daily_report', 'failed', 1, 0""",
     "upsert_daily_revenue": with_clinic(
         f"SELECT *, CASE WHEN date >= DATE '{REVENUE_NEW_FROM}' THEN 2 ELSE 1 END AS generation FROM ({_DAILY_REVENUE})", _INVOICE_PARTS),
     "upsert_embeddings": with_clinic(f"""

@@ -119,16 +119,37 @@ def test_upsert_semantics(spark):
         up.upsert(old, new.unionByName(new), ["id"])
 
 
-def test_versioned_table_keeps_last_commit(spark):
-    root = tempfile.mkdtemp(prefix="vt-", dir="/tmp")
-    df = spark.createDataFrame([(1, "a")], "id long, v string")
-    assert up.write_version(spark, root, df) == 1
-    up.upsert_table(spark, root, spark.createDataFrame([(2, "b")], "id long, v string"), ["id"])
-    # a crashed writer leaves an uncommitted folder: it is never read
-    spark.createDataFrame([(9, "x")], "id long, v string").write.parquet(f"{root}/version=000003")
+def test_upsert_rewrites_only_touched_partitions(spark):
     import os
-    os.remove(f"{root}/version=000003/_SUCCESS")
-    assert sorted(r.id for r in up.read_current(spark, root).collect()) == [1, 2]
+    root = tempfile.mkdtemp(prefix="vt-", dir="/tmp")
+    rows = spark.range(400).select(F.col("id"), F.col("id").cast("string").alias("v"))
+    assert up.upsert_table(spark, root, rows, ["id"], partitions=16) == 400
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(f"{root}/rows") for f in fs if f.endswith(".parquet")}
+    before = files()
+    assert up.upsert_table(spark, root, spark.createDataFrame([(7, "new"), (1_000, "more")], "id long, v string"), ["id"], partitions=16) == 2
+    after = files()
+    assert 14 <= sum(before.get(f) == t for f, t in after.items()) < 16
+    got = {r.id: r.v for r in up.read_table(spark, root).collect()}
+    assert len(got) == 401 and got[7] == "new" and got[8] == "8" and got[1_000] == "more"
+    assert up.upsert_table(spark, root, rows.limit(0), ["id"], partitions=16) == 0 and up.read_table(spark, root).count() == 401
+
+
+def test_a_torn_overwrite_is_completed(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="torn-", dir="/tmp")
+    rows = spark.range(50).select(F.col("id"), F.lit("a").alias("v"))
+    up.upsert_table(spark, root, rows, ["id"], partitions=4)
+    with monkeypatch.context() as m:
+        def dies(staged, root):
+            import shutil
+            shutil.rmtree(f"{root}/rows/_part=1")  # half of the overwrite: a partition is gone, its rows are staged
+            raise RuntimeError("lost")
+        m.setattr(up, "_overwrite", dies)
+        with pytest.raises(RuntimeError):
+            up.upsert_table(spark, root, rows.withColumn("v", F.lit("b")), ["id"], partitions=4)
+    assert {tuple(r) for r in up.read_table(spark, root).collect()} == {(i, "b") for i in range(50)}
+    # a crash before the stage was complete leaves the table as it was
+    spark.createDataFrame([(1, "x", 0)], "id long, v string, _part int").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/stage/0")
+    assert {tuple(r) for r in up.read_table(spark, root).collect()} == {(i, "b") for i in range(50)}
 
 
 def test_pipeline_status_and_totals(spark):
@@ -151,6 +172,23 @@ def test_run_all_logs_and_continues(spark):
     assert st["revenue_analytics"].rows_processed == 1 and st["patient_analytics"].rows_processed == 3
 
 
+def test_a_failed_job_is_logged_and_the_rest_goes_on(spark):
+    t = seed.tables(spark)
+    out = tempfile.mkdtemp(prefix="runs-", dir="/tmp")
+
+    def fails(t, as_of=None):
+        raise ValueError("x" * 5_000)
+
+    registry = dict(up.job_registry(), clinical_summaries=(fails, ["patient_id"]))
+    log, failed = up.run_all(spark, t, out, as_of=seed.AS_OF, names=["clinical_summaries", "revenue_analytics"], registry=registry)
+    assert failed == ["clinical_summaries"]
+    assert sorted((r.job_name, r.status) for r in log.collect()) == [("clinical_summaries", "failed"), ("clinical_summaries", "running"), ("revenue_analytics", "running"), ("revenue_analytics", "success")]
+    st = {r.job_name: r for r in up.pipeline_status(log).collect()}
+    assert st["clinical_summaries"].status == "failed" and len(st["clinical_summaries"].error_message) == up.ERROR_LIMIT
+    assert st["revenue_analytics"].rows_processed == up.read_table(spark, f"{out}/revenue_analytics").count()
+    assert up.pipeline_totals(up.pipeline_status(log)).first().all_success is False
+
+
 def test_half_even_rounding_and_pagination(spark):
     # T3: 1/16 = 6.25 % rounds to 6.2 as Python's round does
     df = spark.createDataFrame([(1, 16), (1, 3)], "n long, d long")
