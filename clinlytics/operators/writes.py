@@ -260,8 +260,9 @@ def apply_transitions(appointments: DataFrame, outcomes: DataFrame) -> DataFrame
 def create_visits(t, appointments: DataFrame, requests: DataFrame) -> DataFrame:
     """requests: request_id, appointment_id (+ visit fields). Accepted when
     the appointment exists, is in_progress and has no visit yet (first
-    request per appointment wins). Each accepted request yields a visit, a
-    pending invoice with the department's fee and its consultation item."""
+    request per appointment wins); a request with a diagnosis column must
+    fill it. Each accepted request yields a visit, a pending invoice with the
+    department's fee and its consultation item (``visit_tables``)."""
     c = F.col
     a = appointments.select(c("id").alias("appointment_id"), "patient_id", "doctor_id", "department_id",
                             c("status").alias("_status"))
@@ -270,7 +271,9 @@ def create_visits(t, appointments: DataFrame, requests: DataFrame) -> DataFrame:
                                               "consultation_fee"))  # departments: a handful of rows
     r = requests.join(a, "appointment_id", "left").join(has_visit, "appointment_id", "left") \
         .join(dep, "department_id", "left")
+    filled = [(F.coalesce(F.length("diagnosis") > 0, F.lit(False)), "diagnosis is required")] if "diagnosis" in requests.columns else []
     reason = first_failure(
+        *filled,
         (c("_status").isNotNull(), "appointment not found"),
         (c("_status") == "in_progress", "appointment must be in_progress"),
         (c("_has").isNull(), "visit already exists"),
@@ -290,44 +293,100 @@ def create_visits(t, appointments: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(ok, F.concat(c("_dep_name"), F.lit(" Consultation"))).alias("item_description"))
 
 
+VISIT_FIELDS = ("symptoms", "diagnosis", "diagnosis_code", "prescription", "follow_up_date", "follow_up_notes")
+
+
+def visit_tables(outcomes: DataFrame, requests: DataFrame, as_of=None) -> dict[str, DataFrame]:
+    """The rows that the accepted requests of ``create_visits`` add: visits with all their fields, invoices and
+    consultation items, and the appointments that are completed with them."""
+    c, day = F.col, as_of_lit(as_of)
+    ok = outcomes.where("accepted")
+    fields = requests.select("request_id", *[f for f in VISIT_FIELDS if f in requests.columns])
+    for f in VISIT_FIELDS:
+        if f not in fields.columns:
+            fields = fields.withColumn(f, F.lit(None).cast("date" if f.endswith("date") else "string"))
+    return {
+        "visits": ok.join(fields, "request_id").select(c("visit_id").alias("id"), "appointment_id", "patient_id", "doctor_id", *VISIT_FIELDS, day.alias("created_date")),
+        "billing_records": ok.select(c("visit_id").alias("id"), "visit_id", "patient_id", c("invoice_total").alias("total_amount"), c("invoice_status").alias("status"),
+                                     F.lit(None).cast("string").alias("payment_method"), F.lit(None).cast("date").alias("payment_date"), day.alias("created_date")),
+        "billing_items": ok.select(c("visit_id").alias("billing_record_id"), F.lit(0).alias("item_no"), c("item_description").alias("description"),
+                                   F.lit("consultation").alias("category"), c("invoice_total").alias("amount")),
+        "appointments": ok.select(c("appointment_id").alias("id"), c("appointment_status").alias("status")),
+    }
+
+
 # ------------------------------------------------------------- billing ----
+# Fixed value: longest item description.
+DESCRIPTION_MAX = 255
+
+
+def _item_field_reason(kind: Column) -> Column:
+    """The first field of an item request that breaks its rule; an update checks the fields it sets."""
+    c = F.col
+    given = lambda f: (kind == "add") | c(f).isNotNull()
+    long = F.length("description").between(1, DESCRIPTION_MAX)
+    return (F.when(kind == "remove", F.lit(None).cast("string"))
+            .when(given("description") & ~F.coalesce(long, F.lit(False)), F.lit("description must have 1 to 255 characters"))
+            .when(given("category") & ~F.coalesce(c("category").isin(*ITEM_CATEGORIES), F.lit(False)), F.lit("invalid category"))
+            .when(given("amount") & c("amount").isNull(), F.lit("amount is required")))
+
+
 def apply_item_changes(records: DataFrame, items: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """changes: request_id, kind (add/update/remove), billing_record_id,
-    item_no, description, category, amount. Adds need a pending or
-    partially paid invoice; removals may not touch the consultation item;
-    updates check neither. Returns (outcomes, items after the changes)."""
-    c = F.col
+    item_no, description, category, amount, applied in the order of request_id.
+
+    Adds need a pending or partially paid invoice; removals may not touch an
+    item that is the consultation by then; what comes after a removal finds no
+    item; an update sets the fields that are not null. Every request has the
+    outcome a sequential run would give it: the category a removal meets is
+    the last one set before it, the first removal that passes ends the item,
+    and each field's last accepted value stays (partial aggregates per item).
+    Only items that are removed while an update may change their category need
+    an order within the item. Returns (outcomes, items after the changes)."""
+    c, item = F.col, ["billing_record_id", "item_no"]
+    from pyspark.sql import Window
     st = records.select(c("id").alias("billing_record_id"), c("status").alias("_inv_status"))
     cur = items.select("billing_record_id", "item_no", c("category").alias("_cur_cat"))
-    r = changes.join(st, "billing_record_id", "left").join(cur, ["billing_record_id", "item_no"], "left")
-    reason = (F.when(c("_inv_status").isNull(), F.lit("billing record not found"))
+    r = changes.join(st, "billing_record_id", "left").join(cur, item, "left")
+    bad = _item_field_reason(c("kind"))
+    reason = (F.when(bad.isNotNull(), bad)
+              .when(c("_inv_status").isNull(), F.lit("billing record not found"))
               .when((c("kind") == "add") & ~c("_inv_status").isin("pending", "partially_paid"),
                     F.concat(F.lit("cannot add items to a billing record with status '"), c("_inv_status"),
                              F.lit("'")))
-              .when((c("kind") != "add") & c("_cur_cat").isNull(), F.lit("line item not found"))
-              .when((c("kind") == "remove") & (c("_cur_cat") == "consultation"),
-                    F.lit("cannot remove consultation fee")))
+              .when((c("kind") != "add") & c("_cur_cat").isNull(), F.lit("line item not found")))
+    r = r.withColumn("_bad", reason)
+    removal, recategorised = c("_bad").isNull() & (c("kind") == "remove"), c("_bad").isNull() & (c("kind") == "update") & c("category").isNotNull()
+    facts = r.where(c("kind") != "add").groupBy(*item).agg(F.min(F.when(removal, c("request_id"))).alias("_remove"), F.min(F.when(recategorised, c("request_id"))).alias("_recat"))
+    r = r.join(facts, item, "left")
+    # items with both: the category that each removal meets
+    tangled = c("_remove").isNotNull() & c("_recat").isNotNull()
+    before = Window.partitionBy(*item).orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = r.where(tangled & (removal | recategorised)).withColumn("_met", F.coalesce(F.last(F.when(recategorised, c("category")), ignorenulls=True).over(before), c("_cur_cat")))
+    met = met.where(c("kind") == "remove").select("request_id", "billing_record_id", "item_no", "_met")
+    r = r.join(met, ["request_id", *item], "left").withColumn("_met", F.coalesce("_met", "_cur_cat"))
+    gone = r.where(removal & (c("_met") != "consultation")).groupBy(*item).agg(F.min("request_id").alias("_gone"))
+    r = r.join(gone, item, "left")
+    reason = (F.when(c("_bad").isNotNull(), c("_bad"))
+              .when((c("kind") != "add") & (c("request_id") > c("_gone")), F.lit("line item not found"))
+              .when((c("kind") == "remove") & (c("_met") == "consultation"), F.lit("cannot remove consultation fee")))
     out = r.select("request_id", "kind", "billing_record_id", "item_no",
                    reason.isNull().alias("accepted"), reason.alias("reason"),
                    "description", "category", "amount")
     ok = out.where("accepted")
-    removed = ok.where(c("kind") == "remove").select("billing_record_id", "item_no")
-    upd = ok.where(c("kind") == "update").select(
-        "billing_record_id", "item_no", c("description").alias("_d"), c("category").alias("_c"),
-        c("amount").alias("_a"), c("request_id").alias("_r"))
-    # last accepted update per item wins
-    upd = upd.groupBy("billing_record_id", "item_no").agg(F.max(F.struct("_r", "_d", "_c", "_a")).alias("_u"))
-    kept = items.join(removed, ["billing_record_id", "item_no"], "left_anti").join(
-        upd, ["billing_record_id", "item_no"], "left")
+    removed = gone.select(*item)
+    # per field the last accepted value
+    upd = ok.where(c("kind") == "update").groupBy(*item).agg(
+        *[F.max_by(f, F.when(c(f).isNotNull(), c("request_id"))).alias(n) for f, n in (("description", "_d"), ("category", "_c"), ("amount", "_a"))])
+    kept = items.join(removed, item, "left_anti").join(upd, item, "left")
     kept = kept.select(
         "billing_record_id", "item_no",
-        F.coalesce(c("_u._d"), c("description")).alias("description"),
-        F.coalesce(c("_u._c"), c("category")).alias("category"),
-        F.coalesce(c("_u._a"), c("amount")).cast("decimal(10,2)").alias("amount"))
+        F.coalesce(c("_d"), c("description")).alias("description"),
+        F.coalesce(c("_c"), c("category")).alias("category"),
+        F.coalesce(c("_a"), c("amount")).cast("decimal(10,2)").alias("amount"))
     # new items numbered after the invoice's current maximum
     base = items.groupBy("billing_record_id").agg(F.max("item_no").alias("_max"))
     adds = ok.where(c("kind") == "add").join(base, "billing_record_id", "left")
-    from pyspark.sql import Window
     # adds per invoice are few (one request row each); the window is per invoice
     w = Window.partitionBy("billing_record_id").orderBy("request_id")
     adds = adds.select(
@@ -347,21 +406,27 @@ def recalculate_totals(records: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def apply_payments(records: DataFrame, requests: DataFrame, as_of=None) -> DataFrame:
-    """requests: request_id, billing_record_id, payment_method, notes.
-    Paid or waived invoices are rejected; others become paid on ``as_of``."""
+    """requests: request_id, billing_record_id, payment_method and, if there are any, notes.
+    Paid or waived invoices are rejected; others become paid on ``as_of``. Of
+    several payments of an invoice the first valid one counts."""
     c = F.col
     st = records.select(c("id").alias("billing_record_id"), c("status").alias("_status"),
                         c("payment_method").alias("_method"), c("payment_date").alias("_date"))
     r = requests.join(st, "billing_record_id", "left")
-    reason = (F.when(c("_status").isNull(), F.lit("billing record not found"))
+    reason = (F.when(~F.coalesce(c("payment_method").isin(*PAYMENT_METHODS), F.lit(False)), F.lit("invalid payment method"))
+              .when(c("_status").isNull(), F.lit("billing record not found"))
               .when(c("_status").isin("paid", "waived"),
                     F.concat(F.lit("billing record is already '"), c("_status"), F.lit("'"))))
+    r = r.withColumn("_reason", reason).withColumn("_ok", c("_reason").isNull())
+    r = _first_wins(r, ["billing_record_id"], ["request_id"])
+    reason = F.coalesce(c("_reason"), F.when(~c("_winner"), F.lit("billing record is already 'paid'")))
     ok = reason.isNull()
+    notes = [F.when(ok, c("notes")).alias("notes")] if "notes" in requests.columns else []
     return r.select(
         "request_id", "billing_record_id", ok.alias("accepted"), reason.alias("reason"),
         F.when(ok, F.lit("paid")).otherwise(c("_status")).alias("status"),
         F.when(ok, c("payment_method")).otherwise(c("_method")).alias("payment_method"),
-        F.when(ok, as_of_lit(as_of)).otherwise(c("_date")).alias("payment_date"))
+        F.when(ok, as_of_lit(as_of)).otherwise(c("_date")).alias("payment_date"), *notes)
 
 
 # ------------------------------------------------------ generic updates ----
