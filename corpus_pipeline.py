@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinlytics.llm import decontaminate, lang_id, mixing, near_dedup, pii
-from clinlytics.llm.common import DOC_COLUMNS, prepare, table, written
+from clinlytics.llm.common import DOC_COLUMNS, prepare, release, table, written
 
 
 def _documents(docs: DataFrame) -> DataFrame:
+    """The stage's input; what the stage before it, written by now, had sent to the executors is freed."""
+    release()
     return docs.select(*DOC_COLUMNS)
 
 
