@@ -8,11 +8,24 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 
-def batch_embedder(embed_fn: Callable, dim: int, batch: int):
-    """Iterator UDF: the model is built once per worker process and is fed
-    at most ``batch`` texts per call."""
+_LOADED: dict = {}
+
+
+def once_per_worker(factory: Callable, kind: str, mode: str) -> Callable:
+    """A function that returns ``factory(mode)``, made at its first use in a worker process and kept there."""
+    def load():
+        import clinlytics.functions.pyudfs as here  # the worker's own module, whatever way this function came
+        if (kind, mode) not in here._LOADED:
+            here._LOADED[kind, mode] = factory(mode)
+        return here._LOADED[kind, mode]
+    return load
+
+
+def batch_embedder(load: Callable, dim: int, batch: int):
+    """Iterator UDF: ``load()`` gives the worker's model, which is fed at most ``batch`` texts per call."""
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed_fn = load()
         for texts in batches:
             out = []
             vals = texts.tolist()

@@ -7,6 +7,7 @@ fed Arrow batches.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -73,12 +74,19 @@ def hash_embed_table(df: DataFrame, key: str, text: str, dim: int = DEFAULT_DIM,
     return df.withColumn(out, hash_embedder(dim)(tokens(F.col(text))))
 
 
-def model_embedder(embed_fn: Callable[[list[str]], list[list[float]]], dim: int):
+def model_embedder(embed_fn: Callable[[list[str]], list[list[float]]] | None, dim: int, factory: Callable | None = None):
     """Wrap a batch embedding function as an iterator Pandas UDF.
 
-    ``embed_fn`` receives up to EMBED_BATCH texts per call (set
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` to match) and returns
-    one vector of length ``dim`` per text.
+    ``embed_fn`` receives up to EMBED_BATCH texts per call and returns one
+    vector of length ``dim`` per text. A model that is dear to load is given as
+    ``factory(mode)`` instead: it runs once per worker process and mode
+    ("document" for the store, "query" for questions) and returns such a
+    function. The result's ``for_queries`` embeds in query mode.
     """
-    from clinlytics.functions.pyudfs import batch_embedder
-    return batch_embedder(embed_fn, dim, EMBED_BATCH)
+    from clinlytics.functions.pyudfs import batch_embedder, once_per_worker
+    make = factory if factory is not None else (lambda mode: embed_fn)
+    kind = uuid.uuid4().hex
+    document, query = (batch_embedder(once_per_worker(make, kind, mode), dim, EMBED_BATCH) for mode in ("document", "query"))
+    embed = lambda text: document(text)  # noqa: E731 - carries the query form
+    embed.for_queries = query
+    return embed

@@ -312,7 +312,9 @@ def retrieve_batch(queries: DataFrame, store: DataFrame, top_k: int = TOP_K, emb
                    dim: int = DEFAULT_DIM) -> DataFrame:
     """Full retrieval for a table of (query_id, query): the name path when a
     name is detected and has hits (results not de-duplicated), else the
-    vector path with per-patient de-duplication."""
+    vector path with per-patient de-duplication. Questions that fail the input
+    check (empty or too long) are not searched; the others are trimmed."""
+    queries = written(validate_queries(queries).where(F.col("reason").isNull()).drop("reason"))
     named = detect_names(queries)
     by_name = retrieve_by_name(named, store, top_k).withColumn("path", F.lit("name"))
     answered = by_name.select("query_id").distinct()
@@ -345,23 +347,31 @@ def sources(results: DataFrame) -> DataFrame:
     return results.select("query_id", "rank", "patient_id", "patient_name", "visit_date", "department")
 
 
-def generate_answers(prompts: DataFrame, generate_fn=None) -> DataFrame:
+def generate_answers(prompts: DataFrame, generate_fn=None, factory=None) -> DataFrame:
     """Run a text generator over the prompts table with mapInPandas.
 
     ``generate_fn(system_prompt, query) -> str`` is called once per row on
-    the workers; the default is extractive (first chunk of the context).
+    the workers; a model that is dear to load is given as ``factory(mode)``,
+    which runs once per worker process (mode "answer") and returns such a
+    function. The default is extractive (first chunk of the context).
     """
+    import uuid
+
     import pandas as pd
 
+    from clinlytics.functions.pyudfs import once_per_worker
+    ship_package(prompts.sparkSession)
+
     def _default(system_prompt, query):
         if system_prompt is None:
             return None
         body = system_prompt.split("PATIENT RECORDS:\n", 1)[-1]
         return body.split(CONTEXT_SEPARATOR, 1)[0]
 
-    fn = generate_fn or _default
+    load = once_per_worker(factory or (lambda mode: generate_fn or _default), uuid.uuid4().hex, "answer")
 
     def _run(batches):
+        fn = load()
         for pdf in batches:
             ans = [a if isinstance(a, str) else fn(sp, q)
                    for sp, q, a in zip(pdf["system_prompt"], pdf["query"], pdf["answer"])]
@@ -372,6 +382,13 @@ def generate_answers(prompts: DataFrame, generate_fn=None) -> DataFrame:
     return prompts.mapInPandas(_run, schema)
 
 
+def answers_with_sources(answers: DataFrame, results: DataFrame) -> DataFrame:
+    """Each answer with its sources nested in rank order: query_id, answer, chunks_retrieved, sources."""
+    one = F.struct("rank", "patient_id", "patient_name", "visit_date", "department")
+    cited = results.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("sources"))  # at most top_k a query
+    return answers.join(cited, "query_id", "left").withColumn("sources", F.coalesce("sources", F.array()))
+
+
 # Accepted question length.
 QUERY_MAX_CHARS = 500
 

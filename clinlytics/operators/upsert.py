@@ -193,6 +193,10 @@ def _log(spark: SparkSession, out_root: str, **row) -> None:
         .write.mode("append").parquet(f"{out_root.rstrip('/')}/_runs")
 
 
+#: partitions of the tables that the jobs write
+JOB_PARTITIONS = 8
+
+
 def run_job(spark: SparkSession, t, name: str, out_root: str, as_of=None, registry=None) -> str:
     """Run one job and upsert its output; logs that it runs, then how it ended. Returns the last status."""
     from decimal import Decimal
@@ -202,7 +206,7 @@ def run_job(spark: SparkSession, t, name: str, out_root: str, as_of=None, regist
     _log(spark, out_root, **run, status="running", rows_processed=0)
     t0 = time.perf_counter()
     try:
-        rows = upsert_table(spark, f"{out_root.rstrip('/')}/{name}", fn(t, as_of=as_of), keys)
+        rows = upsert_table(spark, f"{out_root.rstrip('/')}/{name}", fn(t, as_of=as_of), keys, JOB_PARTITIONS)
         status, err = "success", None
     except Exception as e:  # noqa: BLE001 - the run log records any failure
         rows, status, err = 0, "failed", str(e)

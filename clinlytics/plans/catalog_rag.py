@@ -7,6 +7,7 @@ from clinlytics.operators import jobs
 from clinlytics.operators import retrieval as rg
 from clinlytics.plans.catalog_jobs import _SUMMARY_CTES
 from clinlytics.plans.oracle_base import with_clinic
+from clinlytics.session import written
 from clinlytics.sources.driver import clinic_tables, materialized
 
 
@@ -60,6 +61,14 @@ def _q(fn):
     return run
 
 
+def _answers(t):
+    """Extractive answers to all questions by name, each with its sources."""
+    q, found = retrieval_queries(t), written(_named_results(t))
+    out = rg.answers_with_sources(rg.generate_answers(rg.build_prompts(q, found)), found)
+    one = F.transform("sources", lambda s: F.concat_ws("|", s["rank"].cast("string"), s["patient_id"].cast("string"), s["patient_name"], s["visit_date"], s["department"]))
+    return out.select("query_id", "answer", "chunks_retrieved", F.array_join(one, ";").alias("cited"))
+
+
 _RESULT_COLS = ["query_id", "rank", "chunk_id", "patient_id", "visit_date", "score"]
 
 QUERIES = {
@@ -74,6 +83,7 @@ QUERIES = {
                          .select(*_RESULT_COLS[:-1], F.round("score", 9).alias("score"))),
     "build_prompts": _q(lambda t: rg.build_prompts(retrieval_queries(t), _named_results(t))),
     "sources": _q(lambda t: rg.sources(_named_results(t))),
+    "answers": _q(_answers),
     "store_status": _q(lambda t: rg.store_status(_store(t))),
     "ingest_stats": _q(lambda t: rg.ingest_stats(jobs.clinical_summaries(t), _store(t))),
     "retrieve_batch": _q(lambda t: rg.retrieve_batch(retrieval_queries(t), _store(t))
@@ -227,6 +237,12 @@ ORACLES = {
     "sources": with_clinic(
         "SELECT query_id, CAST(rank AS INTEGER) AS rank, patient_id, patient_name, visit_date, department FROM named",
         _RAG_CTES),
+    "answers": with_clinic(f"""
+        SELECT q.query_id, CASE WHEN COALESCE(c.n, 0) = 0 THEN '{_ANSWER}' ELSE c.first END AS answer, COALESCE(c.n, 0) AS chunks_retrieved, COALESCE(c.cited, '') AS cited
+        FROM rq q LEFT JOIN (
+          SELECT query_id, COUNT(*) AS n, arg_min(document, rank) AS first,
+            string_agg(concat_ws('|', rank, patient_id, patient_name, visit_date, department), ';' ORDER BY rank) AS cited
+          FROM named GROUP BY query_id) c ON c.query_id = q.query_id""", _RAG_CTES),
     "ingest_stats": with_clinic("""
         SELECT (SELECT COUNT(*) FROM chunks) AS chunks_ingested,
           (SELECT COUNT(*) FROM summaries WHERE trim(summary_text) <> '') AS patients_processed,
