@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinlytics.functions.core import age_years, as_of_lit
+from clinlytics.functions.core import age_years, as_of_lit, money
 
 # Pagination defaults and bounds.
 DEFAULT_PAGE, DEFAULT_PER_PAGE, MAX_PER_PAGE = 1, 20, 100
@@ -206,6 +206,12 @@ def page_billing(t, status=None, date_from=None, date_to=None, page=1, per_page=
             .orderBy(F.col("created_at").desc(), F.col("id").desc()))
 
 
+def pending_total(billing: DataFrame) -> DataFrame:
+    """What is still to be paid of the invoices of a (page of a) billing list."""
+    pending = F.col("status") == "pending"
+    return billing.agg(F.count_if(pending).alias("pending_invoices"), money(F.sum(F.when(pending, F.col("total_amount")))).alias("pending_total"), F.count(F.lit(1)).alias("invoices"))
+
+
 def search_patients(t, search: str | None = None, as_of=None) -> DataFrame:
     """Active patients whose first name, last name or phone contains
     ``search`` case-insensitively (``%``/``_`` in it stay wildcards)."""

@@ -588,3 +588,51 @@ def register_staff(requests: DataFrame, users: DataFrame) -> DataFrame:
     r = _first_wins(r, ["email"], ["request_id"])
     final = F.coalesce(c("_reason"), F.when(~c("_winner"), F.lit("user with this email already exists")))
     return _outcome(r, final, "request_id", "email")
+
+
+def apply_field_changes(base: DataFrame, changes: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """Sparse changes in the order of change_id: every field keeps its last value among the changes that set it
+    (``set_<field>``, also to NULL), by partial aggregates per key."""
+    last = changes.groupBy(key).agg(*[F.max_by(F.struct(F.col(f).alias("v")), F.when(F.coalesce(F.col(f"set_{f}"), F.lit(False)), F.col("change_id"))).alias(f"_{f}") for f in fields])
+    kinds = dict(base.dtypes)
+    j = base.join(last, key, "left")
+    return j.select(*[F.when(F.col(f"_{x}").isNotNull(), F.col(f"_{x}.v")).otherwise(F.col(x)).cast(kinds[x]).alias(x) if x in fields else F.col(x) for x in base.columns])
+
+
+def update_visits(visits: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """changes: change_id, id, and of VISIT_FIELDS any with their ``set_`` columns. A change must name a visit and may
+    not empty the diagnosis. Returns (visits after, outcome per change)."""
+    fields = [f for f in VISIT_FIELDS if f in changes.columns]
+    r = changes.join(visits.select("id", F.lit(True).alias("_known")), "id", "left")
+    checks = [(F.col("_known"), "visit not found")]
+    if "diagnosis" in fields:
+        checks.insert(0, (~F.coalesce("set_diagnosis", F.lit(False)) | (F.length("diagnosis") > 0), "diagnosis is required"))
+    r = r.withColumn("_reason", first_failure(*checks))
+    after = apply_field_changes(visits, r.where(F.col("_reason").isNull()), fields)
+    return after, _outcome(r, F.col("_reason"), "change_id", "id")
+
+
+def update_doctors(doctors: DataFrame, departments: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """changes: change_id, id, department_id, is_active with their ``set_`` columns; a new department must exist.
+    Returns (doctors after, outcome per change)."""
+    r = changes.join(doctors.select("id", F.lit(True).alias("_known")), "id", "left")
+    r = r.join(departments.select(F.col("id").alias("department_id"), F.lit(True).alias("_dep")), "department_id", "left")
+    r = r.withColumn("_reason", first_failure((F.col("_known"), "doctor not found"), (~F.coalesce("set_department_id", F.lit(False)) | F.col("_dep"), "department not found")))
+    after = apply_field_changes(doctors, r.where(F.col("_reason").isNull()), ["department_id", "is_active"])
+    return after, _outcome(r, F.col("_reason"), "change_id", "id")
+
+
+def create_doctors(requests: DataFrame, users: DataFrame, departments: DataFrame) -> DataFrame:
+    """requests: request_id, email, full_name, department_id. A doctor comes with a user of their own: the email must be
+    new (first request wins) and the department exist and be active."""
+    c = F.col
+    taken = users.select("email").distinct().withColumn("_t", F.lit(True))
+    dep = departments.select(c("id").alias("department_id"), c("is_active").alias("_open"))
+    r = requests.join(taken, "email", "left").join(dep, "department_id", "left")
+    reason = first_failure(
+        (F.length("full_name") > 0, "full name is required"), (F.length("email") > 0, "email is required"), (c("_open").isNotNull(), "department not found"),
+        (c("_open"), "department is not active"), (c("_t").isNull(), "user with this email already exists"))
+    r = r.withColumn("_reason", reason).withColumn("_ok", c("_reason").isNull())
+    r = _first_wins(r, ["email"], ["request_id"])
+    final = F.coalesce(c("_reason"), F.when(~c("_winner"), F.lit("user with this email already exists")))
+    return _outcome(r, final, "request_id", "email", "full_name", "department_id")

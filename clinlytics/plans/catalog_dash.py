@@ -48,6 +48,7 @@ QUERIES = {
     "list_visits": _q(lambda t: ls.list_visits(t, date_from=VISITS_FROM, date_to=VISITS_TO)),
     "list_billing": _q(lambda t: ls.list_billing(t, BILL_STATUS, BILL_FROM, BILL_TO)),
     "page_billing": _q(lambda t: ls.page_billing(t, **PAGE_BILL)),
+    "page_billing_pending": _q(lambda t: ls.pending_total(ls.page_billing(t, **PAGE_BILL))),
     "page_patients": _q(lambda t: ls.page_patients(t, SEARCH, **PAGE_PAT)),
     "search_patients": _q(lambda t: ls.search_patients(t, SEARCH)),
     "patient_visit_history": _q(ls.patient_visit_history),
@@ -233,3 +234,5 @@ ORACLES = {
     "patient_detail": with_clinic("SELECT * FROM patient_detail", _DETAIL_CTES),
     "invoice_detail": with_clinic("SELECT * FROM invoice_detail", _DETAIL_CTES),
 }
+ORACLES["page_billing_pending"] = f"""SELECT count(*) FILTER (status = 'pending') AS pending_invoices, CAST(coalesce(sum(total_amount) FILTER (status = 'pending'), 0) AS DECIMAL(12,2)) AS pending_total,
+    count(*) AS invoices FROM ({ORACLES['page_billing']})"""

@@ -125,6 +125,52 @@ def payment_requests(t):
                                        F.coalesce("payment_method", F.lit("card")).alias("payment_method"))
 
 
+def department_requests(t):
+    """A department per nation and, again, per region; every fifth nation asks for a fee of 0."""
+    c = F.col
+    n = t.driver("nation").select((c("n_nationkey") + 100).cast("long").alias("request_id"), c("n_name").alias("name"), ((c("n_nationkey") % 5) * 100).cast("decimal(10,3)").alias("consultation_fee"))
+    r = t.driver("region").select(c("r_regionkey").cast("long").alias("request_id"), c("r_name").alias("name"), F.lit(250).cast("decimal(10,3)").alias("consultation_fee"))
+    return n.unionByName(r)
+
+
+def staff_requests(t):
+    """An account per customer, two customers to an email; every fourth asks for a role that there is not."""
+    c = F.col
+    role = F.element_at(F.array(*[F.lit(x) for x in (*wr.ROLES, "nurse")]), (c("c_custkey") % 4 + 1).cast("int"))
+    email = F.concat(F.lit("dr."), F.floor(c("c_custkey") / 2).cast("string"))
+    return t.driver("customer").select(c("c_custkey").cast("long").alias("request_id"), email.alias("email"), c("c_name").alias("full_name"), role.alias("role"))
+
+
+def doctor_requests(t):
+    """A doctor per customer; departments 5 and 6 do not exist."""
+    return staff_requests(t).withColumn("department_id", (F.col("request_id") % 7).cast("int")).drop("role")
+
+
+def visit_changes(t):
+    """A change per invoice item, in their order: procedures revise the diagnosis, tests the prescription, others the notes."""
+    c = F.col
+    return t["billing_items"].select(
+        c("billing_record_id").alias("id"), c("item_no").alias("change_id"),
+        F.when(c("item_no") % 3 != 0, F.concat(F.lit("revised "), c("item_no").cast("string"))).otherwise("").alias("diagnosis"), (c("category") == "procedure").alias("set_diagnosis"),
+        c("description").alias("prescription"), (c("category") == "test").alias("set_prescription"),
+        F.when(c("amount") >= 100, F.lit("call")).alias("follow_up_notes"), (c("category") == "other").alias("set_follow_up_notes"))
+
+
+def _update_visits(t):
+    after, outcome = wr.update_visits(t["visits"], visit_changes(t))
+    refused = outcome.groupBy("id").agg(F.count_if(~F.col("accepted")).alias("refused"))
+    return after.select("id", "diagnosis", "prescription", "follow_up_notes").join(refused, "id", "left")
+
+
+def _update_doctors(t):
+    """Every nation's key names a doctor who moves to a department (5 does not exist) or is closed."""
+    c = F.col
+    changes = t.driver("nation").select(c("n_nationkey").cast("long").alias("change_id"), (c("n_nationkey") % 12).cast("long").alias("id"), (c("n_nationkey") % 6).cast("int").alias("department_id"),
+                                        (c("n_regionkey") != 2).alias("set_department_id"), F.lit(False).alias("is_active"), (c("n_regionkey") == 2).alias("set_is_active"))
+    after, outcome = wr.update_doctors(t["doctors"], t["departments"], changes)
+    return after.select("id", "department_id", "is_active").join(outcome.groupBy("id").agg(F.count_if(~c("accepted")).alias("refused")), "id", "full_outer")
+
+
 def _q(fn):
     def run(spark, sf_dir):
         return fn(clinic_tables(spark, sf_dir))
@@ -149,6 +195,11 @@ QUERIES = {
         t["billing_records"], wr.apply_item_changes(t["billing_records"], t["billing_items"], item_changes(t))[1])),
     "apply_payments": _q(lambda t: wr.apply_payments(t["billing_records"], payment_requests(t))),
     "audit_constraints": _q(wr.audit_constraints),
+    "create_departments": _q(lambda t: wr.create_departments(department_requests(t), t["departments"])),
+    "register_staff": _q(lambda t: wr.register_staff(staff_requests(t), t["users"])),
+    "create_doctors": _q(lambda t: wr.create_doctors(doctor_requests(t), t["users"], t["departments"])),
+    "update_visits": _q(_update_visits),
+    "update_doctors": _q(_update_doctors),
 }
 
 _EVENT_CTES = """
@@ -313,6 +364,43 @@ ORACLES = {
         SELECT id FROM (
           SELECT id, phone, row_number() OVER (PARTITION BY phone ORDER BY change_id) AS turn FROM last_change WHERE set_phone) a
         WHERE turn > 1 OR EXISTS (SELECT 1 FROM patients p WHERE p.phone = a.phone AND p.id <> a.id))"""),
+    "create_departments": with_clinic("""
+      SELECT request_id, name, reason IS NULL AS accepted, reason FROM (
+        SELECT r.request_id, r.name, CASE WHEN r.fee <= 0 THEN 'consultation fee must be positive'
+            WHEN EXISTS (SELECT 1 FROM departments d WHERE d.name = r.name) THEN 'department already exists'
+            WHEN row_number() OVER (PARTITION BY r.name, r.fee > 0 ORDER BY r.request_id) > 1 THEN 'department already exists' END AS reason
+        FROM (SELECT CAST(n_nationkey + 100 AS BIGINT) AS request_id, n_name AS name, (n_nationkey % 5) * 100 AS fee FROM nation
+              UNION ALL SELECT CAST(r_regionkey AS BIGINT), r_name, 250 FROM region) r)"""),
+    "register_staff": with_clinic("""
+      SELECT request_id, email, reason IS NULL AS accepted, reason FROM (
+        SELECT r.request_id, r.email, CASE WHEN r.role = 'nurse' THEN 'invalid role'
+            WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = r.email) THEN 'user with this email already exists'
+            WHEN row_number() OVER (PARTITION BY r.email, r.role = 'nurse' ORDER BY r.request_id) > 1 THEN 'user with this email already exists' END AS reason
+        FROM (SELECT CAST(c_custkey AS BIGINT) AS request_id, 'dr.' || CAST(c_custkey // 2 AS VARCHAR) AS email,
+                CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'doctor' WHEN 2 THEN 'front_desk' ELSE 'nurse' END AS role FROM customer) r)"""),
+    "create_doctors": with_clinic("""
+      SELECT request_id, email, full_name, department_id, reason IS NULL AS accepted, reason FROM (
+        SELECT r.*, CASE WHEN r.department_id > 4 THEN 'department not found'
+            WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = r.email) THEN 'user with this email already exists'
+            WHEN row_number() OVER (PARTITION BY r.email, r.department_id > 4 ORDER BY r.request_id) > 1 THEN 'user with this email already exists' END AS reason
+        FROM (SELECT CAST(c_custkey AS BIGINT) AS request_id, 'dr.' || CAST(c_custkey // 2 AS VARCHAR) AS email, c_name AS full_name,
+                CAST(c_custkey % 7 AS INTEGER) AS department_id FROM customer) r)"""),
+    "update_visits": with_clinic("""
+      SELECT v.id, coalesce(c.diagnosis, v.diagnosis) AS diagnosis, coalesce(c.prescription, v.prescription) AS prescription,
+        CASE WHEN c.notes_no IS NOT NULL THEN c.notes ELSE v.follow_up_notes END AS follow_up_notes, c.refused
+      FROM visits v LEFT JOIN (
+        SELECT billing_record_id AS id, count(*) FILTER (category = 'procedure' AND item_no % 3 = 0) AS refused,
+          arg_max('revised ' || CAST(item_no AS VARCHAR), item_no) FILTER (category = 'procedure' AND item_no % 3 <> 0) AS diagnosis,
+          arg_max(description, item_no) FILTER (category = 'test') AS prescription, max(item_no) FILTER (category = 'other') AS notes_no,
+          CASE WHEN arg_max(amount, item_no) FILTER (category = 'other') >= 100 THEN 'call' END AS notes
+        FROM billing_items GROUP BY billing_record_id) c ON c.id = v.id"""),
+    "update_doctors": with_clinic("""
+      SELECT coalesce(d.id, c.id) AS id, CASE WHEN d.id IS NOT NULL THEN coalesce(c.dep, d.department_id) END AS department_id,
+        CASE WHEN d.id IS NOT NULL THEN d.is_active AND NOT coalesce(c.closed, false) END AS is_active, c.refused
+      FROM doctors d FULL OUTER JOIN c ON c.id = d.id""", """
+      ch AS (SELECT n_nationkey AS change_id, CAST(n_nationkey % 12 AS BIGINT) AS id, CAST(n_nationkey % 6 AS INTEGER) AS dep, n_regionkey = 2 AS closes,
+          CASE WHEN n_nationkey % 12 NOT IN (SELECT id FROM doctors) OR (n_regionkey <> 2 AND n_nationkey % 6 = 5) THEN 1 ELSE 0 END AS bad FROM nation),
+      c AS (SELECT id, sum(bad)::BIGINT AS refused, arg_max(dep, change_id) FILTER (bad = 0 AND NOT closes) AS dep, coalesce(bool_or(closes) FILTER (bad = 0), false) AS closed FROM ch GROUP BY id)"""),
     "double_bookings": with_clinic("""
       SELECT a.doctor_id, a.appointment_date, a.appointment_time, a.id AS appointment_id, d.bookings
       FROM appointments a
