@@ -96,6 +96,56 @@ def test_disclosing_terms_are_found_everywhere_and_for_rare_entities(spark):
     assert {r["doc_id"]: r["spans"] for r in pii.detect(once).collect() if r["n_disclosing"]}[1].endswith("disclosing:0:7,disclosing:19:21")
 
 
+def _naive_disclosing(texts):
+    """Per text the spans of terms that leave one bit or less of an entity, and whether they are removed."""
+    import math
+    base = [_naive_pii(t or "") for t in texts]
+    free = [[m for m in re.finditer(r"[^\W_]+", t or "") if not any(s < m.end() and m.start() < e for _, s, e in b)] for t, b in zip(texts, base)]
+    near, with_entity, with_term = {}, {}, {}
+    for i, (t, b, words) in enumerate(zip(texts, base, free)):
+        for w in {m[0].lower() for m in re.finditer(r"[^\W_]+", t or "")}:
+            with_term.setdefault(w, set()).add(i)
+        for kind, s, e in b:
+            entity = (kind, t[s:e].lower())
+            with_entity.setdefault(entity, set()).add(i)
+            for m in [m for m in words if m.start() < s][-8:] + [m for m in words if m.start() >= s][:8]:
+                near.setdefault((entity, m[0].lower()), set()).add(i)
+    left = {}
+    for (entity, w), found in near.items():
+        if len(with_entity[entity]) < len(texts):
+            left[w] = min(left.get(w, 9.0), -math.log2(len(found) / (len(with_term[w]) + 1)))
+    return [[(m.start(), m.end(), left[m[0].lower()] <= 0.4151) for m in words if left.get(m[0].lower(), 9.0) <= 1] for words in free]
+
+
+def test_disclosing_spans_match_brute_force(spark, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    rows += [(9_001, "Quill Ambrose pays by card 4111 1111 1111 1111, call +1 555 123 4567"), (9_002, "Ambrose Quill again, +1 555 123 4567"), (9_003, "who is Quill"), (9_003, "who is Quill"),
+             (None, "Quill 4111 1111 1111 1111"), (9_004, None), (9_005, ""), (9_006, "\u0130zmir_\u0130zmir a@b.cc \u0130zmir" + " x" * 30_000 + " quill")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [",".join([f"{k}:{s}:{e}" for k, s, e in _naive_pii(t or "")] + [f"disclosing:{s}:{e}" for s, e, _ in found])
+            for (_, t), found in zip(rows, _naive_disclosing([t for _, t in rows]))]
+    got = [(r["doc_id"] or 0, r["spans"]) for r in pii.detect(docs).collect()]
+    assert sorted(got) == sorted((d or 0, w) for (d, _), w in zip(rows, want)) and sum("disclosing" in w for w in want) > 5
+    before, pii.TERMS_A_PASS, pii.COUNTED = (pii.TERMS_A_PASS, pii.COUNTED), 50, 100  # many passes, small tables
+    try:
+        assert sorted(got) == sorted((r["doc_id"] or 0, r["spans"]) for r in pii.detect(docs).collect())
+    finally:
+        pii.TERMS_A_PASS, pii.COUNTED = before
+
+
+def test_unrelated_documents_change_no_finding(spark):
+    rows = [(1, "Zebedee Quark write mail to boss@corp.example.com today"), (2, "we talk to Zebedee today"), (3, "nothing here")]
+    few = {r["doc_id"]: r["spans"] for r in pii.detect(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    many = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(spark.range(100, 40_100).selectExpr("id AS doc_id", "concat('other words ', id % 977) AS text"))
+    assert few == {r["doc_id"]: r["spans"] for r in pii.detect(many).collect() if r["doc_id"] < 100}
+
+
+def test_long_text_of_mentions_is_read_in_linear_time():
+    text = "someone@mail.example.org said hello to them . " * 20_000 + "- " * 200_000
+    spans = pii.base_spans(text)
+    assert len(spans) == 20_000 and len(pii.context_terms(text, spans)) == 4 and sum(1 for _ in pii.open_words(text, spans)) == 80_000
+
+
 def test_pii_odd_inputs(odd, empty):
     out = pii.detect(odd).collect()
     assert len(out) == len(ODD) and all(r["spans"] == "" for r in out)
@@ -117,8 +167,73 @@ def test_guess_costs_order():
     cost = lambda v: secret_scan.guess_cost(v, ranks)
     assert cost("password") < cost("Passw0rd") < cost("dragonmonkey") < cost("kX9#pQ2!vLz8")
     assert cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 4 and cost("19991231") < 6
-    spans, most = secret_scan.guess_spans("my pwd: kX9#pQ2!vLz8 and pass is dragon", [], ranks)
-    assert spans == [("guess", 8, 20)] and most > secret_scan.MIN_GUESSES
+    secret = "Xq9#vT2!pLz7&Kd0$Wm4"
+    assert cost("a" * 128) < 4 and cost("a" * 128 + secret) > secret_scan.MIN_GUESSES and cost("a" * 5_000 + secret) > cost(secret)
+
+
+def _naive_guess_cost(value, ranks):
+    """The cheapest split by trying every piece at every place."""
+    import functools
+    import math
+    step, per, low = math.log10(2), secret_scan.brute_force(value), value.lower()
+    spelt = secret_scan.plain(low)
+
+    def pieces(i, j):
+        v, w = value[i:j], low[i:j]
+        if j == i + 1:
+            yield per - (step if i else 0)  # a character alone does not cost its place
+        for word, twist in ((w, 0), (spelt[i:j], min(4, sum(a != b for a, b in zip(w, spelt[i:j]))))):
+            if 3 <= len(w) <= 24 and word in ranks and (word == w or w not in ranks):
+                yield math.log10(ranks[word] + 1) + step * twist + (0 if v == w else step if v in (w.upper(), w.capitalize()) else step * len(v))
+        m = secret_scan._DATE.match(value, i)
+        if m and m.end() == j:
+            yield math.log10(365 * 120 if j - i > 4 else 120)
+        for u in range(1, min(16, len(v) // 2) + 1):
+            if len(v) >= 3 and len(v) % u == 0 and v == v[:u] * (len(v) // u) and value[j:j + u] != v[:u]:
+                yield u * per + math.log10(len(v) // u)
+        if 3 <= len(v) <= 64 and all(secret_scan.near_keys(a, b) or abs(ord(a) - ord(b)) == 1 for a, b in zip(w, w[1:])):
+            turns = sum(secret_scan._way(w[k - 2], w[k - 1]) != secret_scan._way(w[k - 1], w[k]) for k in range(2, len(w)))
+            yield math.log10(47 * len(w)) + turns * math.log10(8)
+
+    @functools.cache
+    def best(i):
+        if i == len(value):
+            return 0.0
+        return min((c + (step if i else 0) + best(j) for j in range(i + 1, len(value) + 1) for c in pieces(i, j)), default=math.inf)
+
+    return best(0)
+
+
+def test_guess_costs_match_a_naive_split():
+    import math
+    import random
+    rng = random.Random(2)
+    ranks = {w: i + 1 for i, w in enumerate(secret_scan.COMMON_PASSWORDS)} | {"sun": 900, "light": 1_200, "sunlight": 40_000}
+    bits = ["sun", "Light", "SUNLIGHT", "p4ssw0rd", "1999-12-31", "2004", "qwer", "lkj", "abab", "aaa", "7", "X", "#", "zzzz", "\u00e9", "abcabcabc", "fdsa"]
+    for _ in range(300):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 6)))
+        assert math.isclose(secret_scan.guess_cost(value, ranks), _naive_guess_cost(value, ranks)), value
+
+
+def test_secrets_are_priced_with_the_words_of_all_documents(spark):
+    long = "u" * 128 + "Xq9#vT2!pLz7&Kd0$Wm4"
+    rows = [(1, "my pwd: kX9#pQ2!vLz8 and pass is dragon"), (2, "pwd: ovalcandle"), (3, f"pwd = {long} end"), (4, "pwd: quxzabtrewy and password=hunter2hunter2 then bearer abcdefgh.12345"), (4, "pwd: quxzabtrewy and password=hunter2hunter2 then bearer abcdefgh.12345"),
+            (None, "pwd: kX9#pQ2!vLz8"), (5, "pwd:" + " " * 50_000 + "x"), (6, "password is" + " " * 50_000), (7, "secret: " + "ab" * 20_000 + " pin: " + "a" * 40_000 + "Q"), (8, None), (9, "")]
+    rows += [(100 + i, "the oval candle stands here") for i in range(50)] + [(200 + i, f"once {'abcdefghij'[i]}x oval") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    ranks = {r["word"]: r["rank"] for r in secret_scan.ranked_words(docs).collect()}
+    counts = {}
+    for _, t in rows:
+        for w in re.findall("[a-z]{3,24}", (t or "").lower()):
+            counts[w] = counts.get(w, 0) + 1
+    common = {w: i + 1 for i, w in enumerate(secret_scan.COMMON_PASSWORDS)}
+    assert ranks == {w: min(common.get(w, 1 << 60), 1 + sum(n > counts[w] for n in counts.values()) if w in counts else 1 << 60) for w in counts | common}
+    assert out[1]["spans"] == "guess:8:20" and out[None]["spans"] == "guess:5:17" and out[2]["n_guess"] == 0
+    assert out[2]["max_log10_guesses"] == pytest.approx(_naive_guess_cost("ovalcandle", ranks)) and out[2]["max_log10_guesses"] < 6
+    assert out[3]["spans"] == f"guess:6:{6 + len(long)}"
+    assert out[4]["n_assign"] == 1 and out[4]["spans"].split(",")[1] == "assign:21:44" and out[4]["spans"].split(",")[0] == "guess:5:16"
+    assert out[5]["n_guess"] == out[6]["n_guess"] == out[8]["n_guess"] == 0 and out[7]["n_assign"] == 1 and len(secret_scan.scan(docs).collect()) == len(rows)
 
 
 def test_language_held_out_accuracy(documents, odd, empty):
@@ -144,6 +259,82 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     assert 0.9 < total <= 1.0 + 1e-4  # the rest is kept for characters never seen
 
 
+def _naive_kneser_ney(texts):
+    """Interpolated Kneser-Ney of order 4 by its recursion, from dictionaries."""
+    from collections import Counter, defaultdict
+    top = Counter()
+    for t in texts:
+        padded = "   " + lang_id.letters(t)
+        top.update(padded[i:i + 4] for i in range(len(padded) - 3))
+    counts = {4: top}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    total, kinds = defaultdict(Counter), defaultdict(Counter)
+    for k in counts:
+        for g, n in counts[k].items():
+            total[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+    return counts, total, kinds
+
+
+def _naive_log_probability(model, gram, alphabet, known):
+    """``known`` by order: n-grams and contexts that some language has; what none has backs off at no cost."""
+    import math
+    counts, total, kinds = model
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            return max(counts[1][g] - lang_id.DISCOUNT, 0) / total[1][""] + lang_id.DISCOUNT * kinds[1][""] / total[1][""] / alphabet
+        n = total[k][g[:-1]]
+        if not n:
+            return p(g[1:])
+        return max(counts[k][g] - lang_id.DISCOUNT, 0) / n + lang_id.DISCOUNT * kinds[k][g[:-1]] / n * p(g[1:])
+
+    return math.log(p(gram)) if gram[-1] in known else None
+
+
+def test_language_models_match_a_naive_kneser_ney(spark):
+    import math
+    import random
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcde \u00e9 1") for _ in range(80)) if i % 2 else "".join(rng.choice("aabbxyz ") for _ in range(120)), "p" if i % 2 else "q") for i in range(30)]
+    rows += [(40, "abc abd", None), (41, None, "p"), (42, "42", "r"), (43, "abc", "p"), (43, "abc", "p")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    everything = lang_id.F.lit(True)
+    fitted = lang_id.fit(docs, everything)
+    assert fitted.langs == ["p", "q"]
+    models = {x: _naive_kneser_ney([t for _, t, lang in rows if lang == x and t]) for x in fitted.langs}
+    known = {g for m in models.values() for g in m[0][1]}
+    for text in ("abba cab", "zyx ab", "abc", "xy\u00e9 dea", "  a "):
+        padded = "   " + lang_id.letters(text)
+        ce, n = lang_id.cross_entropies(fitted.model.value, text)
+        for j, x in enumerate(fitted.langs):
+            want = [_naive_log_probability(models[x], padded[i:i + 4], len(known) + 1, known) for i in range(len(padded) - 3)]
+            assert None not in want and math.isclose(ce[j], -sum(want) / n, rel_tol=1e-4)
+    # counting in small pieces changes nothing
+    counts = {tuple(r) for r in lang_id.ngram_counts(docs.where("lang is not null and text is not null")).collect()}
+    before, lang_id.COUNTED, lang_id.HELD = (lang_id.COUNTED, lang_id.HELD), 7, 11
+    try:
+        assert counts == {tuple(r) for r in lang_id.ngram_counts(docs.where("lang is not null and text is not null")).collect()}
+    finally:
+        lang_id.COUNTED, lang_id.HELD = before
+    whole = lang_id.packed("some prepared text ")
+    assert all((lang_id.np.concatenate(list(lang_id.packed_parts("some prepared text ", k))) == whole).all() for k in (1, 3, 4, 5, 100))
+
+
+def test_every_language_is_calibrated_and_rows_are_bounded(spark):
+    rows = [(1, "the cat sat on the mat", "en")] * 300 + [(i, f"das ist ein haus nummer {'ab' * (i % 7)}", "de") for i in range(40)] + [(9_999, "ovo je kratak tekst", "hr"), (9_998, "\U0001F600\U00010400 \U00010401", "dsrt")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = lang_id.calibration_rows(docs, 10).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sample} == {"en": 1, "de": 10, "hr": 1, "dsrt": 1}
+    fitted = lang_id.fit(docs, lang_id.F.lit(True))
+    assert fitted.langs == ["de", "dsrt", "en", "hr"] and (fitted.mean < float("inf")).all()
+    junk = spark.createDataFrame([(1, "qzx wvk jjqx " * 30), (2, "ovo je tekst")], "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in lang_id.identify(junk, fitted).collect()}
+    assert out[1]["rejected"] and out[2]["lang_pred"] == "hr" and not out[2]["rejected"]
+
+
 def test_quality_held_out_accuracy(spark, odd, empty):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
@@ -221,3 +412,58 @@ def test_template_texts_inside_articles_are_taken_out(spark):
     assert _texts(spark, alike)[0] == "Story 0\n\nTold again\n\n7"
     # where nothing else is left, the elements decide
     assert _texts(spark, [f"<body><i>{i}</i><article><p>Told again</p></article></body>" for i in range(3)]) == ["Told again"] * 3
+
+
+def test_headings_that_repeat_are_content(spark):
+    def page(i, wrap="article"):
+        links = "<div class='out'><p>Send this to a friend</p><p>Print</p></div><ul><li>Home</li><li>Away</li></ul>"
+        return f"<body><div><p>The house paper</p></div><{wrap}><h1>Title {i}</h1><h2>Introduction</h2><p>It began {i}.</p><section><h2>Results</h2><p>So {i}.</p></section>{links}</{wrap}></body>"
+    want = [f"Title {i}\n\nIntroduction\n\nIt began {i}.\n\nResults\n\nSo {i}." for i in range(6)]
+    assert _texts(spark, [page(i) for i in range(6)]) == want
+    assert _texts(spark, [page(i, "div") for i in range(6)]) == want  # neither article nor class words
+
+
+def _naive_constant(htmls):
+    """Constant texts of one host by occurrence vectors written out in full."""
+    import collections
+    pages = [html_extract.tokens_of(html_extract.parse(h)) for h in dict.fromkeys(htmls)]
+    by = collections.defaultdict(list)
+    for token in set().union(*pages):
+        by[tuple(p[token] for p in pages)].append(token)
+    text = lambda t: re.search("=[0-9a-f]{16}$", t)
+    root_elements = {t for v, ts in by.items() if set(v) == {1} for t in ts if not text(t)}
+    out = set()
+    for vector, tokens in by.items():
+        elements = {t for t in tokens if not text(t)}
+        if not elements or sum(n > 0 for n in vector) < html_extract.MIN_PAGES:
+            continue
+        own = [t for t in tokens if text(t)]
+        if set(vector) == {1}:
+            out.update(own)
+        elif all(t[:-17] in elements for t in own):
+            out.update(t for t in own if any(t[:k] in root_elements for k in range(len(t)) if t[k] == "/"))
+    return out
+
+
+def test_classes_match_a_naive_deduction(spark):
+    import random
+    rng = random.Random(8)
+    for _ in range(3):
+        htmls = []
+        for i in range(9):
+            boxes = "".join(f"<div class='b{k}'><p>box {k}</p>{'<i>x</i>' * k}<p>{rng.choice(['yes', 'no']) if k == 2 else ''}</p></div>" for k in range(4) if rng.random() < 0.6)
+            htmls.append(f"<body><div class='top'><p>Paper</p></div><div class='m'><h1>Story {i}</h1>{boxes}<p>end</p></div></body>")
+        htmls += htmls[:2]
+        rows = [(i, "http://h.example/a", h) for i, h in enumerate(htmls)]
+        got = {r["token"] for r in html_extract.templates(spark.createDataFrame(rows, PAGES)).where("constant").collect()}
+        assert got == _naive_constant(htmls) and got
+
+
+@pytest.mark.parametrize("deep", ["<div>" * 50_000 + "text", "<div>" * 4_000 + "</p>" * 200_000, "<div class='nav'>" * 50_000 + "x", "<select>" * 4_000 + "</button>" * 200_000,
+                                  "".join(f"<div class='c{i}x'>t" for i in "abcdefghij" * 5_000), "<p><b>" * 50_000, "<ul><li>" * 20_000 + "</ul>" * 20_000])
+def test_deep_nesting_is_read_in_linear_time(deep):
+    import time
+    start = time.perf_counter()
+    page = html_extract.parse(deep)
+    html_extract.main_text(page, html_extract.tokens_of(page))
+    assert time.perf_counter() - start < 15 and max(map(len, page.paths), default=0) < 2_000
