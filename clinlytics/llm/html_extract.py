@@ -8,11 +8,19 @@ gathering them. Tokens of one host with equal vectors form an equivalence
 class; a class is valid when it holds an element and spans MIN_PAGES pages or
 more. The class of the tokens that occur once on every page is the template's
 root; the others nest below the deepest root element on their path. The texts
-of the root and of nested classes made of elements and their own texts are the
-template's and are taken out everywhere, articles included. Which of the open
-slots are content, the elements decide: those in an article or main element,
-else those that are no navigation, header, footer, side bar, notice, advert,
-form or comment; a form or class word above the article is a wrapper.
+of the root and of nested classes made of elements and their own texts are
+constant. A region of a page (a container and what it holds) is the template's
+if every text in it is constant; a region with an open slot says something of
+its own, and there a constant text is content that merely repeats (a heading
+such as "Introduction"). Template regions are taken out everywhere, articles
+included. Of the remaining regions, an article or main element is the content,
+else all that are no navigation, header, footer, side bar, notice, advert, form
+or comment: slots that are open on every page but not the author's are told by
+their elements; a form or class word above the article is a wrapper.
+
+Markup is read in time linear in its length: long paths go on from a digest of
+their upper part, and elements nested more than DEEPEST deep are read as
+siblings at that depth, as browsers do.
 
 Blocks are joined by an empty line; white space inside a block is one space;
 character references are decoded. Nothing is dropped or capped by length.
@@ -38,6 +46,8 @@ from pyspark.sql import functions as F
 from clinlytics.llm.common import prepare, written
 
 MIN_PAGES = 3
+#: nesting that is kept apart, and characters of a path before its upper part is digested
+DEEPEST, LONGEST_PATH = 256, 400
 
 # Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +62,8 @@ WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sp
                   "comment comments disqus reply replies cookie cookies consent notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe "
                   "signup login search pagination pager toolbar widget contentinfo complementary skip".split())
 ARTICLE = frozenset("article main".split())
+#: elements whose texts belong to the region around them
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead tfoot blockquote pre figcaption caption center hgroup summary address".split())
 ALONE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HARD = ("!",)
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -79,9 +91,14 @@ class Element:
 
 @dataclass
 class Page:
-    """Element paths in order, and blocks (path, text, chain, above, article) as in Element."""
+    """Element paths in order, and blocks (path, text, chain, above, article, region) as in Element.
+
+    ``region`` numbers the container that a block stands in; ``within`` gives each region the one around it. 0 is
+    what surrounds everything; an article or main element starts a region that stands in 0.
+    """
     paths: list[str] = field(default_factory=list)
-    blocks: list[tuple[str, str, tuple[str, ...], tuple[str, ...], str]] = field(default_factory=list)
+    blocks: list[tuple[str, str, tuple[str, ...], tuple[str, ...], str, int]] = field(default_factory=list)
+    within: list[int] = field(default_factory=lambda: [0])
 
 
 def _label(tag: str, attributes: str) -> tuple[str, set[str]]:
@@ -104,7 +121,7 @@ def child(top: Element, tag: str, attributes: str) -> Element:
     found = _CHILDREN.get(key)
     if found is None:
         label, named = _label(tag, attributes)
-        path = f"{top.path}/{label}"
+        path = f"{top.path if len(top.path) <= LONGEST_PATH else '#' + xxhash.xxh3_64_hexdigest(top.path.encode())}/{label}"
         chain, above, article = top.chain, top.above, top.article
         if tag == "body":  # also where the head was left open
             chain = ()
@@ -122,8 +139,9 @@ def child(top: Element, tag: str, attributes: str) -> Element:
 
 def parse(html: str) -> Page:
     """A forgiving reading of the markup: broken, unclosed and crossed tags included."""
-    page, stack = Page(), [Element("", "")]
-    paths, blocks = page.paths, page.blocks
+    page, stack, regions = Page(), [Element("", "")], [0]  # regions[i]: the region inside stack[i]
+    paths, blocks, within = page.paths, page.blocks, page.within
+    open_: Counter = Counter()  # open elements by name
     text: list[str] = []
     end = html.rfind(">") + 1  # no tag ends beyond it
     parts = _MARK.split(html[:end])
@@ -135,9 +153,20 @@ def parse(html: str) -> Page:
             own = " ".join((entities.unescape(own) if "&" in own else own).split())
             if own:
                 top = stack[-1]
-                blocks.append((top.path, own, top.chain, top.above, top.article))
+                blocks.append((top.path, own, top.chain, top.above, top.article, regions[-1]))
             text.clear()
 
+    def leave(k: int) -> None:
+        """Close the elements from stack[k] on."""
+        for gone in stack[k:]:
+            open_[gone.tag] -= 1
+        del stack[k:], regions[k:]
+
+    def enter(element: Element, region: int) -> None:
+        stack.append(element)
+        regions.append(region)
+        open_[element.tag] += 1
+
     # parts: text, then for each mark its 7 groups and the text behind it
     for i in range(0, len(parts), 8):
         if i:
@@ -155,34 +184,41 @@ def parse(html: str) -> Page:
                     flush()
                 elif tag in BLOCK:
                     if closing:
-                        k = len(stack) - 1
-                        while k > 0 and stack[k].tag != tag:
-                            k -= 1
-                        if k > 0:
+                        if open_[tag]:
+                            k = len(stack) - 1
+                            while stack[k].tag != tag:
+                                k -= 1
                             flush()
-                            del stack[k:]
+                            leave(k)
                     else:
                         while stack[-1].inline:
-                            stack.pop()
+                            leave(len(stack) - 1)
                         flush()
                         top = stack[-1].tag
                         if top == "p" or top in ALONE.get(tag, ()) or tag in HEADINGS and top in HEADINGS:
-                            stack.pop()
+                            leave(len(stack) - 1)
                             if tag == "tr" and stack[-1].tag == "tr":
-                                stack.pop()
-                        stack.append(child(stack[-1], tag, attributes))
-                        paths.append(stack[-1].path)
+                                leave(len(stack) - 1)
+                        leave(DEEPEST)
+                        element = child(stack[-1], tag, attributes)
+                        region = regions[-1]
+                        if tag not in FLOW and tag not in ("html", "body"):
+                            within.append(0 if element.article == element.path else region)
+                            region = len(within) - 1
+                        enter(element, region)
+                        paths.append(element.path)
                 elif tag in UNSHOWN:
                     if not closing:
                         if not attributes.endswith("/"):
+                            leave(DEEPEST)
                             top = stack[-1]
-                            stack.append(Element(tag, top.path, top.chain, top.above, top.article, True, True))
-                    else:
+                            enter(Element(tag, top.path, top.chain, top.above, top.article, True, True), regions[-1])
+                    elif open_[tag]:
                         k = len(stack) - 1
-                        while k > 0 and stack[k].inline and stack[k].tag != tag:
+                        while stack[k].inline and stack[k].tag != tag:
                             k -= 1
-                        if k > 0 and stack[k].inline:
-                            del stack[k:]
+                        if stack[k].inline:
+                            leave(k)
         said = parts[i]
         if said and not stack[-1].unshown:
             text.append(said)
@@ -202,7 +238,7 @@ def constant_token(path: str, text: str) -> str:
 def tokens_of(page: Page) -> Counter:
     """Tokens with their counts: all elements and all texts."""
     out = Counter(page.paths)
-    out.update(constant_token(path, text) for path, text, _, _, _ in page.blocks)
+    out.update(constant_token(b[0], b[1]) for b in page.blocks)
     return out
 
 
@@ -267,8 +303,8 @@ def templates(pages: DataFrame) -> DataFrame:
     return out.join(stray, ["host", "class_no"], "left").select("host", "token", "root", "class_no", "parent", constant.alias("constant"))
 
 
-def slots(page: Page) -> list[tuple[str, str]]:
-    """(path, text) of the blocks in the content slots.
+def slots(page: Page) -> list[tuple]:
+    """The blocks in the content slots.
 
     A wrapper is not boilerplate: what stands above the article with the most
     text (on average of its path), if that is more than all articles outside
@@ -278,27 +314,42 @@ def slots(page: Page) -> list[tuple[str, str]]:
     inside = [b for b in page.blocks if b[4] and not b[2] and "!" not in b[3]]
     if inside:
         held: Counter = Counter()
-        for _, text, _, above, article in inside:
+        for _, text, _, above, article, _ in inside:
             held[above, article] += len(text)
         clean = sum(n for (above, _), n in held.items() if not above)
         wrapped = {k: n / page.paths.count(k[1]) for k, n in held.items() if k[0]}
         most = max(wrapped, key=wrapped.__getitem__, default=None)
         wrappers = set(most[0]) if most and wrapped[most] > clean else set()
-        return [(b[0], b[1]) for b in inside if wrappers.issuperset(b[3])]
+        return [b for b in inside if wrappers.issuperset(b[3])]
     rest = [b for b in page.blocks if b[2] != HARD and not b[4]]
     least = min((len(b[2]) for b in rest), default=0)
-    return [(b[0], b[1]) for b in rest if len(b[2]) == least]
+    return [b for b in rest if len(b[2]) == least]
+
+
+def open_regions(page: Page, constant: frozenset | set) -> set[int]:
+    """The regions with a text that is not constant, those around them included."""
+    out: set[int] = set()
+    for b in page.blocks:
+        region = b[5]
+        if region not in out and constant_token(b[0], b[1]) not in constant:
+            while region not in out:
+                out.add(region)
+                region = page.within[region]
+    return out
 
 
 def main_text(page: Page, constant: frozenset | set) -> str:
-    """The blocks in the content slots of a page without the texts its host's template holds constant.
+    """The blocks in the content slots of a page without the regions that its host's template fills.
 
     Where the template would leave nothing, it can't be told from what the
     pages say: then the elements alone decide.
     """
     found = slots(page)
-    kept = [text for path, text in found if constant_token(path, text) not in constant] if constant else []
-    return "\n\n".join(kept or [text for _, text in found])
+    kept = found
+    if constant:
+        said = open_regions(page, constant)
+        kept = [b for b in found if b[5] in said]
+    return "\n\n".join(b[1] for b in kept or found)
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
