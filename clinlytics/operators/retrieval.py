@@ -119,18 +119,13 @@ def detect_names(queries: DataFrame) -> DataFrame:
     return detect_name_columns(queries.select("query_id", "query"), "query")
 
 
-def patient_names(store: DataFrame) -> DataFrame:
-    """(patient_id, patient_name): the different names in the store; a patient's chunks share theirs."""
-    return store.select("patient_id", "patient_name").where(F.col("patient_name").isNotNull()).distinct()
+def _stretches(text, lengths: list[int]):
+    """The different runs of each of ``lengths`` characters of a string column."""
+    def runs(n: int):
+        places = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
 
-
-def _grams(text, n: int = 3):
-    """The different runs of ``n`` characters of a string column."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))
-
-
-def _all_grams(parts: str, n: int):
-    return F.flatten(F.transform(F.filter(parts, lambda x: F.length(x) >= n), lambda x: _grams(x, n)))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[runs(n) for n in lengths]))))
 
 
 # '%', '_' and an escaping backslash cut a pattern into literal stretches (fixed: LIKE's syntax).
@@ -138,38 +133,37 @@ _LITERALS = r"\\.|\\|%|_"
 
 
 def search_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
-    """(pattern, patient_id, patient_name): names ILIKE '%pattern%', wildcards included, for distinct ``patterns(pattern)``.
-
-    Each pattern looks up, of the trigrams of its literal stretches, the one
-    that the fewest names hold; its candidates are verified. A pattern without
-    a trigram looks up a pair or a character in an index of that length, one of
-    wildcards alone the names that are long enough for it.
+    """(pattern, patient_name): names ILIKE '%pattern%', wildcards included, for distinct ``patterns(pattern)``.
+
+    The different names are indexed by their runs of as many characters as the
+    patterns' literal stretches have, so a stretch joins the names that hold it
+    and no others: a pattern without wildcards meets its names alone. One with
+    wildcards looks up, of its stretches, the one that the fewest names hold, and
+    its candidates are verified; one of wildcards alone, the names that are long
+    enough for it.
     """
     low, low_name = F.lower(F.col("pattern")), F.lower(F.col("patient_name"))
-    parts = patterns.select("pattern", F.filter(F.split(low, _LITERALS), lambda x: x != "").alias("parts"))
-    longest = F.least(F.lit(3), F.coalesce(F.array_max(F.transform("parts", F.length)), F.lit(0)))
-    parts = written(parts.withColumn("n", longest))
-    hits = None
-    for n in sorted((r["n"] for r in parts.select("n").distinct().collect()), reverse=True):  # 4 values at most
-        own = parts.where(F.col("n") == n)
-        if n:
-            wanted = own.select("pattern", F.explode(_all_grams("parts", n)).alias("gram"))
-            index = names.where(F.length(low_name) >= n).select("patient_id", "patient_name", F.explode(_grams(low_name, n)).alias("gram"))
-            held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-            # a gram that no name holds rules its pattern out
-            rarest = (wanted.join(held, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("r"))
-                      .where("r.held > 0").select("pattern", F.col("r.gram").alias("gram")))
-            wild = F.regexp_like("pattern", F.lit(r"[%_\\\\]"))
-            fits = F.when(wild, F.expr("patient_name ILIKE concat('%', pattern, '%')")).otherwise(low_name.contains(low))
-            found = rarest.join(index, "gram").where(fits)
-        else:
-            long = names.select("patient_id", "patient_name", F.explode(F.sequence(F.lit(0), F.length("patient_name"))).alias("least"))
-            found = own.select("pattern", F.length(F.regexp_replace("pattern", "[^_]", "")).alias("least")).join(long, "least")
-        found = found.select("pattern", "patient_id", "patient_name")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return names.select(F.lit(None).cast("string").alias("pattern"), "patient_id", "patient_name").where("false")
-    return hits
+    names = names.select("patient_name").where(F.col("patient_name").isNotNull()).distinct()
+    parts = F.filter(F.split(low, _LITERALS), lambda x: x != "")
+    wild = F.regexp_like("pattern", F.lit(r"[%_\\]"))
+    parts = written(patterns.select("pattern", wild.alias("wild"), F.array_distinct(parts).alias("parts")))
+    # as many numbers as the longest pattern has characters, at most
+    lengths = [r[0] for r in parts.select(F.explode("parts").alias("part")).select(F.length("part")).distinct().collect()]
+    long = names.select("patient_name", F.explode(F.sequence(F.lit(0), F.length("patient_name"))).alias("least"))
+    bare = parts.where(F.size("parts") == 0).select("pattern", F.length(F.regexp_replace("pattern", "[^_]", "")).alias("least"))
+    hits = bare.join(long, "least").select("pattern", "patient_name")
+    if not lengths:
+        return hits
+    index = names.select("patient_name", F.explode(_stretches(low_name, sorted(lengths))).alias("part"))
+    wanted = parts.select("pattern", "wild", F.explode("parts").alias("part"))
+    plain = wanted.where(~F.col("wild")).join(index, "part").select("pattern", "patient_name")
+    several = wanted.where("wild")
+    held = index.join(several.select("part").distinct(), "part", "left_semi").groupBy("part").agg(F.count(F.lit(1)).alias("held"))
+    # a stretch that no name holds rules its pattern out
+    rarest = (several.join(held, "part", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "part")).alias("r"))
+              .where("r.held > 0").select("pattern", F.col("r.part").alias("part")))
+    verified = rarest.join(index, "part").where(F.expr("patient_name ILIKE concat('%', pattern, '%')")).select("pattern", "patient_name")
+    return hits.unionByName(plain).unionByName(verified)
 
 
 def retrieve_by_name(queries: DataFrame, store: DataFrame, top_k: int = TOP_K) -> DataFrame:
@@ -177,19 +171,28 @@ def retrieve_by_name(queries: DataFrame, store: DataFrame, top_k: int = TOP_K) -
     per query, score 1.0. ``queries`` has query_id and detected_name.
 
     The detected names are written once (the detection is a long expression that
-    the optimizer would copy into every filter and key); the different names
-    among them are searched in a trigram index of the patients' names, and
-    chunks are joined only for the patients found.
+    the optimizer would copy into every filter and key). Each different name
+    among them is searched once, whatever the number of queries that ask for
+    it, and each name in the store brings its newest k chunks, which hold the
+    newest k of any set of names. Queries then share the k chunks of their name;
+    a query id that comes with several names is ranked over all of them.
     """
-    q = written(queries.where(F.col("detected_name").isNotNull()).select("query_id", "detected_name"))
-    found = search_names(q.select(F.col("detected_name").alias("pattern")).distinct(), patient_names(store))
+    q = queries.where(F.col("detected_name").isNotNull()).select("query_id", F.col("detected_name").alias("pattern")).distinct()
+    own = Window.partitionBy("query_id")
+    several = F.min("pattern").over(own) != F.max("pattern").over(own)
+    asker = F.to_json(F.struct(F.when(several, F.col("query_id")).alias("q"), F.when(~several, F.col("pattern")).alias("p")))
+    q = written(q.withColumn("_asker", asker))
     s = store.select("chunk_id", "patient_id", "document", "patient_name", "visit_date", "department",
                      "doctor_name", "diagnosis_codes", "has_followup")
-    pairs = q.withColumnRenamed("detected_name", "pattern").join(found, "pattern").select("query_id", "patient_id", "patient_name").distinct()
-    hits = pairs.join(s, ["patient_id", "patient_name"])
-    w = Window.partitionBy("query_id").orderBy(F.col("visit_date").desc(), F.col("chunk_id"))
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-    return ranked.withColumn("score", F.lit(1.0)).select("query_id", *s.columns, "rank", "score")
+    s = s.where(F.col("patient_id").isNotNull() & F.col("patient_name").isNotNull())
+    found = search_names(q.select("pattern").distinct(), s.select("patient_name"))
+    pairs = q.select("_asker", "pattern").distinct().join(found, "pattern").select("_asker", "patient_name").distinct()
+    newest = [F.col("visit_date").desc(), F.col("chunk_id")]
+    top = lambda rows, key: rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*newest))).where(F.col("rank") <= top_k)
+    best = top(s, "patient_name").drop("rank")
+    ranked = top(pairs.join(best, "patient_name"), "_asker")
+    hits = q.select("query_id", "_asker").distinct().join(ranked, "_asker")
+    return hits.withColumn("score", F.lit(1.0)).select("query_id", *s.columns, "rank", "score")
 
 
 # ------------------------------------------------------------- vectors ----
@@ -213,7 +216,9 @@ def vector_topk(queries: DataFrame, candidates: DataFrame, top_k: int = TOP_K,
     (query block, vector block): a query meets every vector in exactly one
     cell. A task multiplies the block of queries with the candidates as they
     stream by and emits its local top k per query; a per-query row_number <= k (a
-    partial group limit before the shuffle) merges them. Nothing goes through
+    partial group limit before the shuffle) merges them. Queries of equal vectors
+    (and filters) are searched once and share what is found, so the work grows
+    with the different vectors times the candidates. Nothing goes through
     the driver, and the plan does not grow with the queries. Queries without a
     vector have no neighbours. Other candidate columns are joined back to the
     k winners.
@@ -221,22 +226,29 @@ def vector_topk(queries: DataFrame, candidates: DataFrame, top_k: int = TOP_K,
     filter_cols = filter_cols or []
     ship_package(queries.sparkSession)
     kinds = dict(candidates.dtypes)
-    q = written(queries.where(F.col("qvec").isNotNull()).select("query_id", F.col("qvec").cast("array<double>").alias("vec"), *filter_cols))
-    c = candidates.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *filter_cols)
-    n_q, n_c = _blocks(q, QUERY_BLOCK), _blocks(c, VECTOR_BLOCK)
-    own_q, own_c = (F.pmod(F.xxhash64(key), F.lit(n)).cast("int") for key, n in (("query_id", n_q), ("id", n_c)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    group = F.to_json(F.struct(*filter_cols)) if filter_cols else F.lit("")
-    missing = F.lit(False)
+    group, missing = (F.to_json(F.struct(*filter_cols)) if filter_cols else F.lit("")), F.lit(False)
     for col in filter_cols:  # a null matches nothing
         missing = missing | F.col(col).isNull()
+    asked = written(queries.where(F.col("qvec").isNotNull() & ~missing).select("query_id", F.col("qvec").cast("array<double>").alias("vec"), group.alias("group")))
+    q = written(asked.select("vec", "group").distinct().withColumn("_vector", F.monotonically_increasing_id()))
     group = F.when(~missing, group)
-    left = q.select(own_q.alias("qb"), every(n_c).alias("vb"), F.lit(0).alias("side"), "query_id", F.lit(None).cast(kinds[id_col]).alias("id"), "vec", group.alias("group"))
-    right = c.select(every(n_q).alias("qb"), own_c.alias("vb"), F.lit(1).alias("side"), F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "id", "vec", group.alias("group"))
+    c = candidates.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), group.alias("group"))
+    n_q, n_c = _blocks(q, QUERY_BLOCK), _blocks(c, VECTOR_BLOCK)
+    own_q, own_c = (F.pmod(F.xxhash64(key), F.lit(n)).cast("int") for key, n in (("_vector", n_q), ("id", n_c)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(own_q.alias("qb"), every(n_c).alias("vb"), F.lit(0).alias("side"), F.col("_vector").alias("query_id"), F.lit(None).cast(kinds[id_col]).alias("id"), "vec", "group")
+    right = c.select(every(n_q).alias("qb"), own_c.alias("vb"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("query_id"), "id", "vec", "group")
     cells = left.unionByName(right).repartition("qb", "vb").sortWithinPartitions("qb", "vb", "side")
-    out = cells.mapInArrow(cell_topk(top_k), f"query_id {dict(q.dtypes)['query_id']}, id {kinds[id_col]}, score double").withColumnRenamed("id", id_col)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
-    res = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    out = cells.mapInArrow(cell_topk(top_k), f"query_id bigint, id {kinds[id_col]}, score double").withColumnsRenamed({"query_id": "_vector", "id": id_col})
+
+    def best(rows: DataFrame, key: str) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+
+    found = best(out, "_vector").drop("rank")
+    # each query with the neighbours of its vector; a query id that comes with several vectors is ranked over all of them
+    vectors = asked.join(q, ["vec", "group"]).select("query_id", "_vector")
+    res = best(vectors.join(found, "_vector").drop("_vector"), "query_id")
     rest = [x for x in candidates.columns if x not in (vec_col, *filter_cols)]
     if len(rest) > 1:
         res = res.join(candidates.select(*rest), id_col)

@@ -153,3 +153,23 @@ def test_names_are_found_as_ilike_finds_them(spark):
     assert got == want and len(want) > 40
     plan = rg.retrieve_by_name(rg.detect_names(queries.selectExpr("query_id", "concat('show ', detected_name) AS query")), store)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and plan.count("array_contains") == 0
+
+
+def test_equal_names_and_equal_vectors_are_searched_once(spark, monkeypatch):
+    store = spark.createDataFrame([(f"{i}_visit_{v}", i, "doc", "Ann Lee" if i < 30 else f"Bob Ray{i}", f"2024-01-{v:02d}", "d", "dr", "", False) for i in range(40) for v in (1, 2)],
+                                  "chunk_id string, patient_id long, document string, patient_name string, visit_date string, department string, doctor_name string, diagnosis_codes string, has_followup boolean")
+    found = rg.search_names(spark.createDataFrame([("ann lee",), ("Bob Ray3",)], "pattern string"), store.select("patient_id", "patient_name"))
+    assert found.where("pattern = 'ann lee'").count() == 1 and found.where("pattern = 'Bob Ray3'").count() == 10
+    # a query id with two names, one that holds the other, is ranked over both, each chunk once
+    queries = spark.createDataFrame([(i, "Ann Lee") for i in range(20)] + [(50, "Bob Ray31"), (50, "Bob Ray"), (50, "Bob Ray"), (None, "Ann Lee"), (None, "Bob Ray39")], "query_id long, detected_name string")
+    got = sorted(((r.query_id, r.rank, r.chunk_id) for r in rg.retrieve_by_name(queries, store, top_k=12).collect()), key=str)
+    new = lambda some: sorted((f"{i}_visit_2" for i in some))
+    ann, bob, both = new(range(30))[:12], [*new(range(30, 40)), *sorted(f"{i}_visit_1" for i in range(30, 40))][:12], new([*range(30), 39])[:12]
+    assert got == sorted([(q, r + 1, x) for q, own in [*((i, ann) for i in range(20)), (50, bob), (None, both)] for r, x in enumerate(own)], key=str)
+    sizes, blocks = [], rg._blocks
+    monkeypatch.setattr(rg, "_blocks", lambda rows, size: sizes.append(rows.count()) or blocks(rows, size))
+    vecs = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i}", [1.0, float(i % 2)]) for i in range(20)], "query_id string, qvec array<double>")
+    top = rg.vector_topk(asked, vecs, top_k=3, id_col="vec_id").collect()
+    assert sizes[0] == 2 and len(top) == 60
+    assert {tuple(r.vec_id for r in sorted(top, key=lambda r: r.rank) if r.query_id == f"q{i}") for i in range(1, 20, 2)} == {(1, 4, 7)}
