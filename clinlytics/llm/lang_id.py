@@ -36,8 +36,11 @@ ORDER = 4
 DISCOUNT = 0.75
 #: n-grams that a task counts at a time, and different ones that it holds before it hands them on
 COUNTED, HELD = 1 << 20, 1 << 20
-#: training rows of each language on which temperature and rejection limits are fitted, at most
+#: a bounded choice of rows for looks at the data (``calibration_rows``); the fit reads all training rows
 CALIBRATION_ROWS = 500
+#: cross-entropies are rounded to so many a unit for the medians, so that a language has a bounded number of values
+STEPS = 10_000
+TEMPERATURES = (0.25, 0.5, 1, 2, 4, 8, 16, 32, 64)
 #: a text is rejected beyond so many standard deviations of its language's cross-entropy
 REJECT_DEVIATIONS = 8.0
 #: shorter texts get wider limits: the deviation grows by sqrt(1 + SHORT / length)
@@ -225,32 +228,48 @@ def calibration_rows(train: DataFrame, rows: int | None = None) -> DataFrame:
     return train.select("lang", "text", key).join(F.broadcast(first), ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "text")
 
 
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, mid): the median of ``value`` over all rows by ``key``, of values rounded to STEPS a unit.
+
+    The rows are counted by value first, so what one task holds is bounded by
+    the different values (a cross-entropy's range), not by the rows.
+    """
+    step = F.round(F.col(value) * STEPS).cast("bigint")
+    counts = rows.groupBy(key, step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(key).agg((F.percentile("step", 0.5, F.col("n")) / STEPS).alias("mid"))
+
+
 def calibrate(share: Broadcast, langs: list[str], train: DataFrame) -> Fitted:
-    """Fit temperature and rejection limits on a bounded sample of the training rows of each language."""
-    def make() -> Callable[[list], list[list]]:
-        def compute(texts: list) -> list[list]:
-            own = [cross_entropies(share.value, t) if _LETTER.search(t) else (np.zeros(0), 0) for t in texts]
-            return [[x.tobytes() for x, _ in own], [m for _, m in own]]
-        return compute
+    """Fit temperature and rejection limits on all training rows with letters.
+
+    The tasks return a row's own cross-entropy and its loss at each temperature;
+    what reaches the driver is a median and a deviation by language and the sums of the losses.
+    """
+    index = {x: j for j, x in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = share.value
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                if lang not in index or not _LETTER.search(text):
+                    continue
+                j, (ce, n) = index[lang], cross_entropies(model, text)
+                p = [posterior(ce[None, :], np.array([n]), x)[0, j] for x in TEMPERATURES]
+                for column, value in zip(out, (j, float(ce[j]), (-np.log(np.maximum(p, 1e-9))).tolist()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.float64()))], names=["j", "own", "loss"])
 
-    # CALIBRATION_ROWS rows of a language, one number for each language in them
-    rows = [r for r in map_text(calibration_rows(train), ["lang"], "ce binary, n bigint", make).collect() if r["n"]]
-    ce = np.array([np.frombuffer(r["ce"]) for r in rows]).reshape(len(rows), len(langs))
-    n, truth = np.array([r["n"] for r in rows]), np.array([langs.index(r["lang"]) for r in rows], dtype=int)
-    own = ce[np.arange(len(rows)), truth]
+    rows = written(train.select("lang", "text").mapInArrow(run, "j int, own double, loss array<double>"))
     mean, dev = np.full(len(langs), np.inf), np.ones(len(langs))
-    for j in range(len(langs)):
-        x = own[truth == j] if (truth == j).any() else own  # no letter that both readings know: as all languages do
-        if len(x):
-            mean[j] = np.median(x)
-            dev[j] = max(0.05, 1.4826 * np.median(np.abs(x - mean[j])))
-    best, least = 1.0, np.inf
-    for temperature in (0.25, 0.5, 1, 2, 4, 8, 16, 32, 64):
-        p = posterior(ce, n, temperature)[np.arange(len(rows)), truth] if len(rows) else np.ones(1)
-        loss = -np.log(np.maximum(p, 1e-9)).mean()
-        if loss < least:
-            best, least = float(temperature), loss
-    return Fitted(share, langs, best, mean, dev)
+    mid = medians(rows, "j", "own")
+    away = medians(rows.join(F.broadcast(mid), "j").select("j", F.abs(F.col("own") - F.col("mid")).alias("away")), "j", "away")  # a row for each language
+    for r in mid.join(away.withColumnRenamed("mid", "away"), "j").collect():
+        mean[r["j"]], dev[r["j"]] = r["mid"], max(0.05, 1.4826 * r["away"])
+    losses = rows.agg(*[F.avg(F.col("loss")[i]) for i in range(len(TEMPERATURES))]).first()
+    known = [(x, float(t)) for x, t in zip(losses, TEMPERATURES, strict=True) if x is not None]
+    return Fitted(share, langs, min(known)[1] if known else 1.0, mean, dev)
 
 
 def posterior(ce: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray:

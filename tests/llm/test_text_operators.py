@@ -335,6 +335,20 @@ def test_every_language_is_calibrated_and_rows_are_bounded(spark):
     assert out[1]["rejected"] and out[2]["lang_pred"] == "hr" and not out[2]["rejected"]
 
 
+def test_calibration_reads_every_training_row(spark, monkeypatch):
+    import random
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["aba", "cab", "dada", "bac", "ede"] if i % 2 else ["xyz", "zyx", "yab", "xx"]) for _ in range(4 + i % 9)), "p" if i % 2 else "q") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (99, "42", "p"), (98, None, "q")], "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(lang_id, "CALIBRATION_ROWS", 3)
+    fitted = lang_id.fit(docs, lang_id.F.lit(True))
+    for j, lang in enumerate(fitted.langs):
+        own = lang_id.np.array([lang_id.cross_entropies(fitted.model.value, t)[0][j] for _, t, x in rows if x == lang])
+        mid = lang_id.np.median(own)
+        assert fitted.mean[j] == pytest.approx(mid, abs=1e-4)
+        assert fitted.deviation[j] == pytest.approx(max(0.05, 1.4826 * lang_id.np.median(abs(own - mid))), abs=5e-4)
+
+
 def test_quality_held_out_accuracy(spark, odd, empty):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
