@@ -117,9 +117,13 @@ def invoice_items(t) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("item_no", "description", "category", "amount"))).alias("items"))
 
 
-def invoice_detail(t, items_as_text: bool = False) -> DataFrame:
-    j = (t["billing_records"].join(_patient_names(t).drop("patient_phone"), "patient_id")
-         .join(invoice_items(t).withColumnRenamed("billing_record_id", "id"), "id", "left"))
+def invoice_detail(t, items_as_text: bool = False, records: DataFrame | None = None) -> DataFrame:
+    """All invoices, or those of ``records`` (rows of billing_records); only their items are gathered."""
+    items = t["billing_items"]
+    if records is not None:
+        items = items.join(records.select(F.col("id").alias("billing_record_id")), "billing_record_id", "left_semi")
+    j = ((t["billing_records"] if records is None else records).join(_patient_names(t).drop("patient_phone"), "patient_id")
+         .join(invoice_items({"billing_items": items}).withColumnRenamed("billing_record_id", "id"), "id", "left"))
     return _invoice_columns(j, items_as_text)
 
 
@@ -180,10 +184,10 @@ def list_visits(t, patient_id=None, doctor_id=None, date_from=None, date_to=None
 
 
 def list_billing(t, status=None, date_from=None, date_to=None) -> DataFrame:
-    b = invoice_detail(t, items_as_text=True)
+    b = t["billing_records"]
     if status:
         b = b.where(F.col("status") == status)
-    return _date_range(b, "created_at", date_from, date_to)
+    return invoice_detail(t, items_as_text=True, records=_date_range(b, "created_date", date_from, date_to))
 
 
 def page_billing(t, status=None, date_from=None, date_to=None, page=1, per_page=20) -> DataFrame:

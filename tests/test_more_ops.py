@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clinlytics.functions.core import blank_to_null, parse_date
 from clinlytics.operators import jobs
+from clinlytics.operators import lists as ls
 from clinlytics.operators import retrieval as rg
 from clinlytics.operators import upsert as up
 from clinlytics.operators import writes as wr
@@ -125,3 +126,30 @@ def test_plugged_in_model_embedder(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, qvec array<double>")
     top = rg.vector_topk(q, store, top_k=1).collect()
     assert top[0].chunk_id == "1_visit_1" and top[0].rank == 1
+
+
+def test_a_billing_list_gathers_the_items_of_its_invoices_only(spark):
+    from tests import seed
+    t = seed.tables(spark)
+    records, items = t["billing_records"], t["billing_items"]
+    t["billing_records"] = records.unionByName(records.withColumns({"id": F.col("id") + 10, "status": F.lit("pending")}))
+    t["billing_items"] = items.unionByName(items.withColumn("billing_record_id", F.col("billing_record_id") + 10))
+    out = ls.list_billing(t, "pending")
+    whole = ls.invoice_detail(t, items_as_text=True).where("status = 'pending'")
+    assert out.collect() == whole.collect() and out.first()["id"] == 11 and out.first()["items"] and out.count() == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("LeftSemi") > plan.index("collect_list")
+
+
+def test_tables_are_derived_when_a_query_reads_them(spark, tmp_path):
+    import os
+
+    from clinlytics.sources.driver import clinic_table_path, clinic_tables
+    rows = [(i, f"Customer#{i}", "BUILDING") for i in range(1, 41)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    t = clinic_tables(spark, str(tmp_path))
+    assert t["patients"].count() == 40 and t["patients"].where("not is_active").count() == 2
+    local = t.root.replace("file:", "")
+    assert os.listdir(local) == ["patients"] and clinic_table_path(spark, str(tmp_path), "patients") == f"{t.root}/patients"
+    again = clinic_tables(spark, str(tmp_path))
+    assert again.root == t.root and again["patients"] is t["patients"]
