@@ -38,12 +38,13 @@ def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class ClinicTables(dict):
-    """Lazily built dict of clinic DataFrames keyed by table name."""
+    """Lazily built dict of clinic DataFrames keyed by table name; with a ``root``, a derived table is written below it when first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str | None = None):
         super().__init__()
         self.spark = spark
         self.sf_dir = sf_dir
+        self.root = root
 
     def driver(self, name: str) -> DataFrame:
         return read_driver(self.spark, self.sf_dir, name)
@@ -55,10 +56,22 @@ class ClinicTables(dict):
             builder = _BUILDERS.get(name)
             if builder is None:
                 raise KeyError(name)
-            df = builder(self)
+            df = builder(self) if self.root is None else self._written(name, builder)
         self[name] = df
         return df
 
+    def _written(self, name: str, builder) -> DataFrame:
+        """One write, listing and footer read per table and session; tables it derives from are written before it."""
+        key = (self.spark.sparkContext.applicationId, f"{self.root}/{name}")
+        scan = _SCANS.get(key)
+        if scan is None:
+            df = builder(self)
+            if name in _SORT_KEYS:
+                df = df.sortWithinPartitions(_SORT_KEYS[name])
+            df.write.mode("overwrite").parquet(key[1])
+            scan = _SCANS[key] = self.spark.read.parquet(key[1])
+        return scan
+
 
 # Sort key written inside each file so date filters skip row groups.
 _SORT_KEYS = {
@@ -68,51 +81,37 @@ _SORT_KEYS = {
     "billing_items": "billing_record_id",
 }
 _MATERIALIZED: dict[tuple[str, str], str] = {}
-_SCANS: dict[tuple[str, str], dict] = {}
+_SCANS: dict[tuple[str, str], DataFrame] = {}
 
 
 def clinic_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> ClinicTables:
     """Clinic tables for ``sf_dir``.
 
-    With ``materialize`` the derived tables are written once per session as
-    parquet under the cluster's shared checkpoint folder and read back, so
-    every query plans against plain table scans (as it would against the
-    operational tables) instead of re-deriving them; the write also cuts
-    lineage, so a lost executor costs a re-read, not a re-derivation.
+    With ``materialize`` a derived table is written once per session, when a
+    query first asks for it, as parquet under the cluster's shared checkpoint
+    folder and read back, so every query plans against plain table scans (as it
+    would against the operational tables) instead of re-deriving them, and
+    derives no table that it does not read; the write also cuts lineage, so a
+    lost executor costs a re-read, not a re-derivation.
     """
     from clinlytics.session import apply_required_conf, ship_package
     apply_required_conf(spark)
     ship_package(spark)
-    t = ClinicTables(spark, sf_dir)
     if not materialize:
-        return t
+        return ClinicTables(spark, sf_dir)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     root = _MATERIALIZED.get(key)
     if root is None:
         from clinlytics.session import ensure_checkpoint_dir
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        root = f"{base}/clinic-{uuid.uuid4().hex}"
-        for name in CLINIC_TABLES:  # dependency order
-            df = t[name]
-            if name in _SORT_KEYS:
-                df = df.sortWithinPartitions(_SORT_KEYS[name])
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
-            # later tables derive from the written one, not from the raw chain
-            t[name] = spark.read.parquet(f"{root}/{name}")
-        _MATERIALIZED[key] = root
-    scans = _SCANS.get(key)
-    if scans is None:
-        # one listing and footer read per table and session; the plans are reused
-        scans = {name: spark.read.parquet(f"{root}/{name}") for name in CLINIC_TABLES}
-        _SCANS[key] = scans
-    t.update(scans)
-    return t
+        root = _MATERIALIZED[key] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clinic-{uuid.uuid4().hex}"
+    return ClinicTables(spark, sf_dir, root)
 
 
 def clinic_table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Folder of a materialized clinic table (materializing on first use)."""
-    clinic_tables(spark, sf_dir)
-    return f"{_MATERIALIZED[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))]}/{name}"
+    t = clinic_tables(spark, sf_dir)
+    _ = t[name]
+    return f"{t.root}/{name}"
 
 
 def materialized(spark: SparkSession, key: str, build) -> DataFrame:
