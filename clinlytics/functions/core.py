@@ -47,9 +47,13 @@ def capitalize(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
 
 
+# Fixed value: the characters that Unicode counts as white space.
+WHITESPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind (str.strip)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def truthy_text(c: Column) -> Column:

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 
@@ -53,17 +54,18 @@ class TokenPlaces(dict):
 
 
 def hash_embedder(dim: int):
-    """Iterator UDF over token arrays: signed counts per bucket, one pass, no shuffle."""
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Iterator UDF over token arrays: signed counts per bucket, one pass, no shuffle; a batch's different tokens are placed once."""
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places = TokenPlaces(dim)
         for rows in batches:
-            out = []
-            for tokens in rows:
-                own = [places[t] for t in tokens] if tokens is not None else []
-                at, sign = zip(*own, strict=True) if own else ((), ())
-                out.append(np.bincount(np.array(at, dtype=np.int64), np.array(sign, dtype=np.float64), dim).astype(np.float32))
-            yield pd.Series(out)
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            tokens = rows.flatten().dictionary_encode()
+            own = np.array([places[t] for t in tokens.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
+            each = own[tokens.indices.to_numpy(zero_copy_only=False)]
+            at = np.repeat(np.arange(len(rows)), sizes) * dim + each[:, 0]
+            counts = np.bincount(at, each[:, 1].astype(np.float64), len(rows) * dim).astype(np.float32)
+            yield pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * dim, pa.array(counts))
     return embed
 
 

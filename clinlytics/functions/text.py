@@ -19,6 +19,7 @@ NAME_RE = r"(?U)PATIENT:\s*([^|]+)"
 DATE_RE = r"(?U)\[(\d{4}-\d{2}-\d{2})\]"
 ICD_RE = r"(?U)ICD-10:\s*([A-Z]\d+\.?\d*)"
 FOLLOWUP_PREFIX = "Follow-up:"
+NONBLANK = r"(?U)\S"
 
 
 def words(text: Column) -> Column:
@@ -58,7 +59,7 @@ def last_nonempty(arr: Column) -> Column:
 
 
 def nonblank_lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"(?U)\S"))
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(NONBLANK))
 
 
 def doctor_line(lines: Column) -> Column:
@@ -72,9 +73,9 @@ def chunk_columns(lines: Column, header: Column, dr_line: Column) -> dict[str, C
     its doctor line (pass ``doctor_line(lines)`` staged as a column)."""
     return {
         "patient_name": strip_ws(F.regexp_extract(header, NAME_RE, 1)),
-        "visit_date": last_nonempty(F.transform(lines, lambda line: F.regexp_extract(line, DATE_RE, 1))),
+        "visit_date": last_nonempty(F.transform(F.filter(lines, lambda line: line.contains("[")), lambda line: F.regexp_extract(line, DATE_RE, 1))),
         "department": F.coalesce(strip_ws(F.regexp_extract(dr_line, r"(?s)^[^,]*,(.*)$", 1)), F.lit("")),
         "doctor_name": F.coalesce(strip_ws(F.substring_index(dr_line, ",", 1)), F.lit("")),
-        "diagnosis_codes": last_nonempty(F.transform(lines, lambda line: F.regexp_extract(line, ICD_RE, 1))),
+        "diagnosis_codes": last_nonempty(F.transform(F.filter(lines, lambda line: line.contains("ICD-10:")), lambda line: F.regexp_extract(line, ICD_RE, 1))),
         "has_followup": F.exists(lines, lambda line: line.startswith(FOLLOWUP_PREFIX)),
     }

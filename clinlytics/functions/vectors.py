@@ -38,7 +38,7 @@ def cosine(a: Column, b: Column, a_norm_sq: Column | None = None, b_norm_sq: Col
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda s: s != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def hash_embed(text: Column, dim: int = DEFAULT_DIM) -> Column:

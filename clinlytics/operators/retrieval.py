@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinlytics.functions.core import strip_ws
 from clinlytics.functions.pyudfs import cell_topk
-from clinlytics.functions.text import (HEADER_PREFIX, VISIT_SPLIT, chunk_columns, detect_name_columns,
+from clinlytics.functions.text import (HEADER_PREFIX, NONBLANK, VISIT_SPLIT, chunk_columns, detect_name_columns,
                                        doctor_line, nonblank_lines)
 from clinlytics.functions.vectors import DEFAULT_DIM, cosine, hash_embed_table
 from clinlytics.session import ship_package, written
@@ -35,7 +35,22 @@ DEFAULT_SYSTEM_PROMPT = (
 
 
 # ------------------------------------------------------------- chunks ----
-def chunk_summaries(summaries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def _header_and_body(text: Column) -> tuple[Column, Column]:
+    """The first line that starts with 'PATIENT:' (none: ''), and a line feed with the lines after it."""
+    x = F.concat(F.lit("\n"), text)
+    at = F.locate("\n" + HEADER_PREFIX, x)
+    tail = F.substr(x, at + 1)
+    header = F.when(at > 0, F.substring_index(tail, "\n", 1)).otherwise(F.lit(""))
+    return header, F.when(at > 0, F.substr(tail, F.length(header) + 1)).otherwise(x)
+
+
+def block_numbers(text: Column) -> Column:
+    """The block numbers of the chunks of a summary."""
+    blocks = F.transform(F.split(_header_and_body(F.coalesce(text, F.lit("")))[1], VISIT_SPLIT), lambda b, i: F.when(b.rlike(NONBLANK), i))
+    return F.array_compact(blocks)
+
+
+def chunk_summaries(summaries: DataFrame, keep: tuple[str, ...] = (), gone: str | None = None) -> DataFrame:
     """Split (patient_id, summary_text) into one chunk per visit block.
 
     The header is the first line starting with 'PATIENT:' (none -> ''),
@@ -43,22 +58,24 @@ def chunk_summaries(summaries: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     that begins with 'VISIT ' and contains '['; non-blank lines before the
     first such line form block 0. Blank lines are dropped. Chunk text is
     header + blank line + block lines, stripped. ``keep`` names further
-    columns of the summaries to pass on, or ``block_no``.
+    columns of the summaries to pass on, or ``block_no``; ``gone`` an array of
+    block numbers that come out as further rows without a document.
     """
     own = [k for k in keep if k != "block_no"]
-    s = summaries.where(F.col("summary_text").isNotNull() & (strip_ws(F.col("summary_text")) != ""))
+    text = F.col("summary_text")
+    header, body = _header_and_body(text)
+    if gone is None:
+        s = summaries.where(text.rlike(NONBLANK)).select("patient_id", *own, header.alias("_header"), body.alias("_body"))
+        blocks = s.select("patient_id", *own, "_header", F.posexplode(F.split("_body", VISIT_SPLIT)).alias("block_no", "_block"))
+        blocks = blocks.where(F.col("_block").rlike(NONBLANK))
+    else:
+        numbered = F.transform(F.split(F.coalesce(body, F.lit("")), VISIT_SPLIT), lambda b, i: F.struct(i.alias("block_no"), b.alias("_block")))
+        lost = F.transform(gone, lambda i: F.struct(i.alias("block_no"), F.lit(None).cast("string").alias("_block")))
+        s = summaries.select("patient_id", *own, header.alias("_header"), F.explode(F.concat(numbered, lost)).alias("_b"))
+        blocks = s.select("patient_id", *own, F.when(F.col("_b._block").isNotNull(), F.col("_header")).alias("_header"), "_b.block_no", "_b._block")
+        blocks = blocks.where(F.coalesce(F.col("_block").rlike(NONBLANK), F.lit(True)))
     # staged columns: each array is computed once per row
-    s = s.select("patient_id", *own, F.split(F.col("summary_text"), "\n").alias("_all"))
-    s = s.withColumn("_h", F.array_position(
-        F.transform("_all", lambda line: line.startswith(HEADER_PREFIX)), F.lit(True)))  # 1-based, 0 = none
-    lines, hpos = F.col("_all"), F.col("_h")
-    s = s.select(
-        "patient_id", *own,
-        F.when(hpos > 0, F.element_at(lines, hpos.cast("int"))).otherwise(F.lit("")).alias("_header"),
-        F.when(hpos == 0, lines).otherwise(F.slice(lines, (hpos + 1).cast("int"), F.size(lines))).alias("_body"))
-    body = F.concat(F.lit("\n"), F.array_join("_body", "\n"))
-    blocks = s.select("patient_id", *own, "_header", F.posexplode(F.split(body, VISIT_SPLIT)).alias("block_no", "_block"))
-    blocks = blocks.withColumn("_lines", nonblank_lines(F.col("_block"))).where(F.size("_lines") > 0)
+    blocks = blocks.withColumn("_lines", nonblank_lines(F.col("_block")))
     blocks = blocks.withColumn("_dr", doctor_line(F.col("_lines")))
     meta = chunk_columns(F.col("_lines"), F.col("_header"), F.col("_dr"))
     return blocks.select(

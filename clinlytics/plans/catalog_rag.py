@@ -24,9 +24,14 @@ def retrieval_queries(t):
     return p.unionByName(d)
 
 
+def _summaries(t):
+    """The summaries that the store ingests: written once per session."""
+    return materialized(t.spark, f"summaries:{t.sf_dir}", lambda: jobs.clinical_summaries(t))
+
+
 def _store(t):
     """The chunk store is an ingested table: built once per session."""
-    return materialized(t.spark, f"store:{t.sf_dir}", lambda: rg.build_store(jobs.clinical_summaries(t)))
+    return materialized(t.spark, f"store:{t.sf_dir}", lambda: rg.build_store(_summaries(t)))
 
 
 def _named_results(t):
@@ -85,7 +90,7 @@ QUERIES = {
     "sources": _q(lambda t: rg.sources(_named_results(t))),
     "answers": _q(_answers),
     "store_status": _q(lambda t: rg.store_status(_store(t))),
-    "ingest_stats": _q(lambda t: rg.ingest_stats(jobs.clinical_summaries(t), _store(t))),
+    "ingest_stats": _q(lambda t: rg.ingest_stats(_summaries(t), _store(t))),
     "retrieve_batch": _q(lambda t: rg.retrieve_batch(retrieval_queries(t), _store(t))
                          .select(*_RESULT_COLS[:-1], F.round("score", 9).alias("score"), "path")),
 }
