@@ -1,40 +1,41 @@
 """Structured Streaming forms of the nightly refresh, the appointment status
 workflow and summary ingestion.
 
-* ``refresh_daily_revenue``: versions of billing records arrive as files. A
-  state per invoice holds what it adds to its (payment date, department); a
+* ``refresh_daily_revenue``: versions of billing records arrive as files. The
+  state of an invoice is what it adds to its (payment date, department); a
   change comes out as one row that takes the old contribution back and one that
   adds the new one, so old and new date are refreshed and emptied days vanish.
 * ``status_event_stream``: status events are applied per appointment; the state
-  is the status, the last event's place and the ids seen, one state row each;
-  in a query that goes on running, a timer drops them some time after a final
-  status. No watermark drops events: one that comes behind its place is
+  is the status and the last event's place, and the ids seen, one row each in
+  the state of Spark's own deduplication; in a query that goes on running, a
+  timer drops them some time after a final status. No watermark drops events: one that comes behind its place is
   rejected as late.
-* ``ingest_summaries``: summaries arrive as files. A state per patient (hash,
+* ``ingest_summaries``: summaries arrive as files. The state of a patient (hash,
   block numbers) lets only changed summaries through and marks the blocks that
   a shorter one no longer has, so no stale chunk stays in the store.
 
-All three keep their state in the RocksDB state store by ``transformWithState``
+All three keep their state in the RocksDB state store, keys hashed to a fixed
+number of groups (``state.GROUPS``) so that a state access serves many keys,
 and append what changed to a Parquet log (the file sink commits each
-micro-batch once); ``read_*`` gives the table. Nothing a micro-batch reads
-grows with the table. Every query runs with ``trigger(availableNow=True)`` from
+micro-batch once); ``read_*`` gives the table. A micro-batch reads the state of
+the groups its rows fall into, never the log. Every query runs with ``trigger(availableNow=True)`` from
 a checkpoint in the shared folder, so a restarted job resumes where it stopped.
 """
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from clinlytics.functions.core import money
 from clinlytics.operators import jobs, writes
 from clinlytics.operators.writes import LATE  # noqa: F401 - the reason of late events, for callers
 from clinlytics.session import ensure_checkpoint_dir, ship_package
 from clinlytics.streaming import state
-from clinlytics.streaming.state import InvoiceChanges, StatusMachine, SummaryChanges
+from clinlytics.streaming.state import StatusMachine
 
 # The process that opens the state on the driver gets no shipped files, so the processors travel by value.
 for _module in (state, writes):
@@ -51,7 +52,7 @@ def scratch_root(spark: SparkSession, name: str) -> str:
 
 
 def _run(spark: SparkSession, rows: DataFrame, out_dir: str, checkpoint: str) -> DataFrame:
-    """Append everything that is available to the log at ``out_dir``; transformWithState needs the RocksDB store."""
+    """Append everything that is available to the log at ``out_dir``; the state lies in the RocksDB store."""
     before = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, _ROCKSDB)
     try:
@@ -65,8 +66,11 @@ def _run(spark: SparkSession, rows: DataFrame, out_dir: str, checkpoint: str) ->
     return spark.read.schema(rows.schema).parquet(out_dir)
 
 
-def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "none") -> DataFrame:
-    return rows.groupBy(key).transformWithState(processor, schema, "append", time_mode)
+def _grouped(rows: DataFrame, key: str, function: Callable, schema: str) -> DataFrame:
+    """``function`` on each group of keys with its state; rows carry the key as a string."""
+    group = F.pmod(F.xxhash64(key), F.lit(state.GROUPS)).cast("int").alias("group")
+    return rows.withColumn(key, F.col(key).cast("string")).withColumn("group", group).groupBy("group") \
+        .applyInPandasWithState(function, schema, "held string", "append", "NoTimeout")
 
 
 def _arrival() -> Column:
@@ -106,9 +110,13 @@ def refresh_daily_revenue(spark: SparkSession, t, source_dir: str, out_root: str
         schema = schema.add(version, "long")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
     records = source.select("id", "visit_id", "status", "payment_date", (F.col(version) if version else _arrival()).alias("version"))
-    columns = ["payment_date", "department_id", "department_name", *_PARTS]
-    deltas = _stateful(invoice_contributions(t, records), "id", InvoiceChanges(columns),
-                       "payment_date date, department_id bigint, department_name string, " + ", ".join(f"{c} bigint" for c in _PARTS) + ", invoices bigint")
+    kinds = "payment_date date, department_id bigint, department_name string, " + ", ".join(f"{c} bigint" for c in _PARTS)
+    parts = F.struct("payment_date", "department_id", "department_name", *_PARTS)
+    versions = invoice_contributions(t, records).select("id", "version", F.to_json(parts, {"ignoreNullFields": "false"}).alias("contribution"))
+    changes = _grouped(versions, "id", state.invoice_groups, "sign bigint, contribution string").select("sign", F.from_json("contribution", kinds).alias("c"))
+    deltas = changes.where("c.payment_date IS NOT NULL").select(
+        *[f"c.{c}" for c in ("payment_date", "department_id", "department_name")],
+        *[(F.col("sign") * F.coalesce(f"c.{c}", F.lit(0))).alias(c) for c in _PARTS], F.col("sign").alias("invoices"))
     return read_daily_revenue(_run(spark, deltas, out_root, checkpoint), t)
 
 
@@ -136,8 +144,17 @@ def status_outcomes(appointments: DataFrame, events_stream: DataFrame, retain_ms
     cur = appointments.select(F.col("id").alias("appointment_id"), F.col("status").alias("status0"))
     place = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0))
     ev = events_stream.select(F.col("appointment_id").cast("bigint"), F.col("event_id").cast("bigint"), F.col("ts").cast("timestamp_ntz"), "to_status", "role", place.alias("at"))
-    mode = "none" if retain_ms is None else "processingtime"
-    return _stateful(ev.join(cur, "appointment_id", "left"), "appointment_id", StatusMachine(retain_ms), OUTCOME_SCHEMA, mode)
+    if retain_ms is not None:
+        rows = ev.join(cur, "appointment_id", "left").groupBy("appointment_id")
+        return rows.transformWithState(StatusMachine(retain_ms), OUTCOME_SCHEMA, "append", "processingtime")
+    # a repeated id comes out once: the first by place in a micro-batch, then none that an earlier one had
+    first = ev.repartition("appointment_id").mapInArrow(state.earliest_events, ev.schema)
+    fresh = first.dropDuplicates(["appointment_id", "event_id"])
+    text = lambda c: F.col(c).cast("string")  # noqa: E731 - nullable numbers and times pass pandas as text
+    rows = fresh.join(cur, "appointment_id", "left").withColumns({"event_id": text("event_id"), "ts": text("ts")})
+    kinds = [x.split() for x in OUTCOME_SCHEMA.split(", ")]
+    out = _grouped(rows, "appointment_id", state.status_groups, ", ".join(f"{c} {'boolean' if k == 'boolean' else 'string'}" for c, k in kinds))
+    return out.select(*[F.col(c).cast(k) for c, k in kinds])
 
 
 def status_event_stream(spark: SparkSession, appointments: DataFrame, events_stream: DataFrame, out_dir: str,
@@ -154,18 +171,13 @@ def ingest_summaries(spark: SparkSession, source_dir: str, store_root: str, chec
     schema = "patient_id long, summary_text string, visit_count int, summary_hash string"
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
     versions = source.select("patient_id", "summary_text", F.coalesce("summary_hash", F.sha2("summary_text", 256), F.lit("")).alias("summary_hash"), _arrival().alias("version"))
-    chunks = rg.chunk_summaries(versions, keep=("block_no", "summary_hash", "version"))
-    chunk = F.to_json(F.struct(*[c for c in chunks.columns if c not in ("patient_id", "block_no", "summary_hash", "version")]))
-    rows = chunks.select("patient_id", "summary_hash", "version", F.col("block_no").cast("int"), chunk.alias("document"))
-    marks = versions.select("patient_id", "summary_hash", "version", F.lit(None).cast("int").alias("block_no"), F.lit(None).cast("string").alias("document"))
-    changed = _stateful(rows.unionByName(marks), "patient_id", SummaryChanges(),
-                        "patient_id bigint, block_no int, document string, summary_hash string, generation bigint, deleted boolean")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema.fields if f.name not in ("patient_id", "block_no", "summary_hash", "version"))
+    rows = versions.select("patient_id", "summary_text", "summary_hash", "version", F.array_join(rg.block_numbers(F.col("summary_text")), ",").alias("blocks"))
+    changed = _grouped(rows, "patient_id", state.summary_groups, "patient_id string, summary_text string, summary_hash string, generation bigint, gone string")
+    gone = F.when(F.col("gone") != "", F.split("gone", ",").cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    changed = changed.withColumn("patient_id", F.col("patient_id").cast("bigint")).withColumn("gone", gone)
     ship_package(spark)  # the embedder's worker code
-    full = changed.withColumn("c", F.from_json("document", kinds)).select(
-        F.format_string("%d_visit_%d", "patient_id", "block_no").alias("chunk_id"), "patient_id", "c.document",
-        *[F.col(f"c.{c}") for c in chunks.columns if c not in ("patient_id", "block_no", "summary_hash", "version", "chunk_id", "document")],
-        "summary_hash", "generation", "deleted", F.current_timestamp().alias("written_at"))
+    full = rg.chunk_summaries(changed, keep=("summary_hash", "generation"), gone="gone").withColumns(
+        {"deleted": F.col("document").isNull(), "written_at": F.current_timestamp()})
     return read_store(_run(spark, rg.embed_chunks(full, embedder), store_root, checkpoint))
 
 

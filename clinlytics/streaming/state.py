@@ -1,15 +1,21 @@
-"""Stateful processors of the streams: one small state per key, held as rows in the state store.
-
-Each processor sees the new rows of one key at a time and reads and writes only
-that key's state, so the work of a micro-batch follows its rows. The rows of a
-key within one micro-batch are ordered in memory; what is kept between
-batches is a status, a contribution or a list of block numbers, and (SS2) the
-ids seen, one state row each, which a timer drops once the appointment is done.
+"""Stateful functions of the streams.
+
+The keys of a stream are hashed to a fixed number of groups. A function sees the
+new rows of one group at a time and reads and writes that group's state, one row
+in the state store, so a call and a state access serve many keys; a group grows
+with the keys only by their number over ``GROUPS``. What is kept of a key is a
+status, a contribution or a list of block numbers. ``StatusMachine`` is the form
+for queries that go on running: a state per appointment, with the ids seen, one
+state row each, which a timer drops once the appointment is done.
 """
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -67,70 +73,111 @@ class StatusMachine(StatefulProcessor):
         pass
 
 
-class InvoiceChanges(StatefulProcessor):
-    """Turns versions of one invoice into what they take from and add to their (date, department).
+# ---------------------------------------------------------------- groups ----
+#: groups that the keys of a stream are hashed to; a function call and a state row serve one group of keys
+GROUPS = 4_096
 
-    The state is the contribution that counts now. An older version than that
-    changes nothing; of several in one batch the newest counts.
-    """
 
-    def __init__(self, columns: list[str]) -> None:
-        self.columns = columns  # payment_date, department_id, department_name, then the numbers
+def _held(state) -> dict:
+    """The state of a group: key -> what is kept of it."""
+    return {key: kept for key, *kept in json.loads(state.get[0])} if state.exists else {}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        kinds = ["date", "bigint", "string"] + ["bigint"] * (len(self.columns) - 3)
-        self.last = handle.getValueState("last", ", ".join(f"{c} {k}" for c, k in zip(self.columns, kinds, strict=True)) + ", version bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = max(((r.version, tuple(r[c] for c in self.columns)) for r in rows), key=lambda x: (x[0], str(x[1])))
-        old = tuple(self.last.get()) if self.last.exists() else None
-        if old is not None and old[-1] > new[0]:
-            return
-        self.last.update((*new[1], new[0]))
-        if old is not None and old[:-1] == new[1]:
-            return
-        for sign, own in ((-1, old), (1, new[1])):
-            if own is not None and own[0] is not None:
-                yield Row(**dict(zip(self.columns, own[:3])), **{c: sign * (v or 0) for c, v in zip(self.columns[3:], own[3:len(self.columns)])}, invoices=sign)
+def _hold(state, held: dict) -> None:
+    state.update((json.dumps([[key, *kept] for key, kept in held.items()]),))
 
-    def close(self) -> None:
-        pass
 
+def _columns(batches: Iterator[pd.DataFrame], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch[n].tolist() for n in names), strict=True)
 
-class SummaryChanges(StatefulProcessor):
-    """Lets a patient's chunks pass when the summary's hash is new, and marks the blocks that it no longer has.
 
-    Input: the chunks of each summary, and one row without a block per summary
-    (so that one without chunks counts too). The state is the hash, the number
-    of changes so far and the block numbers in the store. Of several summaries
-    in one batch the newest counts.
+def status_groups(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Applies status events to the appointments of one group, each event once in the input.
+
+    The state of an appointment is its status and the place of its last event.
     """
+    held, events = _held(state), {}
+    for appointment, *event in _columns(batches, "appointment_id", "at", "event_id", "to_status", "role", "status0", "ts"):
+        events.setdefault(appointment, []).append(event)
+    out = []
+    for appointment, own in events.items():
+        own = [(at, None if i is None else int(i), *rest) for at, i, *rest in own]
+        own.sort(key=lambda e: (e[0], e[1] is not None, e[1] or 0))
+        status, at, last = held.get(appointment) or (next((e[4] for e in own if e[4] is not None), None), None, None)
+        for place, event_id, to_status, role, _, ts in own:
+            late = at is not None and (place, event_id is not None, event_id or 0) < (at, last is not None, last or 0)
+            reason = LATE if late else transition_reason(status, to_status, role)
+            out.append((None if event_id is None else str(event_id), appointment, ts, role, status, to_status, reason is None, reason))
+            if reason is None:
+                status = to_status
+            if not late:
+                at, last = place, event_id
+        held[appointment] = (status, at, last)
+    _hold(state, held)
+    yield pd.DataFrame(out, columns=["event_id", "appointment_id", "ts", "role", "from_status", "to_status", "accepted", "reason"])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "hash string, version bigint, generation bigint, blocks array<int>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest, kept = None, []
-        for r in rows:  # only the newest summary's rows are held
-            place = (r.version, r.summary_hash)
-            if newest is None or place > newest:
-                newest, kept = place, []
-            if place == newest:
-                kept.append((r.block_no, r.document))
-        version, digest = newest
-        old = self.last.get() if self.last.exists() else None
+def earliest_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the events of a micro-batch's partition with the same id, the first by place (each appointment is in one partition)."""
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        rows = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in ("appointment_id", "event_id", "at")])
+        ids = rows.select(["appointment_id", "event_id"]).to_pandas(integer_object_nulls=True).fillna("")
+        yield from rows.filter(pa.array(~ids.duplicated().to_numpy())).to_batches()
+
+
+def _invoice_order(content: str) -> str:
+    """Decides between versions of the same number."""
+    own = json.loads(content)
+    date, *rest = own.values()
+    return str((dt.date.fromisoformat(date) if date else None, *rest))
+
+
+def invoice_groups(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Turns versions of the invoices of one group into what they take from and add to their (date, department).
+
+    The state of an invoice is the contribution that counts now. An older
+    version than that changes nothing; of several in one batch the newest counts.
+    """
+    held, newest, out = _held(state), {}, []
+    for key, version, content in _columns(batches, "id", "version", "contribution"):
+        best = newest.get(key)
+        if best is None or version > best[0] or version == best[0] and content != best[1] and _invoice_order(content) > _invoice_order(best[1]):
+            newest[key] = version, content
+    for key, (version, content) in newest.items():
+        old = held.get(key)
+        if old is not None and old[0] > version:
+            continue
+        held[key] = version, content
+        if old is not None and old[1] == content:
+            continue
+        if old is not None:
+            out.append((-1, old[1]))
+        out.append((1, content))
+    _hold(state, held)
+    yield pd.DataFrame(out, columns=["sign", "contribution"])
+
+
+def summary_groups(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Lets the summaries of one group of patients pass when their hash is new, with the blocks that they no longer have.
+
+    The state of a patient is the hash, the version, the number of changes so
+    far and the block numbers in the store. Of several summaries in one batch
+    the newest counts.
+    """
+    held, newest, out = _held(state), {}, []
+    for key, version, digest, blocks, text in _columns(batches, "patient_id", "version", "summary_hash", "blocks", "summary_text"):
+        if key not in newest or (version, digest) > newest[key][:2]:
+            newest[key] = version, digest, blocks, text
+    for key, (version, digest, blocks, text) in newest.items():
+        old = held.get(key)
         if old is not None and (old[0] == digest or old[1] > version):
-            return
-        blocks = sorted({b for b, _ in kept if b is not None})
+            continue
         generation = (old[2] if old is not None else 0) + 1
-        self.last.update((digest, version, generation, blocks))
-        seen = set()
-        for block, document in kept:
-            if block is not None and block not in seen:
-                seen.add(block)
-                yield Row(patient_id=key[0], block_no=block, document=document, summary_hash=digest, generation=generation, deleted=False)
-        for block in sorted(set(old[3] if old is not None else ()) - seen):
-            yield Row(patient_id=key[0], block_no=block, document=None, summary_hash=digest, generation=generation, deleted=True)
-
-    def close(self) -> None:
-        pass
+        held[key] = digest, version, generation, blocks
+        now = set(blocks.split(","))
+        gone = [b for b in (old[3].split(",") if old is not None else ()) if b and b not in now]
+        out.append((key, text, digest, generation, ",".join(gone)))
+    _hold(state, held)
+    yield pd.DataFrame(out, columns=["patient_id", "summary_text", "summary_hash", "generation", "gone"])
