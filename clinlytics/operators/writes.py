@@ -475,9 +475,20 @@ UNIQUE_COLUMNS = (("users", "email"), ("departments", "name"), ("doctors", "user
                   ("billing_records", "visit_id"))
 
 
+#: rows of the larger side that a task of a key rule gets; a referenced table of at most so many rows is broadcast
+AUDIT_ROWS, AUDIT_BROADCAST = 250_000, 100_000
+
+
 def audit_constraints(t) -> DataFrame:
-    """One row per violation: (table_name, row_id, rule, value)."""
+    """One row per violation: (table_name, row_id, rule, value).
+
+    The key rules deal their rows to as many partitions as the counted rows ask
+    for, so a task's sort buffers and hash maps do not grow with the tables.
+    """
     c = F.col
+    tables = {table for table, *_ in (*FOREIGN_KEYS, *UNIQUE_COLUMNS)} | {ref for *_, ref in FOREIGN_KEYS}
+    held = {table: t[table].count() for table in sorted(tables)}
+    parts = lambda *names: max(1, -(-max(held[n] for n in names) // AUDIT_ROWS))
 
     def stack(df: DataFrame, table: str, checks: list[tuple[str, Column, Column]]) -> DataFrame:
         arr = F.array(*[F.when(~F.coalesce(ok, F.lit(False)),
@@ -504,18 +515,25 @@ def audit_constraints(t) -> DataFrame:
         ("status_enum", c("status").isin(*APPOINTMENT_STATUSES), c("status")),
     ]))
     slot = ["doctor_id", "appointment_date", "appointment_time"]
-    dup_slot = double_bookings(a).select(*slot).distinct()
-    out = out.unionByName(a.join(dup_slot, slot, "left_semi").select(
+    dealt = a.repartition(parts("appointments"), *slot)
+    dup_slot = double_bookings(dealt).select(*slot).distinct()
+    out = out.unionByName(dealt.join(dup_slot, slot, "left_semi").select(
         F.lit("appointments").alias("table_name"), c("id").alias("row_id"), F.lit("slot_unique").alias("rule"),
         F.concat_ws(" ", c("doctor_id").cast("string"), c("appointment_date").cast("string"),
                     c("appointment_time")).alias("value")))
     for table, fk, ref in FOREIGN_KEYS:
         rows = t[table].select((c("billing_record_id") if table == "billing_items" else c("id")).alias("row_id"), c(fk).alias("_fk"))
-        out = out.unionByName(rows.where("_fk is not null").join(t[ref].select(c("id").alias("_fk")), "_fk", "left_anti").select(
+        rows, keys = rows.where("_fk is not null"), t[ref].select(c("id").alias("_fk"))
+        if held[ref] <= AUDIT_BROADCAST:
+            keys = F.broadcast(keys)
+        else:
+            rows, keys = (x.repartition(parts(table, ref), "_fk") for x in (rows, keys))
+        out = out.unionByName(rows.join(keys, "_fk", "left_anti").select(
             F.lit(table).alias("table_name"), "row_id", F.lit(f"fk_{fk}").alias("rule"), c("_fk").cast("string").alias("value")))
     for table, col in UNIQUE_COLUMNS:
-        many = t[table].groupBy(col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(col)
-        out = out.unionByName(t[table].select("id", col).join(many, col, "left_semi").select(
+        dealt = t[table].select("id", col).repartition(parts(table), col)
+        many = dealt.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(col)
+        out = out.unionByName(dealt.join(many, col, "left_semi").select(
             F.lit(table).alias("table_name"), c("id").alias("row_id"), F.lit(f"{col}_unique").alias("rule"),
             c(col).cast("string").alias("value")))
     br = t["billing_records"]

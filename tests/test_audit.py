@@ -25,3 +25,15 @@ def test_repeated_unique_values_are_reported(spark):
     for name in {a for a, _ in UNIQUE_COLUMNS}:
         t[name] = t[name].unionByName(t[name])
     assert {(a, f"{k}_unique") for a, k in UNIQUE_COLUMNS} <= _found(t)
+
+
+def test_key_rules_deal_rows_by_their_number(spark, monkeypatch):
+    from clinlytics.operators import writes
+    base = clinic_tables(spark, SF)
+    t = {n: base[n] for n in ("departments", "users", "doctors", "patients", "appointments", "visits", "billing_items", "billing_records")}
+    before = sorted(map(tuple, audit_constraints(t).collect()))
+    monkeypatch.setattr(writes, "AUDIT_ROWS", 100)
+    monkeypatch.setattr(writes, "AUDIT_BROADCAST", 0)
+    out = audit_constraints(t)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {-(-t['appointments'].count() // 100)}" in plan and sorted(map(tuple, out.collect())) == before
