@@ -85,8 +85,8 @@ def _names(spark: SparkSession, *parts: str) -> list[str]:
 
 
 def _overwrite(staged: DataFrame, root: str) -> None:
-    """Replace the partitions that ``staged`` holds; all others stay as they are."""
-    staged.repartition(PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(f"{root}/rows")
+    """Replace the partitions that ``staged`` holds; all others stay as they are. A large partition is written by several tasks."""
+    staged.hint("rebalance", PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(f"{root}/rows")
 
 
 def _complete(spark: SparkSession, root: str) -> None:
@@ -152,17 +152,18 @@ def upsert_table(spark: SparkSession, root: str, new: DataFrame, keys: list[str]
     new = spark.read.parquet(rows)
     if check:
         check_unique(new, keys)
-    merged = new
-    if not create_table(spark, root, new.schema):
+    fs, p = _path(spark, rows)
+    name = f"{time.time_ns():020d}"
+    if create_table(spark, root, new.schema) or not _exists(spark, root, "rows"):
+        fs.mkdirs(_path(spark, root, "stage")[1])
+        fs.rename(p, _path(spark, root, "stage", name)[1])  # nothing to merge with: the new rows are the staged ones
+    else:
         touched = [r[0] for r in new.select(PARTITION).distinct().collect()]  # PARTITIONS rows at most
         old = _rows(spark, root).where(F.col(PARTITION).isin(touched) if touched else F.lit(False))
-        merged = upsert(old, new, keys, check=False, created_col=created_col)
-    name = f"{time.time_ns():020d}"
-    merged.write.parquet(f"{root}/stage/{name}")
+        upsert(old, new, keys, check=False, created_col=created_col).write.parquet(f"{root}/stage/{name}")
+        fs.delete(p, True)
     _overwrite(spark.read.parquet(f"{root}/stage/{name}"), root)
     _mark(spark, root, name)
-    fs, p = _path(spark, rows)
-    fs.delete(p, True)
     return incoming.get["rows"]
 
 
