@@ -93,7 +93,7 @@ def _columns(batches: Iterator[pd.DataFrame], *names: str) -> Iterator[tuple]:
 
 
 def status_groups(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Applies status events to the appointments of one group, each event once in the input.
+    """Applies status events to the appointments of one group; none comes from an earlier batch.
 
     The state of an appointment is its status and the place of its last event.
     """
@@ -105,7 +105,11 @@ def status_groups(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
         own = [(at, None if i is None else int(i), *rest) for at, i, *rest in own]
         own.sort(key=lambda e: (e[0], e[1] is not None, e[1] or 0))
         status, at, last = held.get(appointment) or (next((e[4] for e in own if e[4] is not None), None), None, None)
+        known = set()
         for place, event_id, to_status, role, _, ts in own:
+            if event_id in known:  # the appointment is in its table more than once
+                continue
+            known.add(event_id)
             late = at is not None and (place, event_id is not None, event_id or 0) < (at, last is not None, last or 0)
             reason = LATE if late else transition_reason(status, to_status, role)
             out.append((None if event_id is None else str(event_id), appointment, ts, role, status, to_status, reason is None, reason))

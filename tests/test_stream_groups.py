@@ -44,7 +44,7 @@ def test_an_id_that_comes_again_with_other_content_counts_by_its_first_place(spa
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{root}/events/slice={i}")
         stream = spark.readStream.schema(schema).parquet(f"{root}/events/slice=*")
-        out = sj.status_event_stream(spark, spark.createDataFrame([(1, "scheduled"), (2, "scheduled")], "id long, status string"), stream, f"{root}/out", f"{root}/ck")
+        out = sj.status_event_stream(spark, spark.createDataFrame([(1, "scheduled"), (2, "scheduled"), (2, "scheduled")], "id long, status string"), stream, f"{root}/out", f"{root}/ck")
     assert sorted(out.select(F.coalesce("appointment_id", F.lit(0)), F.coalesce("event_id", F.lit(0)), "from_status", "accepted", "reason").collect()) == [
         (0, 9, None, False, wr.NOT_FOUND), (1, 7, "scheduled", True, None), (1, 8, "in_progress", True, None),
         (2, 0, "scheduled", False, wr.DESK_ONLY.format("cancelled")), (2, 10, "scheduled", False, wr.LATE)]
