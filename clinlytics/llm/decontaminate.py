@@ -2,18 +2,21 @@
 
 Benchmark items are cut into windows of WINDOW consecutive words (an item of
 fewer words is one window). The training texts' postings (term, document,
-position) are stored for each window's two rarest terms by corpus frequency.
+position) are taken for each window's two rarest terms by corpus frequency.
 Their lists, adjusted by the terms' offsets in the window, are intersected:
 equal starts are candidates for the exact phrase, starts up to SLACK apart
 candidates for a proximity match (share of the window's distinct words in the
 stretch at NEAR or above). Candidates are checked on the words of their
 documents only.
 
-Scale: nothing but the postings of rare terms is shuffled; the document
-frequencies are pre-aggregated in the tasks; no list of documents reaches the
-driver. Benchmark tables are written, so that their joins are broadcast only
-below the session's threshold. Words repeated thousands of times in one text
-make postings, never pairs among themselves.
+Scale: nothing but the postings of rare terms is shuffled, once; both lists of
+a window and text meet in one sorted window, where each start sees the other
+list's starts within SLACK. The document frequencies are pre-aggregated in the
+tasks; no list of documents reaches the driver. Benchmark tables are written,
+so that their joins are broadcast only below the session's threshold; tables of
+few or short rows go to a few files for each core, not to one for each shuffle
+partition. Words repeated thousands of times in one text make postings, never
+pairs among themselves.
 
 Defined results: null texts have 0 words, 0 hits, no items; items without
 words make no window; repeated items and rows are each counted as the contract
@@ -86,33 +89,48 @@ def rarest(terms: DataFrame, df: DataFrame) -> DataFrame:
                       b["term"].alias("term_b"), b["offset"].alias("offset_b"))
 
 
+def postings(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """(doc_id, text_key, phrase, n, start, in_a, in_b): the adjusted lists of every window's two terms, each start once."""
+    anchors = _written(plan.select(F.col("term_a").alias("term")).union(plan.select("term_b")).distinct())
+    # one term for both lists: its starts are in either
+    lists = plan.select("phrase", "n", F.explode(F.array(
+        F.struct(F.col("term_a").alias("term"), F.col("offset_a").alias("offset"), F.lit(True).alias("of_a"), (F.col("term_a") == F.col("term_b")).alias("of_b")),
+        F.struct(F.col("term_b").alias("term"), F.col("offset_b").alias("offset"), (F.col("term_a") == F.col("term_b")).alias("of_a"), F.lit(True).alias("of_b")))).alias("t"))
+    lists = lists.select("phrase", "n", "t.*").distinct()
+    key = ["doc_id", "text_key", "phrase", "n"]
+    found = occurrences(docs).join(anchors, "term", "left_semi").join(lists, "term")
+    found = found.select(*key, (F.col("pos") - F.col("offset")).alias("start"), "of_a", "of_b")
+    # dealt by the key, which the window of candidates() needs too: one shuffle for both
+    return found.repartition(*key).groupBy(*key, "start").agg(F.max("of_a").alias("in_a"), F.max("of_b").alias("in_b"))
+
+
 def candidates(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """(doc_id, text_key, phrase, n, start, apart): intersection of the adjusted lists."""
-    anchors = written(plan.select(F.col("term_a").alias("term")).union(plan.select("term_b")).distinct())
-    index = written(occurrences(docs).join(anchors, "term"))
     key = ["doc_id", "text_key", "phrase", "n"]
-    a = (index.join(plan, F.col("term") == F.col("term_a"))
-         .select(*key, (F.col("pos") - F.col("offset_a")).alias("start_a"))
-         .withColumn("start", F.explode(F.sequence(F.col("start_a") - SLACK, F.col("start_a") + SLACK))))
-    b = index.join(plan, F.col("term") == F.col("term_b")).select(*key, (F.col("pos") - F.col("offset_b")).alias("start"))
-    b = b.distinct().withColumnsRenamed({c: f"_b_{c}" for c in (*key, "start")})
-    same = F.col("doc_id").eqNullSafe(F.col("_b_doc_id"))  # a null id equals a null id
-    for c in (*key[1:], "start"):
-        same = same & (F.col(c) == F.col(f"_b_{c}"))
-    both = a.join(b, same)
-    return both.groupBy(*key, F.col("start_a").alias("start")).agg(F.min(F.abs(F.col("start") - F.col("start_a"))).alias("apart"))
+    near = Window.partitionBy(*key).orderBy("start")
+    b = F.when(F.col("in_b"), F.col("start"))
+    both = postings(docs, plan).withColumns({"before": F.max(b).over(near.rangeBetween(-SLACK, 0)), "after": F.min(b).over(near.rangeBetween(0, SLACK))})
+    # least() skips a null: no start of the other list on that side
+    apart = F.least(F.col("start") - F.col("before"), F.col("after") - F.col("start"))
+    return both.where(F.col("in_a")).select(*key, "start", apart.alias("apart")).where("apart is not null")
+
+
+def _written(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """``written`` to ``per_core`` files for each of the cluster's cores at most: a table of few rows isn't dealt over
+    as many files as there are shuffle partitions, each of which a task makes, names and commits."""
+    return written(df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matches (doc_id, text_key, phrase, n, start, kind) with kind 'exact' or 'near', and the item windows."""
     prepare(docs.sparkSession)
-    cut = written(windows(benchmark))
-    terms = written(window_terms(cut))
-    df = frequencies(docs, written(terms.select("term").distinct()))
-    plan = written(rarest(terms, df))
+    cut = _written(windows(benchmark))
+    terms = window_terms(cut)
+    df = frequencies(docs, _written(terms.select("term").distinct()))
+    plan = _written(rarest(terms, df))
     found = written(candidates(docs, plan))
     # The words of documents with candidates only: their keys are a written table, so its size decides how they are joined.
-    keys = written(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    keys = _written(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), 4)
     rows = keyed(docs)
     rows = rows.join(keys, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_key == F.col("_key")), "left_semi").distinct()
     at = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("phrase", "n", "start", "apart")).alias("found"))
@@ -124,12 +142,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     distinct = F.array_distinct(F.split("phrase", " "))
     near = F.size(F.array_intersect(distinct, stretch)) >= F.ceil(NEAR * F.size(distinct))
     kind = F.when((F.col("apart") == 0) & exact, "exact").when(near, "near")
-    return written(own.select("doc_id", "text_key", "phrase", "n", "start", kind.alias("kind")).where("kind is not null").distinct()), cut
+    return own.select("doc_id", "text_key", "phrase", "n", "start", kind.alias("kind")).where("kind is not null").distinct(), cut
 
 
 def report(docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> DataFrame:
     """The op8 result, one row per document row; ``proximity`` adds n_near, the items with proximity matches."""
     found, cut = matches(docs, benchmark)
+    found = written(found)
     exact = found.where("kind = 'exact'")
     key = ["doc_id", "text_key"]
     place = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")
@@ -142,7 +161,7 @@ def report(docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> Da
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("n_words"))
     if proximity:
         side = _by_key(side, near, "full")
-    out = _by_key(rows, written(side), "left")
+    out = _by_key(rows, _written(side, 4), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
                       F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
@@ -166,7 +185,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     place = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")
     hit = (found.where("kind = 'exact'").select(*key, "start", "n").distinct().select(*key, place).distinct()
            .groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit")))
-    hit = written(hit).withColumnsRenamed({"doc_id": "_r_id", "text_key": "_r_key", "n_hit": "_r_hit"})
+    hit = _written(hit, 4).withColumnsRenamed({"doc_id": "_r_id", "text_key": "_r_key", "n_hit": "_r_hit"})
     return docs.join(hit, docs.doc_id.eqNullSafe(F.col("_r_id")) & (F.xxhash64(docs.text) == F.col("_r_key"))
                      & (20 * F.col("_r_hit") >= n_words(docs.text)), "left_anti").select(*docs.columns)
 
