@@ -29,8 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: bytes of a batch handed to a Python worker, so that long texts don't add up (one text is never cut)
-BATCH_BYTES = 16 << 20
+#: bytes of a batch handed to a Python worker, so that long texts don't add up (one text is never cut): a worker holds a
+#: batch as Arrow, as str and as what is made of it, and keeps that memory while later stages of the pipeline run
+BATCH_BYTES = 4 << 20
 _SENT: list[Broadcast] = []
 
 
