@@ -1,9 +1,7 @@
 """Operators 4, 5, 6, 8, 9, the components and the pipeline: SQL, brute force and odd inputs."""
 import collections
 import itertools
-import pathlib
 import random
-import urllib.parse
 
 import duckdb
 import numpy as np
@@ -12,9 +10,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from clinlytics.llm import decontaminate, licenses, mixing, near_dedup, pii, pivot_index
-from clinlytics.llm.common import DOC_COLUMNS, table
+from clinlytics.llm.common import DOC_COLUMNS, table, written
 from clinlytics.llm.graph import connected_components
-from clinlytics.session import ensure_checkpoint_dir
 from tests.conftest import SF_SMALL
 from tests.llm.test_text_operators import ODD, SCHEMA
 from tests.test_oracle import _bag
@@ -193,14 +190,14 @@ def test_decontamination_phrases_and_proximity(spark, odd, empty):
     assert decontaminate.report(odd, bench.where("item_id < 0")).where("contaminated").count() == 0
 
 
-def test_decontamination_writes_few_files_and_finds_every_start(spark):
+def test_decontamination_writes_few_files_and_finds_every_start(spark, monkeypatch):
     rng = random.Random(8)
     bench = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 5, 14])))) for i in range(60)]
     docs = [(i % 150 or None, " ".join(rng.choice("abcdef") for _ in range(rng.choice([1, 3, 30, 60])))) for i in range(200)] + [(7, "a b " * 300)] * 2 + [(8, None)]
     bench_df, docs_df = spark.createDataFrame(bench, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
     cores = spark.sparkContext.defaultParallelism
-    shared = pathlib.Path(urllib.parse.urlparse(ensure_checkpoint_dir(spark)).path)
-    old = set(shared.glob("llm-*"))
+    made = []  # the checkpoint folder is shared with other sessions: only what this one writes is counted
+    monkeypatch.setattr(decontaminate, "written", lambda df: made.append(written(df)) or made[-1])
     conf = {"spark.sql.shuffle.partitions": str(6 * cores), "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
     before = {k: spark.conf.get(k, None) for k in conf}
     try:
@@ -209,9 +206,8 @@ def test_decontamination_writes_few_files_and_finds_every_start(spark):
         out = decontaminate.report(docs_df, bench_df, proximity=True)
         found, cut = decontaminate.matches(docs_df, bench_df)
         assert _rows(out.drop("n_near")) == _sql({"documents": docs_df, "benchmark": bench_df}, decontaminate.oracle())
-        tables = set(shared.glob("llm-*")) - old
         starts = {(r["doc_id"], r["phrase"], r["start"], r["kind"]) for r in found.where("kind = 'exact'").collect()}
-        n_files = [len(list(folder.glob("part-*"))) for folder in tables]
+        n_files = [len(df.inputFiles()) for df in made]
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
